@@ -134,10 +134,9 @@ def user_line(name: str) -> str:
 
 ORACLES: dict[str, str] = {
     "hashtag_tokens": f"""WITH {TWEETS},
-  lists AS (
-    SELECT tweet_id, list_filter(string_split(text, ' '), lambda w: starts_with(w, '#')) AS l
-    FROM tweets)
-  SELECT tweet_id, unnest(range(len(l))) AS pos, unnest(l) AS tag FROM lists""",
+  lists AS (SELECT tweet_id, string_split(text, ' ') AS l FROM tweets),
+  placed AS (SELECT tweet_id, unnest(range(len(l))) AS pos, unnest(l) AS tag FROM lists)
+  SELECT * FROM placed WHERE starts_with(tag, '#')""",
     "hashtag_totals": f"WITH {TAGS} SELECT tag, count(*) AS cnt FROM tags GROUP BY tag",
     "hashtag_global_top10": f"""WITH {TAGS}
   SELECT tag, count(*) AS cnt FROM tags GROUP BY tag ORDER BY cnt DESC, tag LIMIT 10""",
@@ -149,8 +148,8 @@ ORACLES: dict[str, str] = {
     "trending_keep_expired": f"""WITH {COUNTS},
   seen AS (SELECT tag, date_trunc('minute', min(ts)) + to_minutes(1) AS first FROM tags GROUP BY tag),
   grid AS (
-    SELECT unnest(generate_series(min(window_end), max(window_end) + to_minutes(1),
-                                  to_minutes(1))) AS window_end FROM counts),
+    SELECT unnest(generate_series(min(window_end), max(window_end), to_minutes(1)))
+      AS window_end FROM counts),
   states AS (
     SELECT grid.window_end, seen.tag, coalesce(cnt, 0) AS cnt
     FROM grid JOIN seen ON seen.first <= grid.window_end

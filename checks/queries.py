@@ -13,7 +13,7 @@ from feedloom.functions.times import account_stamp, display_time, parse_created_
 from feedloom.operators import accounts, follows
 from feedloom.operators.skew import hot_keys
 from feedloom.operators.sliding import SlidingWindow
-from feedloom.plans import bulk_load, posts, timelines, trending
+from feedloom.plans import bulk_load, expired, posts, timelines, trending
 from feedloom.session import run_dir
 from feedloom.sources.tables import find_user, find_users, table_stream
 from feedloom.streaming import follows as follow_streams
@@ -78,7 +78,7 @@ def trending_expand(spark, sf):
 
 @query
 def trending_keep_expired(spark, sf):
-    return trending.trending_keep_expired(views.tweets(spark, sf))
+    return expired.trending_keep_expired(views.tweets(spark, sf))
 
 
 @query

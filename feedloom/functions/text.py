@@ -21,11 +21,6 @@ def is_hashtag(word: Column) -> Column:
     return word.startswith(TAG_PREFIX)
 
 
-def hashtags(text: Column) -> Column:
-    """All tags of a text in order, repeats and case kept."""
-    return F.filter(words(text), is_hashtag)
-
-
 def text_problem(text: Column) -> Column:
     """Why a text is not postable, or NULL if it is."""
     return (

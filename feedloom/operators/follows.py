@@ -17,7 +17,6 @@ from feedloom.operators.skew import (
     MAX_HOT_KEYS,
     MIN_HOT_ROWS,
     hot_keys,
-    hot_of_counts,
     salted_join,
 )
 
@@ -32,40 +31,30 @@ def fold_follow_events(
 ) -> DataFrame:
     """Current edges after all events, in any input order.
 
-    Only aggregates with map-side combine and one salted join, so a pair with very
-    many events never meets in one task. Most pairs are settled by the first pass;
-    only pairs followed both before and after their last unfollow need the second,
-    which looks for the first follow after it.
+    Ordinary pairs take one shuffle and one window. Pairs with very many events are
+    kept out of it: there are at most `max_hot_pairs`, so their last unfollow is
+    found by an aggregate, broadcast, and the first follow after it by another.
     """
-    at = F.struct("ts", "seq")
-    moves = events.select(*PAIR, "action", at.alias("at"), "seq")
-    summary = moves.groupBy(*PAIR).agg(
-        F.max(F.when(F.col("action") == UNFOLLOW, F.col("at"))).alias("left_at"),
-        F.min(F.when(F.col("action") == FOLLOW, F.col("at"))).alias("first_at"),
-        F.max(F.when(F.col("action") == FOLLOW, F.col("at"))).alias("last_at"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    settled = summary.where(
-        F.col("first_at").isNotNull()
-        & (F.col("left_at").isNull() | (F.col("first_at") > F.col("left_at")))
-    ).select(*PAIR, F.col("first_at").alias("since"))
-    returned = summary.where(
-        (F.col("first_at") < F.col("left_at")) & (F.col("last_at") > F.col("left_at"))
-    ).select(*PAIR, "left_at")
-    again = (
-        salted_join(
-            moves.where(F.col("action") == FOLLOW),
-            returned,
-            PAIR,
-            "inner",
-            salt_by=["seq"],
-            hot=hot_of_counts(summary, PAIR, max_hot_pairs, min_hot_rows),
-        )
-        .where(F.col("at") > F.col("left_at"))
-        .groupBy(*PAIR)
-        .agg(F.min("at").alias("since"))
+    moves = events.where(
+        F.col("follower").isNotNull() & F.col("followee").isNotNull()
+    ).select(*PAIR, "action", F.struct("ts", "seq").alias("at"))
+    hot = F.broadcast(hot_keys(moves, PAIR, max_hot_pairs, min_hot_rows))
+    last_left = F.max(F.when(F.col("action") == UNFOLLOW, F.col("at")))
+    standing = (F.col("action") == FOLLOW) & (
+        F.col("left_at").isNull() | (F.col("at") > F.col("left_at"))
+    )
+
+    ordinary = moves.join(hot, PAIR, "left_anti").withColumn(
+        "left_at", last_left.over(Window.partitionBy(*PAIR))
     )
-    return settled.unionByName(again).select(
+    busy = moves.join(hot, PAIR, "left_semi")
+    busy_left = busy.groupBy(*PAIR).agg(last_left.alias("left_at"))
+    busy = busy.join(F.broadcast(busy_left), PAIR)
+
+    def first_standing(rows: DataFrame) -> DataFrame:
+        return rows.where(standing).groupBy(*PAIR).agg(F.min("at").alias("since"))
+
+    return first_standing(ordinary).unionByName(first_standing(busy)).select(
         *PAIR, F.col("since.ts").alias("since_ts"), F.col("since.seq").alias("since_seq")
     )
 

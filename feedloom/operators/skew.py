@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 MAX_HOT_KEYS = 10_000
 MIN_HOT_ROWS = 1_000_000
 SALTS = 64
+HASH_BITS = 16
 
 
 def hot_keys(
@@ -21,23 +22,25 @@ def hot_keys(
     max_keys: int = MAX_HOT_KEYS,
     min_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
-    """Non-null keys with at least `min_rows` rows and over 1/`max_keys` of all rows."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return hot_of_counts(counts, keys, max_keys, min_rows)
+    """Non-null keys with at least `min_rows` rows and over 1/`max_keys` of all rows.
 
+    Counts by a hash of the key first, which bounds what a task sends to the shuffle;
+    a hot key makes its hash hot, so keys are counted only within hot hashes, of
+    which there are at most `max_keys` too. Usually there are none, and AQE drops
+    the second count.
+    """
+    rows = df.select(*keys).na.drop()
+    hashed = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64(*keys), 64 - HASH_BITS))
 
-def hot_of_counts(
-    counts: DataFrame,
-    keys: Sequence[str],
-    max_keys: int = MAX_HOT_KEYS,
-    min_rows: int = MIN_HOT_ROWS,
-) -> DataFrame:
-    """As `hot_keys`, for a frame with one row per key and its row count in `_n`."""
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = counts.where((F.col("_n") >= min_rows) & (F.col("_n") * max_keys > total))
-    for key in keys:
-        hot = hot.where(F.col(key).isNotNull())
-    return hot.select(*keys)
+    def count_by(frame: DataFrame, *columns: str) -> DataFrame:
+        return frame.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+
+    by_hash = count_by(hashed, "_h")
+    total = by_hash.agg(F.sum("_n")).scalar()
+    many = (F.col("_n") >= min_rows) & (F.col("_n") * max_keys > total)
+    hot_hashes = F.broadcast(by_hash.where(many).select("_h"))
+    candidates = hashed.join(hot_hashes, "_h", "left_semi")
+    return count_by(candidates, *keys).where(many).select(*keys)
 
 
 def salted_join(

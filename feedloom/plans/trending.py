@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import REPORT_HEADER, hashtags, ranking_line
+from feedloom.functions.text import REPORT_HEADER, is_hashtag, ranking_line, words
 from feedloom.operators.sliding import SlidingWindow, sliding_counts
 from feedloom.operators.topk import top_k, top_k_per_group
 
@@ -16,19 +16,24 @@ def tag_order() -> list:
 
 
 def hashtag_tokens(tweets: DataFrame) -> DataFrame:
-    """`tweet_id, pos, tag`: every tag of every tweet, in order."""
-    return tweets.select(
-        "tweet_id", F.posexplode(hashtags(F.col("text"))).alias("pos", "tag")
-    ).withColumn("pos", F.col("pos").cast("bigint"))
+    """`tweet_id, pos, tag`: every tag of every tweet with its place among the words."""
+    return (
+        tweets.select("tweet_id", F.posexplode(words(F.col("text"))).alias("pos", "tag"))
+        .where(is_hashtag(F.col("tag")))
+        .withColumn("pos", F.col("pos").cast("bigint"))
+    )
 
 
 def timed_tags(tweets: DataFrame, ts: str = "created_at") -> DataFrame:
-    return tweets.select(F.col(ts).alias("ts"), F.explode(hashtags(F.col("text"))).alias("tag"))
+    return tweets.select(F.col(ts).alias("ts"), F.explode(words(F.col("text"))).alias("tag")).where(
+        is_hashtag(F.col("tag"))
+    )
 
 
 def hashtag_totals(tweets: DataFrame) -> DataFrame:
     return (
-        tweets.select(F.explode(hashtags(F.col("text"))).alias("tag"))
+        tweets.select(F.explode(words(F.col("text"))).alias("tag"))
+        .where(is_hashtag(F.col("tag")))
         .groupBy("tag")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
