@@ -187,6 +187,8 @@ ORACLES: dict[str, str] = {
          'user' || (o_orderkey % 1000) IN (SELECT username FROM users) AS followee_known
   FROM orders""",
     "tweets_with_names": f"""WITH {TWEETS},{USERS}
+  SELECT tweets.*, name FROM tweets LEFT JOIN users USING (username)""",
+    "tweets_with_names_bucketed": f"""WITH {TWEETS},{USERS}
   SELECT tweets.*, name FROM tweets LEFT JOIN users USING (username)""",
     "profile_timeline": f"""WITH {TWEETS},{USERS},{NEWEST}
   SELECT newest.*, name, {DISPLAY} AS display_time, name || '''s Profile:' AS title

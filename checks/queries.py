@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom import views
-from feedloom.functions.times import account_stamp, display_time, parse_created_at
+from feedloom.functions.times import account_stamp, display_time, parse_created_at, utc_wall_clock, wall_clock
 from feedloom.operators import accounts, follows
 from feedloom.operators.skew import hot_keys
 from feedloom.operators.sliding import SlidingWindow
 from feedloom.plans import bulk_load, expired, posts, timelines, trending
 from feedloom.session import run_dir
+from feedloom.sinks import tables
 from feedloom.sources.tables import find_user, find_users, table_stream
 from feedloom.streaming import follows as follow_streams
 from feedloom.streaming import posts as post_streams
@@ -185,6 +186,19 @@ def tweets_with_names(spark, sf):
     return timelines.with_author_names(views.tweets(spark, sf), views.users(spark, sf))
 
 
+@query
+def tweets_with_names_bucketed(spark, sf):
+    """The same from two tables laid out by username: a join without a shuffle."""
+    root = run_dir(spark, "bucketed")
+    label = root.rsplit("-", 1)[1]
+    written, known = f"tweets_{label}", f"users_{label}"
+    tables.write_bucketed(
+        views.tweets(spark, sf), written, 8, path=f"{root}/tweets", spread_by=["tweet_id"]
+    )
+    tables.write_bucketed(views.users(spark, sf), known, 8, path=f"{root}/users")
+    return spark.table(written).join(spark.table(known), "username", "left")
+
+
 @query
 def profile_timeline(spark, sf):
     return timelines.profile_timelines(views.tweets(spark, sf), views.users(spark, sf))
@@ -261,7 +275,7 @@ def parsed_dates(spark, sf):
     raw = F.get_json_object("value", "$.created_at")
     return views.tweet_lines(spark, sf).select(
         F.col("key").alias("tweet_id"),
-        parse_created_at(raw).cast("timestamp_ntz").alias("created_at"),
+        utc_wall_clock(parse_created_at(raw)).alias("created_at"),
     )
 
 
@@ -286,7 +300,7 @@ def users_not_taken(spark, sf):
 
 def stored_accounts(spark: SparkSession, sf: str) -> DataFrame:
     return accounts.with_credentials(
-        views.users(spark, sf), F.lit(LOADED_AT).cast("timestamp_ntz")
+        views.users(spark, sf), wall_clock(LOADED_AT)
     )
 
 

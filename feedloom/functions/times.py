@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def wall_clock(at: datetime) -> Column:
+    """A TIMESTAMP_NTZ constant, the same in every session time zone."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def utc_wall_clock(ts: Column) -> Column:
+    """TIMESTAMP to the TIMESTAMP_NTZ that a UTC clock shows."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+
+
 def parse_created_at(raw: Column) -> Column:
     """ISO-8601 or `Wed Aug 27 13:08:45 +0000 2008`; anything else gives NULL.
 
-    The weekday is cut off before parsing: Spark parses no weekday names.
-    Needs a UTC session for zone-less input to mean UTC.
+    The weekday is cut off before parsing: Spark parses no weekday names. Input
+    without a zone is read in the zone of the session.
     """
     return F.coalesce(
         F.try_to_timestamp(raw),

@@ -13,6 +13,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.functions.times import wall_clock
 from feedloom.operators.skew import (
     MAX_HOT_KEYS,
     MIN_HOT_ROWS,
@@ -86,7 +87,7 @@ def edges_of_lists(
         .where(F.col(member).isNotNull())
         .groupBy(*PAIR)
         .agg(F.min("pos").cast("bigint").alias("since_seq"))
-        .withColumn("since_ts", F.lit(loaded_at).cast("timestamp_ntz"))
+        .withColumn("since_ts", wall_clock(loaded_at))
         .select(*PAIR, "since_ts", "since_seq")
     )
 

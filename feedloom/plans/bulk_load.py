@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.functions.times import parse_created_at
+from feedloom.functions.times import parse_created_at, utc_wall_clock, wall_clock
 from feedloom.operators.accounts import first_per_key, with_credentials
 from feedloom.schemas import CORRUPT, TWEET_LINE, USER_LINE
 from feedloom.sinks.tables import replace_table
@@ -50,14 +50,14 @@ def reject_rows(df: DataFrame, source: str, fields: list[str]) -> DataFrame:
 def split_users(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(first line of each username, rejects). `lines` must be a written table.
 
-    Duplicates are found by their place, which is unique, so a username that fills
+    Repeats are found by their row number, which is unique, so a username that fills
     a large share of the input is spread like all other lines.
     """
     marked = line_problem(lines)
     usable = marked.where(F.col("reason").isNull())
     first = first_per_key(usable, "username", line_order())
     places = first_per_key(usable.select("username", *LINE_ORDER), "username", line_order())
-    repeats = usable.join(places.select(*LINE_ORDER), LINE_ORDER, "left_anti").withColumn(
+    repeats = usable.join(places.select("row"), "row", "left_anti").withColumn(
         "reason", F.lit(DUPLICATE)
     )
     rejects = marked.where(F.col("reason").isNotNull()).unionByName(repeats)
@@ -67,7 +67,7 @@ def split_users(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def split_tweets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tweets with parsed time, rejects)."""
     parsed = line_problem(lines).withColumn(
-        "at", parse_created_at(F.col("created_at")).cast("timestamp_ntz")
+        "at", utc_wall_clock(parse_created_at(F.col("created_at")))
     )
     marked = parsed.withColumn(
         "reason",
@@ -104,7 +104,7 @@ def bulk_load(
     tweets, tweet_rejects = split_tweets(spark.read.parquet(tables.path("staging/tweets")))
 
     accounts = with_credentials(
-        users.select("username", "name"), F.lit(loaded_at).cast("timestamp_ntz")
+        users.select("username", "name"), wall_clock(loaded_at)
     )
     replace_table(accounts, tables.path("users"))
     replace_table(users.select("username", "following"), tables.path("following"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import text_problem
+from feedloom.functions.times import utc_wall_clock
 from feedloom.plans.timelines import with_author_names
 
 
@@ -19,7 +20,7 @@ def tweet_records(posts: DataFrame, users: DataFrame) -> DataFrame:
     return with_author_names(posts, users).select(
         "tweet_id",
         F.coalesce(
-            "created_at", F.current_timestamp().cast("timestamp_ntz")
+            "created_at", utc_wall_clock(F.current_timestamp())
         ).alias("created_at"),
         "text",
         "username",

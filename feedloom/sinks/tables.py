@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from feedloom.operators.skew import hot_keys
 
 
 def replace_table(df: DataFrame, path: str) -> None:
@@ -21,14 +26,32 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> str:
 
 
 def write_bucketed(
-    df: DataFrame, name: str, buckets: int, column: str = "username"
+    df: DataFrame,
+    name: str,
+    buckets: int,
+    column: str = "username",
+    path: str | None = None,
+    spread_by: Sequence[str] = (),
+    files_per_hot_key: int = 32,
 ) -> None:
-    """Catalog table laid out by `column`, so joins on it need no shuffle and
-    lookups read one bucket."""
-    (
-        df.repartition(buckets, column)
-        .write.mode("overwrite")
-        .bucketBy(buckets, column)
-        .sortBy(column)
-        .saveAsTable(name)
-    )
+    """Catalog table laid out by `column`: joins on it need no shuffle, lookups read
+    one bucket.
+
+    Where a value of `column` may hold a large share of the rows, name in `spread_by`
+    columns that tell its rows apart: several tasks then write its bucket.
+    """
+    if spread_by:
+        hot = F.broadcast(hot_keys(df, [column]).withColumn("_hot", F.lit(True)))
+        part = F.pmod(F.xxhash64(*spread_by), F.lit(files_per_hot_key))
+        laid_out = (
+            df.join(hot, column, "left")
+            .withColumn("_part", F.when(F.col("_hot"), part).otherwise(F.lit(0)))
+            .repartition(buckets, column, "_part")
+            .drop("_hot", "_part")
+        )
+    else:
+        laid_out = df.repartition(buckets, column)
+    writer = laid_out.write.mode("overwrite").bucketBy(buckets, column).sortBy(column)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)

@@ -32,15 +32,16 @@ def post_stream(
     """
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        accepted = batch
+        # The batch is read for rejects, hot authors and records: keep it meanwhile.
+        accepted = batch.persist()
         if rejects is not None:
             checked = check_texts(batch)
             write_batch(checked.where(F.col("problem").isNotNull()), rejects, batch_id)
             accepted = checked.where(F.col("problem").isNull()).drop("problem")
         records = tweet_records(accepted, users)
         folder = write_batch(records, tweets, batch_id)
-        stored = spark.read.schema(records.schema).parquet(folder)
+        batch.unpersist()
+        stored = batch.sparkSession.read.schema(records.schema).parquet(folder)
         send(topic_records(stored, as_json), batch_id)
 
     return (
