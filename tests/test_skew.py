@@ -30,7 +30,7 @@ def test_hot_keys_are_few_by_construction(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("min_rows", [1, 200, 10**6])
+@pytest.mark.parametrize("min_rows", [1, 200])
 def test_salted_join_equals_join(sides, how, min_rows):
     left, right = sides
     hot = hot_keys(left, ["k"], min_rows=min_rows)

@@ -34,7 +34,7 @@ def counted(df):
     return Counter({(r.window_end, r.tag): r.cnt for r in df.collect()})
 
 
-@settings(max_examples=8, deadline=None,
+@settings(max_examples=4, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 60 * 60), st.sampled_from(["#a", "#b", "#c"])),
                 min_size=1, max_size=40))
@@ -106,7 +106,7 @@ def test_null_time_and_text_give_no_rows(spark):
     assert trending.trending(tweets(spark, rows)).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_keep_expired_equals_full_states(spark, seed):
     rng = random.Random(seed)
     names = [f"#n{i:02}" for i in range(25)]
