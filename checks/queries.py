@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from feedloom import views
 from feedloom.functions.times import account_stamp, display_time, parse_created_at, utc_wall_clock, wall_clock
 from feedloom.operators import accounts, follows
-from feedloom.operators.skew import hot_keys
 from feedloom.operators.sliding import SlidingWindow
 from feedloom.plans import bulk_load, expired, posts, timelines, trending
 from feedloom.session import run_dir
@@ -111,7 +110,9 @@ def follow_edges_incremental(spark, sf):
     """Edges up to a date, then the later events applied to them."""
     events = views.follow_events(spark, sf)
     cut = F.lit("1996-01-01").cast("timestamp_ntz")
-    before = follows.fold_follow_events(events.where(F.col("ts") < cut))
+    path = f"{run_dir(spark, 'edges')}/before"
+    tables.replace_table(follows.fold_follow_events(events.where(F.col("ts") < cut)), path)
+    before = spark.read.parquet(path)
     return follows.apply_follow_events(before, events.where(F.col("ts") >= cut))
 
 
@@ -224,9 +225,8 @@ def home_timeline(spark, sf):
 @query
 def home_timeline_salted(spark, sf):
     """Home timelines with every followee treated as a very popular one."""
-    pairs = edges_table(spark, sf)
     return timelines.home_timelines(
-        views.tweets(spark, sf), pairs, hot=hot_keys(pairs, ["followee"], min_rows=1)
+        views.tweets(spark, sf), edges_table(spark, sf), min_hot_rows=1
     )
 
 

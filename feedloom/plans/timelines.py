@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.times import display_time
-from feedloom.operators.skew import salted_join
+from feedloom.operators.skew import MAX_HOT_KEYS, MIN_HOT_ROWS, hot_keys, salted_join
 from feedloom.operators.topk import top_k, top_k_per_group
 
 
@@ -70,24 +70,42 @@ def home_timeline(tweets: DataFrame, edges: DataFrame, viewer: str, k: int = 10)
 
 
 def home_timelines(
-    tweets: DataFrame, edges: DataFrame, k: int = 10, hot: DataFrame | None = None
+    tweets: DataFrame,
+    edges: DataFrame,
+    k: int = 10,
+    max_hot_authors: int = MAX_HOT_KEYS,
+    min_hot_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
     """Per viewer the k newest tweets of all followees.
 
     No viewer can see more than the k newest of one author, so authors are cut
-    before the join: it yields at most k rows per edge, and followers of a very
-    popular author are spread by salt.
+    before the join, which yields at most k rows per edge. Only ids and times go
+    through it and the ranking; texts are joined to the k rows per viewer that stay.
+    Followers of a popular author are spread by salt in both joins.
     """
     candidates = newest_per_author(
         tweets.select("tweet_id", "username", "created_at", "text"), k
-    ).select(F.col("username").alias("followee"), "tweet_id", "created_at", "text")
+    )
     pairs = edges.select(F.col("follower").alias("viewer"), "followee")
-    seen = salted_join(pairs, candidates, ["followee"], "inner", salt_by=["viewer"], hot=hot)
-    return (
-        top_k_per_group(seen, ["viewer"], newest_first(), k)
-        .withColumnRenamed("followee", "username")
-        .withColumn("display_time", display_time(F.col("created_at")))
+    seen = salted_join(
+        pairs,
+        candidates.select(F.col("username").alias("followee"), "tweet_id", "created_at"),
+        ["followee"],
+        "inner",
+        salt_by=["viewer"],
+        hot=hot_keys(pairs, ["followee"], max_hot_authors, min_hot_rows),
+    )
+    shown = top_k_per_group(
+        seen.select("viewer", "tweet_id", "created_at"), ["viewer"], newest_first(), k
     )
+    return salted_join(
+        shown,
+        candidates.select("tweet_id", "username", "text"),
+        ["tweet_id"],
+        "inner",
+        salt_by=["viewer"],
+        hot=hot_keys(shown, ["tweet_id"], max_hot_authors, min_hot_rows),
+    ).withColumn("display_time", display_time(F.col("created_at")))
 
 
 def home_titles(users: DataFrame) -> DataFrame:
