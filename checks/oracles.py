@@ -132,6 +132,13 @@ def user_line(name: str) -> str:
            || (c_custkey + 1) || '"]' END || '}}'"""
 
 
+SIGN_UPS = """
+requests AS (
+  SELECT event_id AS request_id, 'user' || user_id AS username, 'Name ' || event_type AS name,
+         user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+           OR event_id > min(event_id) OVER (PARTITION BY user_id) AS taken
+  FROM events)"""
+
 ORACLES: dict[str, str] = {
     "hashtag_tokens": f"""WITH {TWEETS},
   lists AS (SELECT tweet_id, string_split(text, ' ') AS l FROM tweets),
@@ -223,6 +230,12 @@ ORACLES: dict[str, str] = {
   QUALIFY row_number() OVER (PARTITION BY username ORDER BY created_at, tweet_id) = 1""",
     "users_not_taken": """SELECT 'user' || c_custkey AS username, c_name AS name FROM customer
   WHERE c_custkey NOT IN (SELECT user_id FROM events)""",
+    "sign_up_outcomes": f"""WITH {SIGN_UPS}
+  SELECT request_id, username, name,
+         CASE WHEN taken THEN 'username-taken' ELSE 'created' END AS outcome FROM requests""",
+    "new_accounts": f"""WITH {SIGN_UPS}
+  SELECT username, name, {SALT} || md5(username || {SALT}) AS pass, '{LOADED}' AS date
+  FROM requests WHERE NOT taken""",
     "account_credentials": f"WITH {ACCOUNTS} SELECT * FROM accounts",
     "credential_outcomes": f"""WITH {ACCOUNTS},
   n AS (SELECT max(user_id) + 1 AS n FROM events),

@@ -305,6 +305,31 @@ def users_not_taken(spark, sf):
     return accounts.not_taken(customers, views.users(spark, sf))
 
 
+def sign_ups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event asks for the name of its user; some customers have theirs already."""
+    requests = views.table(spark, sf, "events").select(
+        F.col("event_id").alias("request_id"),
+        views.username(F.col("user_id")).alias("username"),
+        F.concat(F.lit("Name "), "event_type").alias("name"),
+    )
+    existing = (
+        views.table(spark, sf, "customer")
+        .where(F.col("c_mktsegment") == "BUILDING")
+        .select(views.username(F.col("c_custkey")).alias("username"))
+    )
+    return accounts.sign_up_outcomes(requests, existing)
+
+
+@query
+def sign_up_outcomes(spark, sf):
+    return sign_ups(spark, sf)
+
+
+@query
+def new_accounts(spark, sf):
+    return accounts.new_accounts(sign_ups(spark, sf), wall_clock(LOADED_AT))
+
+
 def stored_accounts(spark: SparkSession, sf: str) -> DataFrame:
     return accounts.with_credentials(
         views.users(spark, sf), wall_clock(LOADED_AT)

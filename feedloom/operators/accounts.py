@@ -13,6 +13,9 @@ from feedloom.operators.skew import salted_join
 from feedloom.operators.topk import top_k_per_group
 
 
+CREATED, TAKEN = "created", "username-taken"
+
+
 def first_per_key(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given (total) order."""
     return top_k_per_group(df, [key], order, k=1, rank="_rk").drop("_rk")
@@ -34,6 +37,24 @@ def with_credentials(users: DataFrame, created: Column, salt: Column | None = No
     )
 
 
+def sign_up_outcomes(requests: DataFrame, existing: DataFrame) -> DataFrame:
+    """`requests(request_id, username, ...)` with `outcome`: the first request for a
+    username that no stored user has is "created", all others are "username-taken"."""
+    first = first_per_key(
+        requests.select("username", "request_id"), "username", [F.col("request_id")]
+    )
+    created = not_taken(first, existing).select("request_id", F.lit(True).alias("_created"))
+    return requests.join(created, "request_id", "left").withColumn(
+        "outcome", F.when(F.col("_created"), CREATED).otherwise(TAKEN)
+    ).drop("_created")
+
+
+def new_accounts(outcomes: DataFrame, at: Column, salt: Column | None = None) -> DataFrame:
+    """Rows to append to the users table for the requests that were accepted."""
+    accepted = outcomes.where(F.col("outcome") == CREATED).select("username", "name")
+    return with_credentials(accepted, at, salt)
+
+
 def attempt_outcomes(
     attempts: DataFrame, accounts: DataFrame, salt_by: Sequence[str]
 ) -> DataFrame:

@@ -60,13 +60,15 @@ def salted_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("salted_join keeps to inner, left, semi and anti joins")
+    if salts & (salts - 1):
+        raise ValueError("salts must be a power of two")
     if hot is None:
         hot = hot_keys(left, keys)
     marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     spread: Column = F.col("_hot").isNotNull()
     for key in keys:
         spread = spread | F.col(key).isNull()
-    bucket = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
+    bucket = F.xxhash64(*salt_by).bitwiseAND(salts - 1).cast("int")
     salted_left = (
         left.join(marked, list(keys), "left")
         .withColumn("_salt", F.when(spread, bucket).otherwise(F.lit(0)))

@@ -34,7 +34,7 @@ def test_hot_keys_are_few_by_construction(spark):
 def test_salted_join_equals_join(sides, how, min_rows):
     left, right = sides
     hot = hot_keys(left, ["k"], min_rows=min_rows)
-    got = salted_join(left, right, ["k"], how, ["i"], hot=hot, salts=7)
+    got = salted_join(left, right, ["k"], how, ["i"], hot=hot, salts=8)
     want = left.join(right, "k", how)
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
