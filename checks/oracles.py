@@ -181,6 +181,13 @@ ORACLES: dict[str, str] = {
     "lists_contain": f"""WITH {EDGES}
   SELECT follower AS username, 0::BIGINT AS page, bool_or(followee = 'user7') AS following_them
   FROM edges GROUP BY follower""",
+    "list_updates": f"""WITH {EDGES},{positions('following')}
+  SELECT username,
+         string_agg(member, ',' ORDER BY position)
+           || CASE WHEN bool_or(member = 'user7') THEN '' ELSE ',user7' END AS followed,
+         coalesce(string_agg(member, ',' ORDER BY position) FILTER (member <> 'user7'), '')
+           AS unfollowed
+  FROM placed GROUP BY username""",
     "follow_asymmetry": f"""WITH {EDGES},
   arrived AS (SELECT * FROM moves WHERE priority <> '5-LOW'),{fold("arrived", "others")}
   SELECT coalesce(e.follower, o.follower) AS follower, coalesce(e.followee, o.followee) AS followee,
@@ -288,6 +295,8 @@ ORACLES: dict[str, str] = {
     "stream_post_ingest": f"""WITH {TWEETS},{USERS}
   SELECT tweet_id, created_at, text, username, name
   FROM tweets LEFT JOIN users USING (username)""",
+    "stream_relayed_topic": f"""WITH {TWEETS}
+  SELECT text AS value, count(*) AS n FROM tweets GROUP BY text""",
     "stream_post_topic": f"""WITH {TWEETS}
   SELECT text AS value, count(*) AS n FROM tweets GROUP BY text""",
 }

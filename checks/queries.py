@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom import views
+from feedloom.functions import lists
 from feedloom.functions.times import account_stamp, display_time, parse_created_at, utc_wall_clock, wall_clock
 from feedloom.operators import accounts, follows
 from feedloom.operators.sliding import SlidingWindow
@@ -116,8 +117,8 @@ def follow_edges_incremental(spark, sf):
     return follows.apply_follow_events(before, events.where(F.col("ts") >= cut))
 
 
-def joined_lists(lists: DataFrame) -> DataFrame:
-    return lists.select(
+def joined_lists(pages: DataFrame) -> DataFrame:
+    return pages.select(
         "username",
         "page",
         F.size("members").cast("bigint").alias("n"),
@@ -157,10 +158,22 @@ def is_following(spark, sf):
 
 @query
 def lists_contain(spark, sf):
-    lists = follows.follow_lists(edges_table(spark, sf), "following").withColumnRenamed(
+    stored = follows.follow_lists(edges_table(spark, sf), "following").withColumnRenamed(
         "members", "following"
     )
-    return follows.lists_contain(lists, ONE_USER).select("username", "page", "following_them")
+    return follows.lists_contain(stored, ONE_USER).select("username", "page", "following_them")
+
+
+@query
+def list_updates(spark, sf):
+    """Every stored list with ONE_USER followed, and with ONE_USER unfollowed."""
+    name, members = F.lit(ONE_USER), F.col("members")
+    stored = follows.follow_lists(edges_table(spark, sf), "following")
+    return stored.select(
+        "username",
+        F.array_join(lists.add_if_absent(members, name), ",").alias("followed"),
+        F.array_join(lists.remove(members, name), ",").alias("unfollowed"),
+    )
 
 
 @query
@@ -384,14 +397,14 @@ def bulk_load_users(spark, sf):
 
 @query
 def bulk_load_following_edges(spark, sf):
-    lists = spark.read.parquet(loaded(spark, sf).path("following"))
-    return follows.edges_of_lists(lists, "following", LOADED_AT)
+    stored = spark.read.parquet(loaded(spark, sf).path("following"))
+    return follows.edges_of_lists(stored, "following", LOADED_AT)
 
 
 @query
 def bulk_load_followers(spark, sf):
-    lists = spark.read.parquet(loaded(spark, sf).path("followers"))
-    return lists.select("username", F.array_join("followers", ",").alias("followers"))
+    stored = spark.read.parquet(loaded(spark, sf).path("followers"))
+    return stored.select("username", F.array_join("followers", ",").alias("followers"))
 
 
 @query
@@ -491,6 +504,23 @@ def stream_post_ingest(spark, sf):
     return spark.read.parquet(f"{ingested(spark, sf)}/tweets").drop("batch_id")
 
 
+@query
+def stream_relayed_topic(spark, sf):
+    """Messages sent from the written tweets table, with how often each was sent."""
+    root = ingested(spark, sf)
+    written = spark.read.parquet(f"{root}/tweets").drop("batch_id")
+    finished(
+        post_streams.relay_stream(
+            table_stream(spark, f"{root}/tweets/*", written.schema),
+            f"{root}/relay",
+            send=post_streams.to_table(f"{root}/relayed"),
+            trigger=ONCE,
+        )
+    )
+    messages = spark.read.parquet(f"{root}/relayed")
+    return messages.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def stream_post_topic(spark, sf):
     """Messages of the topic with how often each was sent."""

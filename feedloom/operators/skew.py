@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 MAX_HOT_KEYS = 10_000
 MIN_HOT_ROWS = 1_000_000
 SALTS = 64
+# Short string keys of this many rows take some MB.
+MAX_BROADCAST_ROWS = 100_000
 HASH_BITS = 16
 
 
@@ -43,6 +45,11 @@ def hot_keys(
     return count_by(candidates, *keys).where(many).select(*keys)
 
 
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Whether a frame of short rows may be broadcast. Runs a job that stops early."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,

@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.times import display_time
-from feedloom.operators.skew import MAX_HOT_KEYS, MIN_HOT_ROWS, hot_keys, salted_join
+from feedloom.operators.skew import (
+    MAX_BROADCAST_ROWS,
+    MAX_HOT_KEYS,
+    MIN_HOT_ROWS,
+    hot_keys,
+    is_small,
+    salted_join,
+)
 from feedloom.operators.topk import top_k, top_k_per_group
 
 
@@ -50,23 +57,48 @@ def profile_timeline(tweets: DataFrame, username: str, k: int = 10) -> DataFrame
     )
 
 
-def followee_tweets(tweets: DataFrame, edges: DataFrame, viewer: str) -> DataFrame:
-    """All tweets of the users that `viewer` follows; a repeated edge repeats nothing."""
-    followees = edges.where(F.col("follower") == viewer).select(
+def followees_of(edges: DataFrame, viewer: str) -> DataFrame:
+    return edges.where(F.col("follower") == viewer).select(
         F.col("followee").alias("username")
     )
+
+
+def followee_tweets(
+    tweets: DataFrame,
+    edges: DataFrame,
+    viewer: str,
+    max_broadcast: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """All tweets of the users that `viewer` follows; a repeated edge repeats nothing.
+
+    The followees are counted: a short list is broadcast and no tweet is shuffled.
+    """
+    followees = followees_of(edges, viewer)
+    if is_small(followees, max_broadcast):
+        return tweets.join(F.broadcast(followees), "username", "left_semi")
     return salted_join(tweets, followees, ["username"], "left_semi", salt_by=["tweet_id"])
 
 
-def home_timeline(tweets: DataFrame, edges: DataFrame, viewer: str, k: int = 10) -> DataFrame:
-    """The k newest tweets of the users that `viewer` follows."""
-    followees = edges.where(F.col("follower") == viewer).select(
-        F.col("followee").alias("username")
+def home_timeline(
+    tweets: DataFrame,
+    edges: DataFrame,
+    viewer: str,
+    k: int = 10,
+    max_broadcast: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """The k newest tweets of the users that `viewer` follows.
+
+    For a viewer with very many followees, authors are cut to k before the join.
+    """
+    followees = followees_of(edges, viewer)
+    if is_small(followees, max_broadcast):
+        seen = tweets.join(F.broadcast(followees), "username", "left_semi")
+    else:
+        candidates = newest_per_author(tweets, k).drop("rk")
+        seen = candidates.join(followees, "username", "left_semi")
+    return top_k(seen, newest_first(), k).withColumn(
+        "display_time", display_time(F.col("created_at"))
     )
-    candidates = newest_per_author(tweets, k).drop("rk")
-    return top_k(
-        candidates.join(followees, "username", "left_semi"), newest_first(), k
-    ).withColumn("display_time", display_time(F.col("created_at")))
 
 
 def home_timelines(

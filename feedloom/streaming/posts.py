@@ -19,7 +19,7 @@ def post_stream(
     users: DataFrame,
     tweets: str,
     checkpoint: str,
-    send: Callable[[DataFrame, int], None],
+    send: Callable[[DataFrame, int], None] | None,
     rejects: str | None = None,
     as_json: bool = False,
     trigger: dict | None = None,
@@ -41,8 +41,9 @@ def post_stream(
         records = tweet_records(accepted, users)
         folder = write_batch(records, tweets, batch_id)
         batch.unpersist()
-        stored = batch.sparkSession.read.schema(records.schema).parquet(folder)
-        send(topic_records(stored, as_json), batch_id)
+        if send is not None:
+            stored = batch.sparkSession.read.schema(records.schema).parquet(folder)
+            send(topic_records(stored, as_json), batch_id)
 
     return (
         posts.writeStream.option("checkpointLocation", checkpoint)
@@ -52,6 +53,23 @@ def post_stream(
     )
 
 
+def relay_stream(
+    tweets: DataFrame,
+    checkpoint: str,
+    send: Callable[[DataFrame, int], None],
+    as_json: bool = False,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Sends the tweets table itself, read as a stream, to the topic: what was not
+    stored is never sent. Use it with a `post_stream` that sends nothing."""
+    return (
+        tweets.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "1 second"}))
+        .foreachBatch(lambda batch, batch_id: send(topic_records(batch, as_json), batch_id))
+        .start()
+    )
+
+
 def to_topic(servers: str, topic: str = TOPIC) -> Callable[[DataFrame, int], None]:
     return lambda records, _batch_id: publish(records, servers, topic)
 

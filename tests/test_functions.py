@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.functions import credentials, text, times
+from feedloom.functions import credentials, lists, text, times
 from feedloom.plans import trending
 
 TEXTS = [
@@ -108,3 +108,13 @@ def test_report_text(spark):
     assert trending.report_text(df).first().report == (
         "\nTop 10 hashtags:\n(5,#a)\n(3,#a2)\n(3,#b)\n"
     )
+
+
+def test_list_updates(spark):
+    cases = [(["a"], ["a", "b"], ["a"]), (["b", "a", "b"], ["b", "a", "b"], ["a"]),
+             ([], ["b"], []), (None, ["b"], None)]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, l array<string>")
+    got = df.orderBy("i").select(
+        lists.add_if_absent(F.col("l"), F.lit("b")), lists.remove(F.col("l"), F.lit("b"))
+    )
+    assert [tuple(r) for r in got.collect()] == [c[1:] for c in cases]
