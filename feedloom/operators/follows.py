@@ -105,14 +105,14 @@ def mark_unknown(events: DataFrame, users: DataFrame) -> DataFrame:
     return events
 
 
-def list_positions(
+def positions_by_length(
     edges: DataFrame,
     side: str,
     slice_by: timedelta = timedelta(days=1),
     max_hot_users: int = MAX_HOT_KEYS,
     min_hot_rows: int = MIN_HOT_ROWS,
-) -> DataFrame:
-    """`username, position, member` of every following or followers list, from 0.
+) -> tuple[DataFrame, DataFrame]:
+    """`username, position, member` of the lists of ordinary length, and of the others.
 
     Lists of ordinary length are numbered by one window per user. Users with very
     many edges are numbered per slice of time, plus the length of all earlier slices.
@@ -123,6 +123,7 @@ def list_positions(
     )
     hot = F.broadcast(hot_keys(rows, ["username"], max_hot_users, min_hot_rows))
     order = ["since_ts", "since_seq", "member"]
+    columns = ["username", F.col("position").cast("bigint").alias("position"), "member"]
 
     short = rows.join(hot, ["username"], "left_anti").withColumn(
         "position", F.row_number().over(Window.partitionBy("username").orderBy(*order)) - 1
@@ -146,8 +147,13 @@ def list_positions(
         .join(starts, ["username", "slice"])
         .withColumn("position", F.col("start") + F.col("within"))
     )
-    columns = ["username", F.col("position").cast("bigint").alias("position"), "member"]
-    return short.select(*columns).unionByName(long.select(*columns))
+    return short.select(*columns), long.select(*columns)
+
+
+def list_positions(edges: DataFrame, side: str, **options) -> DataFrame:
+    """`username, position, member` of every following or followers list, from 0."""
+    short, long = positions_by_length(edges, side, **options)
+    return short.unionByName(long)
 
 
 def follow_lists(
@@ -156,16 +162,20 @@ def follow_lists(
     """`username, page, members`: the list in order, in pages of at most `page_size`.
 
     A list no longer than a page is one row, as stored; a longer one stays whole over
-    several rows, so no array grows with the data.
+    several rows, so no array grows with the data. Ordinary lists are collected where
+    they were numbered, without another shuffle.
     """
-    member = F.struct("position", "member")
-    return (
-        list_positions(edges, side, **options)
-        .withColumn("page", F.floor(F.col("position") / page_size).cast("bigint"))
-        .groupBy("username", "page")
-        .agg(F.array_sort(F.collect_list(member)).alias("rows"))
-        .select("username", "page", F.col("rows.member").alias("members"))
-    )
+
+    def pages(positions: DataFrame) -> DataFrame:
+        return (
+            positions.withColumn("page", F.floor(F.col("position") / page_size).cast("bigint"))
+            .groupBy("username", "page")
+            .agg(F.array_sort(F.collect_list(F.struct("position", "member"))).alias("rows"))
+            .select("username", "page", F.col("rows.member").alias("members"))
+        )
+
+    short, long = positions_by_length(edges, side, **options)
+    return pages(short).unionByName(pages(long))
 
 
 def list_of(edges: DataFrame, side: str, username: str) -> DataFrame:
