@@ -9,8 +9,14 @@ import argparse
 from datetime import datetime
 
 from pyspark.sql import SparkSession
-
-from feedloom.operators.follows import apply_follow_events, edges_of_lists, follow_lists
+from pyspark.sql import functions as F
+
+from feedloom.operators.follows import (
+    apply_follow_events,
+    edges_of_lists,
+    follow_lists,
+    mark_unknown,
+)
 from feedloom.plans.timelines import home_timelines, profile_timelines
 from feedloom.sinks.tables import replace_table
 
@@ -35,7 +41,12 @@ def main(argv: list[str] | None = None) -> None:
     tweets = spark.read.parquet(f"{args.feed}/tweets").drop("name")
     edges = edges_of_lists(following, "following", BEFORE_EVENTS)
     if args.events:
-        edges = apply_follow_events(edges, spark.read.parquet(args.events))
+        marked = mark_unknown(spark.read.parquet(args.events), users)
+        replace_table(marked, f"{args.out}/follow_events")
+        marked = spark.read.parquet(f"{args.out}/follow_events")
+        known = F.col("follower_known") & F.col("followee_known")
+        replace_table(marked.where(~known), f"{args.out}/rejects")
+        edges = apply_follow_events(edges, marked.where(known))
     replace_table(edges, f"{args.out}/edges")
     edges = spark.read.parquet(f"{args.out}/edges")
     replace_table(follow_lists(edges, "following"), f"{args.out}/following")

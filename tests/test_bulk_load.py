@@ -103,7 +103,8 @@ def test_jobs_from_lines_to_pages(spark, tmp_path):
     feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
     bulk_load_job.main([users, tweets, feed])
     events = spark.createDataFrame(
-        [("a", "c", "unfollow", LOADED_AT, 1), ("c", "a", "follow", LOADED_AT, 2)],
+        [("a", "c", "unfollow", LOADED_AT, 1), ("c", "a", "follow", LOADED_AT, 2),
+         ("a", "nobody", "follow", LOADED_AT, 3)],
         "follower string, followee string, action string, ts timestamp_ntz, seq bigint",
     )
     events.write.parquet(f"{out}/events")
@@ -113,3 +114,4 @@ def test_jobs_from_lines_to_pages(spark, tmp_path):
     lists = {r.username: r.members for r in spark.read.parquet(f"{out}/following").collect()}
     assert lists == {"a": ["b"], "c": ["a"]}
     assert spark.read.parquet(f"{out}/profiles").count() == 2
+    assert [r.seq for r in spark.read.parquet(f"{out}/rejects").collect()] == [3]

@@ -3,6 +3,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -66,6 +67,17 @@ def test_other_windows(spark, spec, forms):
         assert counted(sliding_counts(frame(spark, rows), "ts", "tag", spec, form)) == want, form
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_both_time_types(spark, kind):
+    rows = [(START + timedelta(minutes=7 * i), "#a") for i in range(8)]
+    df = frame(spark, rows).withColumn("ts", F.col("ts").cast(kind))
+    for form in FORMS:
+        got = sliding_counts(df, "ts", "tag", form=form)
+        assert dict(got.dtypes)["window_end"] == kind
+        ends = got.withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+        assert counted(ends) == brute(rows), form
+
+
 def test_delta_refuses_uneven_windows(spark):
     spec = SlidingWindow(timedelta(seconds=150), MINUTE)
     with pytest.raises(ValueError):
