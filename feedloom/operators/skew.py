@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 # fit one task whatever their share is.
 MAX_HOT_KEYS = 10_000
 MIN_HOT_ROWS = 1_000_000
-SALTS = 64
+# A hot key is split into sub-keys of about this many rows.
+ROWS_PER_SALT = 1_000_000
+NULL_SALTS = 1 << 16
 # Short string keys of this many rows take some MB.
 MAX_BROADCAST_ROWS = 100_000
 HASH_BITS = 16
@@ -24,7 +26,8 @@ def hot_keys(
     max_keys: int = MAX_HOT_KEYS,
     min_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
-    """Non-null keys with at least `min_rows` rows and over 1/`max_keys` of all rows.
+    """Non-null keys with at least `min_rows` rows and over 1/`max_keys` of all rows,
+    and their row count `_n`.
 
     Counts by a hash of the key first, which bounds what a task sends to the shuffle;
     a hot key makes its hash hot, so keys are counted only within hot hashes, of
@@ -42,7 +45,7 @@ def hot_keys(
     many = (F.col("_n") >= min_rows) & (F.col("_n") * max_keys > total)
     hot_hashes = F.broadcast(by_hash.where(many).select("_h"))
     candidates = hashed.join(hot_hashes, "_h", "left_semi")
-    return count_by(candidates, *keys).where(many).select(*keys)
+    return count_by(candidates, *keys).where(many)
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
@@ -57,36 +60,36 @@ def salted_join(
     how: str,
     salt_by: Sequence[str],
     hot: DataFrame | None = None,
-    salts: int = SALTS,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Inner, left, semi or anti join of a skewed `left` with a `right` of few rows per key.
 
-    Rows of hot keys (and of NULL keys) are spread over `salts` sub-keys by a hash
-    of the `salt_by` columns, which must tell rows of one key apart; only the
-    right rows of hot keys are copied. The hash makes a re-run task give the same rows.
+    The rows of a hot key are spread over as many sub-keys as its size asks for, by a
+    hash of the `salt_by` columns, which must tell rows of one key apart. Only the right
+    rows of hot keys are copied, once per sub-key. Rows with a NULL key match nothing
+    and are spread as well. A hash, unlike a random number, is the same when a task
+    runs again.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("salted_join keeps to inner, left, semi and anti joins")
-    if salts & (salts - 1):
-        raise ValueError("salts must be a power of two")
     if hot is None:
         hot = hot_keys(left, keys)
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    spread: Column = F.col("_hot").isNotNull()
+    salts = F.ceil(F.col("_n") / rows_per_salt).cast("bigint")
+    marked = F.broadcast(hot.select(*keys, salts.alias("_salts")))
+    row_hash = F.xxhash64(*salt_by)
+    null_key: Column = F.lit(False)
     for key in keys:
-        spread = spread | F.col(key).isNull()
-    bucket = F.xxhash64(*salt_by).bitwiseAND(salts - 1).cast("int")
+        null_key = null_key | F.col(key).isNull()
+    salt = F.when(null_key, row_hash.bitwiseAND(NULL_SALTS - 1)).otherwise(
+        F.coalesce(F.pmod(row_hash, F.col("_salts")), F.lit(0))
+    )
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)) - 1)
     salted_left = (
-        left.join(marked, list(keys), "left")
-        .withColumn("_salt", F.when(spread, bucket).otherwise(F.lit(0)))
-        .drop("_hot")
+        left.join(marked, list(keys), "left").withColumn("_salt", salt).drop("_salts")
     )
-    copies = F.when(
-        F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))
-    ).otherwise(F.array(F.lit(0)))
     salted_right = (
         right.join(marked, list(keys), "left")
         .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
+        .drop("_salts")
     )
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")

@@ -126,6 +126,7 @@ def home_timelines(
         "inner",
         salt_by=["viewer"],
         hot=hot_keys(pairs, ["followee"], max_hot_authors, min_hot_rows),
+        rows_per_salt=min_hot_rows,
     )
     shown = top_k_per_group(
         seen.select("viewer", "tweet_id", "created_at"), ["viewer"], newest_first(), k
@@ -137,6 +138,7 @@ def home_timelines(
         "inner",
         salt_by=["viewer"],
         hot=hot_keys(shown, ["tweet_id"], max_hot_authors, min_hot_rows),
+        rows_per_salt=min_hot_rows,
     ).withColumn("display_time", display_time(F.col("created_at")))
 
 

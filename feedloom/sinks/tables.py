@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.skew import hot_keys
+from feedloom.operators.skew import ROWS_PER_SALT, hot_keys
 
 
 def replace_table(df: DataFrame, path: str) -> None:
@@ -32,23 +32,25 @@ def write_bucketed(
     column: str = "username",
     path: str | None = None,
     spread_by: Sequence[str] = (),
-    files_per_hot_key: int = 32,
+    rows_per_file: int = ROWS_PER_SALT,
 ) -> None:
     """Catalog table laid out by `column`: joins on it need no shuffle, lookups read
     one bucket.
 
     Where a value of `column` may hold a large share of the rows, name in `spread_by`
-    columns that tell its rows apart: several tasks then write its bucket.
+    columns that tell its rows apart: many tasks then write its bucket.
     """
     if spread_by:
-        hot = F.broadcast(hot_keys(df, [column]).withColumn("_hot", F.lit(True)))
-        part = F.pmod(F.xxhash64(*spread_by), F.lit(files_per_hot_key))
-        laid_out = (
-            df.join(hot, column, "left")
-            .withColumn("_part", F.when(F.col("_hot"), part).otherwise(F.lit(0)))
-            .repartition(buckets, column, "_part")
-            .drop("_hot", "_part")
+        hot = F.broadcast(hot_keys(df, [column], min_rows=rows_per_file))
+        files = F.ceil(F.col("_n") / rows_per_file).cast("bigint")
+        busy = (
+            df.join(hot, column)
+            .withColumn("_part", F.pmod(F.xxhash64(*spread_by), files))
+            .repartition(column, "_part")
         )
+        # One task and one file per bucket, except for the busy keys.
+        rest = df.join(hot, column, "left_anti").repartition(buckets, column)
+        laid_out = rest.select(df.columns).unionByName(busy.select(df.columns))
     else:
         laid_out = df.repartition(buckets, column)
     writer = laid_out.write.mode("overwrite").bucketBy(buckets, column).sortBy(column)

@@ -73,3 +73,20 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tweets, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
     assert joined.count() == tweets.count()
+
+
+def test_busy_bucket_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "star").otherwise(F.concat(F.lit("u"), "id")).alias("username"),
+        F.col("id").alias("tweet_id"),
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would merge so few rows
+    try:
+        write_bucketed(rows, "busy_tweets", 4, path=str(tmp_path / "b"), spread_by=["tweet_id"],
+                       rows_per_file=100)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    written = spark.table("busy_tweets")
+    assert written.count() == 3000 and written.select("tweet_id").distinct().count() == 3000
+    star = written.where("username = 'star'").select(F.input_file_name().alias("f"))
+    assert 2 <= star.distinct().count() <= 11

@@ -34,7 +34,7 @@ def test_hot_keys_are_few_by_construction(spark):
 def test_salted_join_equals_join(sides, how, min_rows):
     left, right = sides
     hot = hot_keys(left, ["k"], min_rows=min_rows)
-    got = salted_join(left, right, ["k"], how, ["i"], hot=hot, salts=8)
+    got = salted_join(left, right, ["k"], how, ["i"], hot=hot, rows_per_salt=30)
     want = left.join(right, "k", how)
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
@@ -46,7 +46,7 @@ def test_hot_rows_are_spread(sides, spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = salted_join(left, right, ["k"], "inner", ["i"], hot=hot, salts=64)
+        joined = salted_join(left, right, ["k"], "inner", ["i"], hot=hot, rows_per_salt=10)
         parts = (
             joined.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
         )
