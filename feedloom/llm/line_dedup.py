@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import LOWER, UPPER, stage
 
 SHINGLE = 5
-# Rarity is counted per class of token hashes, so its table has a fixed size.
+# Rarity is counted per class of word hashes, so its table has a fixed size.
 CLASSES = 1 << 14
-HASH_BITS = 40
+RARITY_BITS = 56
+RARITY = 127 << RARITY_BITS
+# At most this many classes of keys are sent to every task, to let go of rows without a match.
+KEY_CLASSES = 1 << 18
 BLANKS = "\t\x0b\f\r"
 
 
@@ -29,30 +32,14 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def _runs(values: Column, size: int, join) -> Column:
-    """What `join` makes of every run of `size` neighbours, step by step.
-
-    No lambda refers to the whole array: the optimiser may put the expression that makes an array
-    in place of its name, and inside a lambda it would then be made for every element.
-    """
-    runs = F.size(values) - size + 1
-    out = F.slice(values, 1, runs)
-    for i in range(1, size):
-        out = F.zip_with(out, F.slice(values, i + 1, runs), join)
-    return out
-
-
 def tokens_of(words: Column, shingle: int = SHINGLE) -> Column:
     """Runs of `shingle` words, joined by a blank; all words of a shorter line as one."""
-    whole = F.array(F.array_join(words, " "))
-    runs = _runs(words, shingle, lambda left, right: F.concat(left, F.lit(" "), right))
-    return F.when(F.size(words) < shingle, whole).otherwise(runs)
-
-
-def _hashes(words: Column, shingle: int) -> Column:
-    """64-bit hashes of the tokens, without making their text."""
-    runs = _runs(F.transform(words, lambda w: F.xxhash64(w)), shingle, lambda a, b: F.xxhash64(a, b))
-    return F.when(F.size(words) < shingle, F.array(F.xxhash64(words))).otherwise(runs)
+    runs = F.size(words) - shingle + 1
+    out = F.slice(words, 1, runs)
+    for i in range(1, shingle):
+        step = F.slice(words, i + 1, runs)
+        out = F.zip_with(out, step, lambda left, right: F.concat(left, F.lit(" "), right))
+    return F.when(runs < 1, F.array(F.array_join(words, " "))).otherwise(out)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -60,30 +47,76 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    """Adds words and the two hashes that name equal lines."""
-    # The words are a column of their own: inside a lambda, they'd be split for each token.
-    return lines.withColumn("words", words_of(F.col("line"))).withColumns(
-        {"h1": F.xxhash64("words"), "h2": F.xxhash64("words", F.lit(1))}
-    )
-
-
-def _class(token: Column) -> Column:
-    return token.bitwiseAND(CLASSES - 1).cast("int")
+def _class(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(CLASSES - 1).cast("int")
 
 
-def _rarity(hashes: DataFrame) -> bytes:
-    """How often tokens of each class occur, as one byte (four times the binary logarithm).
+def _rarity(lines: DataFrame) -> bytes:
+    """How often words of each class occur, as one byte (four times the binary logarithm).
 
     The driver gets one row per class, whatever the input is.
     """
-    classes = hashes.select(F.explode_outer("hashes").alias("h")).groupBy(_class(F.col("h")).alias("class"))
+    words = lines.select(F.explode_outer(words_of(F.col("line"))).alias("word"))
     table = bytearray(CLASSES)
-    for row in classes.count().collect():
+    for row in words.groupBy(_class(F.col("word")).alias("class")).count().collect():
         table[row["class"]] = min(127, int(4 * math.log2(1 + row["count"])))
     return bytes(table)
 
 
+def _tokenised(lines: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, line_no, h1, h2, n, prefix) of lines with words: two hashes that name equal lines, the
+    number of distinct tokens, and the rarest of them.
+
+    A token is a long: the rarity of its first word above a hash of all its words. So sorting
+    tokens sorts them by rarity, in one order for all lines.
+    """
+    # In a lambda, a literal is the only table that isn't copied with every row.
+    table = F.lit(_rarity(lines))
+
+    def packed(word: Column) -> Column:
+        rarity = F.ascii(F.substring(table, _class(word) + 1, 1).cast("string")).cast("bigint")
+        return F.shiftleft(rarity, RARITY_BITS).bitwiseOR(_low_bits(F.xxhash64(word)))
+
+    def token(run: Column) -> Column:
+        return run["0"].bitwiseAND(F.lit(RARITY)).bitwiseOR(_low_bits(F.xxhash64(run)))
+
+    ranked = lines.withColumn("words", words_of(F.col("line"))).withColumn(
+        "packed", F.transform("words", packed)
+    )
+    # No lambda refers to a whole array: the optimiser may put the expression that makes an array
+    # in place of its name, and inside a lambda it would then be made for every element.
+    count = F.size("packed") - shingle + 1
+    runs = F.arrays_zip(*[F.slice("packed", i + 1, F.greatest(count, F.lit(0))) for i in range(shingle)])
+    whole = F.array(F.col("packed")[0].bitwiseAND(F.lit(RARITY)).bitwiseOR(_low_bits(F.xxhash64("packed"))))
+    tokens = F.when(count < 1, whole).otherwise(F.transform(runs, token))
+    size = F.size("tokens")
+    return (
+        ranked.select(
+            "doc_id",
+            "line_no",
+            F.xxhash64("packed").alias("h1"),
+            F.xxhash64("packed", F.lit(1)).alias("h2"),
+            F.size("packed").alias("words"),
+            F.sort_array(F.array_distinct(tokens)).alias("tokens"),
+        )
+        .select(
+            "doc_id",
+            "line_no",
+            "h1",
+            "h2",
+            "words",
+            size.alias("n"),
+            F.slice("tokens", 1, _prefix_length(size)).alias("prefix"),
+        )
+        .where("words > 0")
+        .drop("words")
+    )
+
+
+def _low_bits(value: Column) -> Column:
+    return F.shiftrightunsigned(value, 64 - RARITY_BITS)
+
+
 def _enough(shared: Column, left: Column, right: Column) -> Column:
     """Jaccard of 0.8 or more, in whole numbers: 9 * shared >= 4 * (left + right)."""
     return shared * 9 >= (left + right) * 4
@@ -94,7 +127,8 @@ def _prefix_length(n: Column) -> Column:
     return n - F.floor((n * 4 + 4) / 5).cast("int") + 1
 
 
-ORDER = ("doc_id", "line_no", "h1", "h2")
+PLACE = ("doc_id", "line_no")
+NAME = ("h1", "h2")
 
 
 def repeated_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -107,75 +141,80 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     repeat a doc_id count as one document: equal line numbers in them aren't earlier than
     one another. Other columns are left out; an empty table gives an empty result.
 
-    Equal lines meet first, so a line costs the same however often it is repeated. In a group
-    of lines that share a token, each is first compared with the group's first line; only
-    lines that aren't settled then are compared with the others.
+    Only tokens that different lines share are kept, each line's once however often it is
+    repeated. In a group of lines that share a token, each is first compared with the group's
+    first line; only lines that aren't settled then are compared with the others.
     """
-    lines = (
-        _hashed(lines_of(docs))
-        .where(F.size("words") > 0)
-        .select("doc_id", "line_no", "h1", "h2", _hashes(F.col("words"), shingle).alias("hashes"))
-    )
-    # In a lambda, a literal is the only table that isn't copied with every row.
-    table = F.lit(_rarity(lines))
-
-    def rank(h: Column) -> Column:
-        rarity = F.ascii(F.substring(table, _class(h) + 1, 1).cast("string"))
-        return F.shiftleft(rarity.cast("bigint"), HASH_BITS).bitwiseOR(
-            F.shiftrightunsigned(h, 64 - HASH_BITS)
-        )
-
-    ranked = F.sort_array(F.array_distinct(F.transform("hashes", rank)))
-    ranked_lines = lines.withColumn("ranked", ranked)
-    first = F.min(
-        F.struct(
-            "doc_id",
-            "line_no",
-            F.size("ranked").alias("n"),
-            F.slice("ranked", 1, _prefix_length(F.size("ranked"))).alias("prefix"),
-        )
-    )
-    distinct = stage(
-        ranked_lines.groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("copies")).select("h1", "h2", "first.*", "copies"),
-        "lines",
-    )
-    index = distinct.select(*ORDER, "n", F.posexplode("prefix").alias("place", "token"))
-    shared = (
+    lines = stage(_tokenised(lines_of(docs), shingle), "lines")
+    index = lines.select(*PLACE, *NAME, "n", F.posexplode("prefix").alias("place", "token"))
+    shared = stage(
         index.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("lines"), F.min(F.struct(*ORDER, "n", "place")).alias("leader"))
-        .where("lines > 1")
+        .agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
+        .where("low != high")
+        .select("token"),
+        "shared-tokens",
     )
+    kept = _matching(index, shared, "token").join(shared, "token", "left_semi")
+    # Equal lines have equal tokens, places and sizes.
     rows = stage(
-        index.join(shared.select("token", "lines"), "token").select("token", "lines", *ORDER, "n", "place"),
+        kept.groupBy("token", *NAME)
+        .agg(F.min(F.struct(*PLACE)).alias("first"), F.min("n").alias("n"), F.min("place").alias("place"))
+        .select("token", "first", *NAME, "n", "place"),
         "line-index",
     )
-    leaders = shared.select("token", *[F.col(f"leader.{c}").alias(f"a_{c}") for c in (*ORDER, "n", "place")])
-    texts = stage(_candidate_texts(docs, rows), "line-texts")
-
-    with_leader = rows.join(leaders, "token").where("NOT (h1 = a_h1 AND h2 = a_h2)")
-    settled = stage(_similar(with_leader.where(_possible()), texts, shingle), "settled")
-
-    open_rows = rows.where("lines > 2").join(settled, ["h1", "h2"], "left_anti")
-    earlier = rows.where("lines > 2").select(
-        "token", *[F.col(c).alias(f"a_{c}") for c in (*ORDER, "n", "place")]
+    others = [F.col(c).alias(f"a_{c}") for c in ("first", *NAME, "n", "place")]
+    before = F.struct("a_first", "a_h1", "a_h2") < F.struct("first", *NAME)
+
+    leader = F.min(F.struct("first", *NAME, "n", "place")).alias("leader")
+    leaders = rows.groupBy("token").agg(leader).select("token", "leader.*").select("token", *others)
+    with_leader = rows.join(leaders, "token").where(before & _near_in_size())
+    # Of the tokens that a line shares with a leader, some may have another leader.
+    at_most = F.least("last", "a_last") + 1
+    settled = stage(_verified(docs, _pairs(with_leader, at_most), shingle), "settled")
+    pairs = _pairs(
+        rows.join(settled, [*NAME], "left_anti")
+        .join(rows.select("token", *others), "token")
+        .where(before & _near_in_size()),
+        F.col("shared"),
     )
-    before = F.struct(*[f"a_{c}" for c in ORDER]) < F.struct(*ORDER)
-    others = open_rows.join(earlier, "token").where(before & _possible())
-    similar = settled.unionByName(_similar(others, texts, shingle)).distinct()
+    similar = settled.unionByName(_verified(docs, pairs, shingle)).distinct()
 
+    firsts = lines.groupBy(*NAME).agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("copies"))
     repeated = (
-        distinct.join(similar.withColumn("goes", F.lit(True)), ["h1", "h2"], "left")
+        firsts.join(similar.withColumn("goes", F.lit(True)), [*NAME], "left")
         .where("copies > 1 OR goes")
-        .select("h1", "h2", F.struct("doc_id", "line_no").alias("first"), "goes")
+        .drop("copies")
     )
     return (
-        lines.select("doc_id", "line_no", "h1", "h2")
-        .join(repeated, ["h1", "h2"])
-        .where(F.col("goes").isNotNull() | (F.struct("doc_id", "line_no") != F.col("first")))
-        .select("doc_id", "line_no")
+        lines.select(*PLACE, *NAME)
+        .join(repeated, [*NAME])
+        .where(F.col("goes").isNotNull() | (F.struct(*PLACE) != F.col("first")))
+        .select(*PLACE)
     )
 
 
+def _matching(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Rows of `big` whose key's class occurs in `small`. Every task gets KEY_CLASSES rows at
+    most; where `small` has all classes, no row goes, and the join that follows decides."""
+    key_class = F.xxhash64(key).bitwiseAND(KEY_CLASSES - 1)
+    classes = small.select(key_class.alias("key_class")).distinct()
+    return big.join(F.broadcast(classes), key_class == F.col("key_class"), "left_semi")
+
+
+def _near_in_size() -> Column:
+    """Length filter for (n, a_n)."""
+    n, other = F.col("n"), F.col("a_n")
+    return (n * 5 >= other * 4) & (other * 5 >= n * 4)
+
+
+def _matching(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Rows of `big` whose key's class occurs in `small`. Every task gets KEY_CLASSES rows at
+    most; where `small` has all classes, no row goes, and the join that follows decides."""
+    key_class = F.xxhash64(key).bitwiseAND(KEY_CLASSES - 1)
+    classes = small.select(key_class.alias("key_class")).distinct()
+    return big.join(F.broadcast(classes), key_class == F.col("key_class"), "left_semi")
+
+
 def _possible() -> Column:
     """Length and positional filters for (n, place) and (a_n, a_place)."""
     n, other = F.col("n"), F.col("a_n")
@@ -183,38 +222,49 @@ def _possible() -> Column:
     return (n * 5 >= other * 4) & (other * 5 >= n * 4) & _enough(after, n, other)
 
 
-def _candidate_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(h1, h2, tokens) of the lines in `rows`."""
-    wanted = rows.select("h1", "h2", "doc_id", "line_no").distinct()
-    lines = _hashed(lines_of(docs)).select(
-        "doc_id", "line_no", "line", F.col("h1").alias("k1"), F.col("h2").alias("k2")
+def _pairs(joined: DataFrame, shared: Column) -> DataFrame:
+    """Names and places of the pairs that the positional filter leaves, each pair once.
+
+    `shared`: how many tokens a pair has in common up to the last one that joined it.
+
+    Tokens are in one order in all lines, so what two lines share lies, in both, up to their last
+    shared token of the prefixes or behind it.
+    """
+    ends = joined.groupBy("first", *NAME, "a_first", "a_h1", "a_h2", "n", "a_n").agg(
+        F.count(F.lit(1)).alias("shared"),
+        F.max("place").alias("last"),
+        F.max("a_place").alias("a_last"),
     )
-    return (
-        lines.join(
-            wanted.withColumnsRenamed({"doc_id": "id", "line_no": "no"}),
-            F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("line_no") == F.col("no"))
-            & (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")),
-        )
-        .select("h1", "h2", "line")
-        .dropDuplicates(["h1", "h2"])
+    behind = F.least(F.col("n") - F.col("last"), F.col("a_n") - F.col("a_last")) - 1
+    possible = _enough(shared + behind, F.col("n"), F.col("a_n"))
+    return stage(
+        ends.where(possible).select("first", *NAME, "a_first", "a_h1", "a_h2"), "line-pairs"
     )
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(h1, h2) of the lines in `pairs` that really are similar to their (a_h1, a_h2)."""
-    tokens = F.array_distinct(tokens_of(F.col("words"), shingle))
-    own = texts.withColumn("words", words_of(F.col("line"))).select("h1", "h2", tokens.alias("tokens"))
-    other = own.withColumnsRenamed({"h1": "a_h1", "h2": "a_h2", "tokens": "a_tokens"})
-    both = F.size(F.array_intersect("tokens", "a_tokens"))
-    return (
-        pairs.select("h1", "h2", "a_h1", "a_h2")
-        .distinct()
-        .join(own, ["h1", "h2"])
+def _verified(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(h1, h2) of the lines in `pairs` whose tokens really are similar to the other line's."""
+    ends = pairs.select(*NAME, "first").unionByName(
+        pairs.select(*[F.col(f"a_{c}").alias(c) for c in (*NAME, "first")])
+    )
+    wanted = ends.dropDuplicates([*NAME]).select(
+        *NAME, F.col("first.doc_id").alias("id"), F.col("first.line_no").alias("no")
+    )
+    lines = lines_of(_matching(docs.select("doc_id", "text"), wanted.withColumnRenamed("id", "doc_id"), "doc_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("line_no") == F.col("no"))
+    words = stage(
+        lines.join(wanted, same).select(*NAME, words_of(F.col("line")).alias("words")), "line-words"
+    )
+    other = words.withColumnsRenamed({"h1": "a_h1", "h2": "a_h2", "words": "a_words"})
+    compared = (
+        pairs.select(*NAME, "a_h1", "a_h2")
+        .join(words, [*NAME])
         .join(other, ["a_h1", "a_h2"])
-        .where(_enough(both, F.size("tokens"), F.size("a_tokens")))
-        .select("h1", "h2")
-        .distinct()
+        .withColumn("tokens", F.array_distinct(tokens_of(F.col("words"), shingle)))
+        .withColumn("a_tokens", F.array_distinct(tokens_of(F.col("a_words"), shingle)))
     )
+    both = F.size(F.array_intersect("tokens", "a_tokens"))
+    return compared.where(_enough(both, F.size("tokens"), F.size("a_tokens"))).select(*NAME).distinct()
 
 
 def report(docs: DataFrame, repeated: DataFrame) -> DataFrame:
