@@ -31,8 +31,9 @@ OTHER = CODES - 1
 DEPTH = 5
 # States of shorter contexts are found in a table, those of the longest by search.
 TABLE_DEPTH = DEPTH - 1
-# The tree's capacity; it bounds what is sent to every executor (17 MB at most).
-STATES = 65_536
+# The tree's capacity; it bounds what is sent to every executor (17 MB at most). With the root,
+# states fit two bytes.
+STATES = 65_000
 # The weight of the shorter context, in counts.
 SMOOTHING = 4.0
 # A context stays when its divergence beats chance by this many standard deviations.
@@ -228,7 +229,7 @@ class Tree:
         self.byte_logs = np.where(rare, np.log10(share), 0.0)
         longest = self.depths == DEPTH
         self.long_contexts = self.contexts[longest]
-        self.long_states = np.flatnonzero(longest).astype(np.int32)
+        self.long_states = np.flatnonzero(longest).astype(np.uint16)
         self._table: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
@@ -238,7 +239,7 @@ class Tree:
         """For every run of TABLE_DEPTH codes, the state of its longest retained suffix, and
         whether the search for a longer context can succeed."""
         if self._table is None:
-            level = np.zeros(1, np.int32)
+            level = np.zeros(1, np.uint16)
             for depth in range(TABLE_DEPTH + 1):
                 if depth:
                     level = np.tile(level, CODES)
@@ -305,6 +306,8 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 def score_documents(docs: DataFrame, states: int = STATES, head_tokens: int = HEAD) -> DataFrame:
     """Log10 probabilities of every whole text under both models.
 
+    `states` must leave room for the root in two bytes.
+
     Learns from rows whose crc32(doc_id as text) mod 5 is not 1 and returns for each row: doc_id, held_out
     (the remainder is 1), n_tokens (with the end), n_known (tokens seen in training, the
     end included), train_tokens, base_score, score. Null texts count as empty: only the end is scored.
@@ -316,6 +319,8 @@ def score_documents(docs: DataFrame, states: int = STATES, head_tokens: int = HE
     they send them. Scoring looks up frequent tokens in a table of fixed size; the rest, which
     grows with the corpus, is joined by token.
     """
+    if not 0 <= states < 1 << 16:
+        raise ValueError("states must be below 65,536")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(
         "doc_id", "text", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
