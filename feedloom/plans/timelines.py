@@ -129,15 +129,20 @@ def home_timelines(
         rows_per_salt=min_hot_rows,
     )
     shown = top_k_per_group(
-        seen.select("viewer", "tweet_id", "created_at"), ["viewer"], newest_first(), k
+        seen.select("viewer", F.col("followee").alias("username"), "tweet_id", "created_at"),
+        ["viewer"],
+        newest_first(),
+        k,
     )
+    # Two authors may have used one tweet_id.
+    name = ["username", "tweet_id"]
     return salted_join(
         shown,
         candidates.select("tweet_id", "username", "text"),
-        ["tweet_id"],
+        name,
         "inner",
         salt_by=["viewer"],
-        hot=hot_keys(shown, ["tweet_id"], max_hot_authors, min_hot_rows),
+        hot=hot_keys(shown, name, max_hot_authors, min_hot_rows),
         rows_per_salt=min_hot_rows,
     ).withColumn("display_time", display_time(F.col("created_at")))
 

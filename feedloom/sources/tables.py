@@ -25,7 +25,7 @@ def find_user(table: DataFrame, username: str) -> DataFrame:
 
 def find_users(table: DataFrame, usernames: DataFrame) -> DataFrame:
     """The rows of many usernames."""
-    return table.join(usernames.select("username"), "username", "left_semi")
+    return table.join(usernames.select("username").distinct(), "username", "left_semi")
 
 
 def table_stream(

@@ -40,7 +40,7 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers who posted."""
-    posting = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"))
+    posting = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey")).distinct()
     return (
         table(spark, sf_dir, "customer")
         .join(posting, "c_custkey", "left_semi")

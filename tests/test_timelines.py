@@ -90,3 +90,10 @@ def test_author_names(spark, feed):
     rows = timelines.with_author_names(df, users).collect()
     assert len(rows) == len(tweets)
     assert all(r.name == ("Zoe" if r.username == "u0" else None) for r in rows)
+
+
+def test_home_timeline_of_authors_who_share_a_tweet_id(spark):
+    tweets = spark.createDataFrame([(1, "x", DAY, "from x"), (1, "y", DAY, "from y")], TWEETS)
+    edges = spark.createDataFrame([("v", "x")], "follower string, followee string")
+    shown = timelines.home_timelines(tweets, edges).select("viewer", "username", "text").collect()
+    assert [tuple(r) for r in shown] == [("v", "x", "from x")]
