@@ -139,6 +139,44 @@ requests AS (
            OR event_id > min(event_id) OVER (PARTITION BY user_id) AS taken
   FROM events)"""
 
+LIST_UPDATES = f"""WITH {EDGES},{positions('following')}
+  SELECT username,
+         string_agg(member, ',' ORDER BY position)
+           || CASE WHEN bool_or(member = 'user7') THEN '' ELSE ',user7' END AS followed,
+         coalesce(string_agg(member, ',' ORDER BY position) FILTER (member <> 'user7'), '')
+           AS unfollowed
+  FROM placed GROUP BY username"""
+
+LOADED_TWEETS = f"""WITH {TWEETS},
+  times AS (SELECT event_id AS tweet_id, {LINE_TIME} AS parsed FROM events)
+  SELECT parsed AS created_at, text, username, NULL::VARCHAR AS name
+  FROM tweets JOIN times USING (tweet_id) WHERE parsed IS NOT NULL"""
+
+POSTED = f"""WITH {TWEETS},{USERS}
+  SELECT created_at, text, username, name FROM tweets LEFT JOIN users USING (username)"""
+
+
+def kept_expired(slide: int, steps: int) -> str:
+    """Trending with tags of count 0, for a slide in seconds and a window of so many slides."""
+    start = f"time_bucket(to_seconds({slide}), {{}}, TIMESTAMP '1970-01-01')"
+    return f"""WITH {TAGS},
+  counts AS (
+    SELECT {start.format("ts")} + to_seconds({slide} * i) AS window_end, tag, count(*) AS cnt
+    FROM tags, (SELECT unnest(range(1, {steps + 1})) AS i) AS steps GROUP BY ALL),
+  seen AS (
+    SELECT tag, {start.format("min(ts)")} + to_seconds({slide}) AS first FROM tags GROUP BY tag),
+  grid AS (
+    SELECT unnest(generate_series(min(window_end), max(window_end), to_seconds({slide})))
+      AS window_end FROM counts),
+  states AS (
+    SELECT grid.window_end, seen.tag, coalesce(cnt, 0) AS cnt
+    FROM grid JOIN seen ON seen.first <= grid.window_end
+    LEFT JOIN counts ON counts.window_end = grid.window_end AND counts.tag = seen.tag)
+  SELECT window_end,
+         row_number() OVER (PARTITION BY window_end ORDER BY cnt DESC, tag) AS rk, tag, cnt
+  FROM states QUALIFY rk <= 10"""
+
+
 ORACLES: dict[str, str] = {
     "hashtag_tokens": f"""WITH {TWEETS},
   lists AS (SELECT tweet_id, string_split(text, ' ') AS l FROM tweets),
@@ -164,6 +202,18 @@ ORACLES: dict[str, str] = {
   SELECT window_end,
          row_number() OVER (PARTITION BY window_end ORDER BY cnt DESC, tag) AS rk, tag, cnt
   FROM states QUALIFY rk <= 10""",
+    "trending_keep_expired_7min": kept_expired(420, 10),
+    "trending_keep_expired_36h": kept_expired(129600, 2),
+    "trending_uneven": f"""WITH {TAGS},
+  ends AS (
+    SELECT ts, tag, date_trunc('minute', ts) + to_minutes(i) AS window_end
+    FROM tags, (SELECT unnest(range(1, 4)) AS i) AS steps),
+  counts AS (
+    SELECT window_end, tag, count(*) AS cnt FROM ends
+    WHERE window_end - to_seconds(150) <= ts GROUP BY ALL)
+  SELECT window_end,
+         row_number() OVER (PARTITION BY window_end ORDER BY cnt DESC, tag) AS rk, tag, cnt
+  FROM counts QUALIFY rk <= 10""",
     "trending_report_text": f"WITH {RANKED} {REPORT} GROUP BY window_end",
     "follow_edges": f"WITH {EDGES} SELECT * FROM edges",
     "follow_edges_incremental": f"WITH {EDGES} SELECT * FROM edges",
@@ -179,15 +229,17 @@ ORACLES: dict[str, str] = {
   SELECT requests.*, follower IS NOT NULL AS following
   FROM requests LEFT JOIN edges ON follower = viewer AND followee = profile""",
     "lists_contain": f"""WITH {EDGES}
-  SELECT follower AS username, 0::BIGINT AS page, bool_or(followee = 'user7') AS following_them
+  SELECT follower AS username, bool_or(followee = 'user7') AS following_them
   FROM edges GROUP BY follower""",
-    "list_updates": f"""WITH {EDGES},{positions('following')}
-  SELECT username,
-         string_agg(member, ',' ORDER BY position)
-           || CASE WHEN bool_or(member = 'user7') THEN '' ELSE ',user7' END AS followed,
-         coalesce(string_agg(member, ',' ORDER BY position) FILTER (member <> 'user7'), '')
-           AS unfollowed
-  FROM placed GROUP BY username""",
+    "lists_contain_paged": f"""WITH {EDGES}
+  SELECT follower AS username, bool_or(followee = 'user7') AS following_them
+  FROM edges GROUP BY follower""",
+    "list_updates": LIST_UPDATES,
+    "list_updates_paged": LIST_UPDATES,
+    "list_updates_one_page": LIST_UPDATES,
+    "stored_followers_lists": """SELECT 'user' || c_custkey AS username, 0::BIGINT AS page,
+    1::BIGINT AS n, 'user' || (c_custkey + 2) AS members
+  FROM customer WHERE c_mktsegment <> 'FURNITURE'""",
     "follow_asymmetry": f"""WITH {EDGES},
   arrived AS (SELECT * FROM moves WHERE priority <> '5-LOW'),{fold("arrived", "others")}
   SELECT coalesce(e.follower, o.follower) AS follower, coalesce(e.followee, o.followee) AS followee,
@@ -212,6 +264,14 @@ ORACLES: dict[str, str] = {
   ORDER BY created_at DESC, tweet_id DESC LIMIT 10""",
     "home_timeline": HOME,
     "home_timeline_salted": HOME,
+    "home_timeline_shared_ids": f"""WITH {TWEETS.replace("tweets AS", "numbered AS", 1)},
+tweets AS (
+  SELECT row_number() OVER (PARTITION BY username ORDER BY tweet_id) AS tweet_id, username,
+         created_at, text FROM numbered),{EDGES}
+  SELECT follower AS viewer, username, tweet_id, created_at, text, {DISPLAY} AS display_time,
+         row_number() OVER (
+           PARTITION BY follower ORDER BY created_at DESC, tweet_id DESC, username) AS rk
+  FROM edges JOIN tweets ON followee = username QUALIFY rk <= 10""",
     "home_timeline_one": f"""WITH {TWEETS},{EDGES}
   SELECT *, {DISPLAY} AS display_time FROM tweets
   WHERE username IN (SELECT followee FROM edges WHERE follower = 'user7')
@@ -232,6 +292,11 @@ ORACLES: dict[str, str] = {
            || strftime(t_at, ' %Y, %-I:%M:%S ') || lower(strftime(t_at, '%p')) AS stamp
   FROM t""",
     "parsed_dates": f"SELECT event_id AS tweet_id, {LINE_TIME} AS created_at FROM events",
+    "parsed_date_forms": """SELECT event_id AS tweet_id,
+    CASE WHEN event_id % 8 >= 6 THEN NULL
+         WHEN event_id % 8 IN (0, 2) THEN date_trunc('millisecond', ts)
+         ELSE date_trunc('second', ts) END AS created_at
+  FROM events""",
     "users_dedup": f"""WITH {TWEETS}
   SELECT username, created_at, tweet_id FROM tweets
   QUALIFY row_number() OVER (PARTITION BY username ORDER BY created_at, tweet_id) = 1""",
@@ -274,10 +339,9 @@ ORACLES: dict[str, str] = {
     "bulk_load_followers": """SELECT 'user' || c_custkey AS username,
     CASE WHEN c_mktsegment <> 'FURNITURE' THEN 'user' || (c_custkey + 2) END AS followers
   FROM customer""",
-    "bulk_load_tweets": f"""WITH {TWEETS},
-  times AS (SELECT event_id AS tweet_id, {LINE_TIME} AS parsed FROM events)
-  SELECT parsed AS created_at, text, username, NULL::VARCHAR AS name
-  FROM tweets JOIN times USING (tweet_id) WHERE parsed IS NOT NULL""",
+    "bulk_load_tweets": LOADED_TWEETS,
+    "ingest_after_load": f"""SELECT * FROM ({LOADED_TWEETS})
+  UNION ALL SELECT * FROM ({POSTED}) UNION ALL SELECT * FROM ({POSTED})""",
     "bulk_load_rejects": f"""WITH {TWEETS}
   SELECT 'users' AS input, 'malformed' AS reason, '{{bad ' || c_name AS line
   FROM customer WHERE c_mktsegment = 'MACHINERY'

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom import views
@@ -14,9 +14,10 @@ from feedloom.functions.times import account_stamp, display_time, parse_created_
 from feedloom.operators import accounts, follows
 from feedloom.operators.sliding import SlidingWindow
 from feedloom.plans import bulk_load, expired, posts, timelines, trending
+from feedloom.schemas import TWEETS
 from feedloom.session import run_dir
 from feedloom.sinks import tables
-from feedloom.sources.tables import find_user, find_users, table_stream
+from feedloom.sources.tables import find_user, find_users, read_batches, table_stream
 from feedloom.streaming import follows as follow_streams
 from feedloom.streaming import posts as post_streams
 from feedloom.streaming import trending as trending_streams
@@ -82,6 +83,27 @@ def trending_keep_expired(spark, sf):
     return expired.trending_keep_expired(views.tweets(spark, sf))
 
 
+@query
+def trending_uneven(spark, sf):
+    """Windows whose length is no multiple of the slide."""
+    spec = SlidingWindow(timedelta(seconds=150), timedelta(minutes=1))
+    return trending.trending(views.tweets(spark, sf), spec)
+
+
+@query
+def trending_keep_expired_7min(spark, sf):
+    """A slide that doesn't divide a day."""
+    spec = SlidingWindow(timedelta(minutes=70), timedelta(minutes=7))
+    return expired.trending_keep_expired(views.tweets(spark, sf), spec)
+
+
+@query
+def trending_keep_expired_36h(spark, sf):
+    """A slide longer than a day."""
+    spec = SlidingWindow(timedelta(hours=72), timedelta(hours=36))
+    return expired.trending_keep_expired(views.tweets(spark, sf), spec)
+
+
 @query
 def trending_report_text(spark, sf):
     return trending.report_text(trending.trending(views.tweets(spark, sf)))
@@ -161,12 +183,41 @@ def lists_contain(spark, sf):
     stored = follows.follow_lists(edges_table(spark, sf), "following").withColumnRenamed(
         "members", "following"
     )
-    return follows.lists_contain(stored, ONE_USER).select("username", "page", "following_them")
+    return follows.lists_contain(stored, ONE_USER)
 
 
 @query
-def list_updates(spark, sf):
+def lists_contain_paged(spark, sf):
+    stored = follows.follow_lists(edges_table(spark, sf), "following", page_size=4)
+    return follows.lists_contain(stored.withColumnRenamed("members", "following"), ONE_USER)
+
+
+def whole_lists(pages: DataFrame, name: str) -> DataFrame:
+    parts = F.array_sort(F.collect_list(F.struct("page", "members")))["members"]
+    return pages.groupBy("username").agg(F.array_join(F.flatten(parts), ",").alias(name))
+
+
+def updated_lists(spark: SparkSession, sf: str, page_size: int) -> DataFrame:
     """Every stored list with ONE_USER followed, and with ONE_USER unfollowed."""
+    stored = follows.follow_lists(edges_table(spark, sf), "following", page_size)
+    followed = whole_lists(follows.add_to_lists(stored, ONE_USER, page_size), "followed")
+    unfollowed = whole_lists(follows.remove_from_lists(stored, ONE_USER), "unfollowed")
+    return followed.join(unfollowed, "username")
+
+
+@query
+def list_updates(spark, sf):
+    return updated_lists(spark, sf, 10_000)
+
+
+@query
+def list_updates_paged(spark, sf):
+    return updated_lists(spark, sf, 4)
+
+
+@query
+def list_updates_one_page(spark, sf):
+    """The same where a list is known to be one array."""
     name, members = F.lit(ONE_USER), F.col("members")
     stored = follows.follow_lists(edges_table(spark, sf), "following")
     return stored.select(
@@ -243,6 +294,15 @@ def home_timeline_salted(spark, sf):
     )
 
 
+@query
+def home_timeline_shared_ids(spark, sf):
+    """Tweets numbered per author, so that all authors use the same ids."""
+    tweets = views.tweets(spark, sf)
+    number = F.row_number().over(Window.partitionBy("username").orderBy("tweet_id"))
+    tweets = tweets.withColumn("tweet_id", number.cast("bigint"))
+    return timelines.home_timelines(tweets, edges_table(spark, sf))
+
+
 @query
 def home_timeline_one(spark, sf):
     return timelines.home_timeline(views.tweets(spark, sf), edges_table(spark, sf), ONE_USER)
@@ -299,6 +359,16 @@ def parsed_dates(spark, sf):
     )
 
 
+@query
+def parsed_date_forms(spark, sf):
+    """Every form a client may send, and times without a date."""
+    events = views.table(spark, sf, "events")
+    return events.select(
+        F.col("event_id").alias("tweet_id"),
+        utc_wall_clock(parse_created_at(views.date_form("event_id", "ts"))).alias("created_at"),
+    )
+
+
 @query
 def users_dedup(spark, sf):
     """One account per name part of the event stream: the first event of each user."""
@@ -407,9 +477,18 @@ def bulk_load_followers(spark, sf):
     return stored.select("username", F.array_join("followers", ",").alias("followers"))
 
 
+@query
+def stored_followers_lists(spark, sf):
+    """Followers lists from the loaded followers, whatever the following side holds."""
+    stored = spark.read.parquet(loaded(spark, sf).path("followers"))
+    return joined_lists(
+        follows.follow_lists(follows.edges_of_lists(stored, "followers", LOADED_AT), "followers")
+    )
+
+
 @query
 def bulk_load_tweets(spark, sf):
-    return spark.read.parquet(loaded(spark, sf).path("tweets")).drop("tweet_id")
+    return read_batches(spark, loaded(spark, sf).path("tweets"), TWEETS).drop("tweet_id")
 
 
 @query
@@ -478,18 +557,16 @@ def stream_follow_state(spark, sf):
             trigger=ONCE,
         )
     )
-    return follow_streams.followed_pairs(
-        spark.read.parquet(f"{root}/changes").drop("batch_id")
-    )
+    return follow_streams.followed_pairs(spark.read.parquet(f"{root}/changes"))
 
 
-def ingested(spark: SparkSession, sf: str) -> str:
+def ingested(spark: SparkSession, sf: str, tweets: str | None = None) -> str:
     root = run_dir(spark, "posts")
     finished(
         post_streams.post_stream(
             event_stream(spark, sf),
-            views.users(spark, sf),
-            f"{root}/tweets",
+            lambda session: views.users(session, sf),
+            tweets or f"{root}/tweets",
             f"{root}/checkpoint",
             send=post_streams.to_table(f"{root}/topic"),
             rejects=f"{root}/rejects",
@@ -501,17 +578,25 @@ def ingested(spark: SparkSession, sf: str) -> str:
 
 @query
 def stream_post_ingest(spark, sf):
-    return spark.read.parquet(f"{ingested(spark, sf)}/tweets").drop("batch_id")
+    return read_batches(spark, f"{ingested(spark, sf)}/tweets", TWEETS)
+
+
+@query
+def ingest_after_load(spark, sf):
+    """Loaded tweets and, in the same table, the posts of two streams."""
+    path = loaded(spark, sf).path("tweets")
+    ingested(spark, sf, path)
+    ingested(spark, sf, path)
+    return read_batches(spark, path, TWEETS).drop("tweet_id")
 
 
 @query
 def stream_relayed_topic(spark, sf):
     """Messages sent from the written tweets table, with how often each was sent."""
     root = ingested(spark, sf)
-    written = spark.read.parquet(f"{root}/tweets").drop("batch_id")
     finished(
         post_streams.relay_stream(
-            table_stream(spark, f"{root}/tweets/*", written.schema),
+            table_stream(spark, f"{root}/tweets/*/*", TWEETS),
             f"{root}/relay",
             send=post_streams.to_table(f"{root}/relayed"),
             trigger=ONCE,

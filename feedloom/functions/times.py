@@ -18,15 +18,39 @@ def utc_wall_clock(ts: Column) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
 
 
+WEEKDAY = r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+"
+# What is left of the accepted forms without the weekday.
+PATTERNS = (
+    "MMM d HH:mm:ss Z yyyy",
+    "d MMM yyyy HH:mm:ss Z",
+    "MMM d yyyy HH:mm:ss Z",
+    "d MMM yyyy HH:mm:ss",
+    "MMM d yyyy HH:mm:ss",
+)
+# Clients' dates end 100 million days from the epoch, in milliseconds.
+MAX_MILLIS = 8_640_000_000_000_000
+
+
 def parse_created_at(raw: Column) -> Column:
-    """ISO-8601 or `Wed Aug 27 13:08:45 +0000 2008`; anything else gives NULL.
+    """The time that a client's text names, as TIMESTAMP; NULL where it names none.
 
-    The weekday is cut off before parsing: Spark parses no weekday names. Input
-    without a zone is read in the zone of the session.
+    Accepted are ISO-8601 with a date, milliseconds since the epoch (five digits or more),
+    `Wed Aug 27 13:08:45 +0000 2008`, RFC 2822 (`Wed, 27 Aug 2008 13:08:45 GMT`) and the display
+    form; days may have one digit. A time alone is refused: it would depend on the day of the
+    run. The weekday is cut off before parsing: Spark parses no weekday names. Input without
+    a zone is read in the zone of the session.
     """
+    text = F.trim(raw)
+    millis = F.when(text.rlike(r"^-?\d{5,16}$"), text.try_cast("bigint"))
+    millis = F.when(F.abs(millis) <= MAX_MILLIS, millis)
+    iso = F.when(text.rlike(r"^\d{4}(-|$)"), F.try_to_timestamp(text))
+    plain = F.regexp_replace(F.regexp_replace(text, WEEKDAY, ""), r"\s*\([^)]*\)$", "")
+    plain = F.regexp_replace(plain, r"\b(GMT|UTC|UT)(?=[+-]\d{4})", "")
+    plain = F.regexp_replace(plain, r"\b(GMT|UTC|UT|Z)$", "+0000")
     return F.coalesce(
-        F.try_to_timestamp(raw),
-        F.try_to_timestamp(F.substring(raw, 5, 30), F.lit("MMM dd HH:mm:ss Z yyyy")),
+        iso,
+        F.timestamp_millis(millis),
+        *[F.try_to_timestamp(plain, F.lit(pattern)) for pattern in PATTERNS],
     )
 
 

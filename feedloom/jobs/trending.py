@@ -43,6 +43,7 @@ def main(argv: list[str] | None = None) -> None:
     )
     spec = SlidingWindow(timedelta(seconds=args.window), timedelta(seconds=args.slide))
     if args.tweets:
+        # Files of a plain table or folders of batches: the columns are the same.
         tweets = spark.read.parquet(args.tweets)
         plan = trending_keep_expired if args.keep_expired else trending
         replace_table(plan(tweets, spec, args.top), f"{args.out}/trending")

@@ -203,20 +203,58 @@ def is_following(requests: DataFrame, edges: DataFrame, salt_by: list[str]) -> D
 
 
 def lists_contain(lists: DataFrame, username: str) -> DataFrame:
-    """Per stored array: does it hold `username`? A missing array holds nobody."""
-    return lists.withColumn(
-        "following_them", F.coalesce(F.array_contains("following", username), F.lit(False))
+    """`username, following_them`: does any page of the user's list hold `username`?
+
+    One row per user, however many pages a list has. A missing array holds nobody.
+    """
+    held = F.coalesce(F.array_contains("following", username), F.lit(False))
+    return lists.groupBy("username").agg(F.bool_or(held).alias("following_them"))
+
+
+def add_to_lists(pages: DataFrame, name: str, page_size: int = 10_000) -> DataFrame:
+    """`username, page, members` with `name` at the end of every list that lacks it.
+
+    It joins the last page, or starts a page where that one is full, so the list's
+    length doesn't change the result. A missing list starts with it.
+    """
+    members = F.coalesce("members", F.array().cast("array<string>"))
+    pages = pages.select("username", "page", members.alias("members"))
+    state = pages.groupBy("username").agg(
+        F.bool_or(F.array_contains("members", name)).alias("_known"), F.max("page").alias("_last")
     )
+    ends = ~F.col("_known") & (F.col("page") == F.col("_last"))
+    full = F.size("members") >= page_size
+    added = F.array(F.lit(name))
+    # The last page yields itself, and with `name` one more where it is full.
+    grown = F.when(ends & ~full, F.array(F.struct("page", F.concat("members", added).alias("members"))))
+    split = F.when(
+        ends & full,
+        F.array(
+            F.struct("page", "members"),
+            F.struct((F.col("page") + 1).alias("page"), added.alias("members")),
+        ),
+    )
+    same = F.array(F.struct("page", "members"))
+    return (
+        pages.join(state, "username")
+        .select("username", F.explode(F.coalesce(grown, split, same)).alias("at"))
+        .select("username", "at.page", "at.members")
+    )
+
+
+def remove_from_lists(pages: DataFrame, name: str) -> DataFrame:
+    """The pages without `name`; a page keeps its number, also when it becomes empty."""
+    return pages.select("username", "page", F.array_remove("members", name).alias("members"))
 
 
 def one_sided_edges(following_edges: DataFrame, followers_edges: DataFrame) -> DataFrame:
     """Edges in only one of the two redundant tables: `follower, followee, only_in`."""
-    sides = following_edges.select(*PAIR, F.lit("following").alias("side")).unionByName(
-        followers_edges.select(*PAIR, F.lit("followers").alias("side"))
+    sides = following_edges.select(*PAIR, F.lit(True).alias("out")).unionByName(
+        followers_edges.select(*PAIR, F.lit(False).alias("out"))
     )
     return (
         sides.groupBy(*PAIR)
-        .agg(F.min("side").alias("low"), F.max("side").alias("high"))
-        .where(F.col("low") == F.col("high"))
-        .select(*PAIR, F.col("low").alias("only_in"))
+        .agg(F.bool_or("out").alias("out"), F.bool_or(~F.col("out")).alias("back"))
+        .where(F.col("out") != F.col("back"))
+        .select(*PAIR, F.when(F.col("out"), "following").otherwise("followers").alias("only_in"))
     )

@@ -8,15 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # At most MAX_HOT_KEYS keys can each hold more than 1/MAX_HOT_KEYS of the rows, so
-# a frame of hot keys is always small enough to broadcast. Keys below MIN_HOT_ROWS
-# fit one task whatever their share is.
+# a frame of hot keys is always small enough to broadcast. Other keys are left to the
+# skew join of adaptive execution, which splits partitions that are large for their join.
 MAX_HOT_KEYS = 10_000
 MIN_HOT_ROWS = 1_000_000
 # A hot key is split into sub-keys of about this many rows.
 ROWS_PER_SALT = 1_000_000
 NULL_SALTS = 1 << 16
-# Short string keys of this many rows take some MB.
-MAX_BROADCAST_ROWS = 100_000
 HASH_BITS = 16
 
 
@@ -48,11 +46,6 @@ def hot_keys(
     return count_by(candidates, *keys).where(many)
 
 
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether a frame of short rows may be broadcast. Runs a job that stops early."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def salted_join(
     left: DataFrame,
     right: DataFrame,

@@ -54,8 +54,13 @@ class SlidingWindow:
         return duration(int(self.offset.total_seconds()) % self.slide_seconds)
 
     def sliding(self, ts: str | Column) -> Column:
+        # Ends are on the grid also where the slide doesn't divide the length.
+        start = int(self.offset.total_seconds()) - self.length_seconds
         return F.window(
-            ts, duration(self.length_seconds), duration(self.slide_seconds), self.start_time
+            ts,
+            duration(self.length_seconds),
+            duration(self.slide_seconds),
+            duration(start % self.slide_seconds),
         )
 
     def slot(self, ts: str | Column) -> Column:
@@ -173,7 +178,12 @@ def sliding_counts(
     ts: str,
     key: str,
     spec: SlidingWindow = SlidingWindow(),
-    form: str = "expand",
+    form: str | None = None,
 ) -> DataFrame:
-    """`window_end`, key, `cnt` for every window in which the key occurs."""
+    """`window_end`, key, `cnt` for every window in which the key occurs.
+
+    Without a `form`: delta, or chained where the slide doesn't divide the length.
+    """
+    if form is None:
+        form = "chained" if spec.length_seconds % spec.slide_seconds else "delta"
     return FORMS[form](df, ts, key, spec)

@@ -23,7 +23,8 @@ def top_k_per_group(
     """First k rows per group with their rank.
 
     The rank filter plans as WindowGroupLimit, so each task sends at most k rows of
-    a group to the shuffle and a hot group never meets in one task.
+    a group to the shuffle and a hot group never meets in one task. That holds for k up to
+    spark.sql.optimizer.windowGroupLimitThreshold (1,000); set it higher for a larger k.
     """
     spec = Window.partitionBy(*group).orderBy(*order)
     return (

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from feedloom.functions.times import parse_created_at, utc_wall_clock, wall_clock
 from feedloom.operators.accounts import first_per_key, with_credentials
 from feedloom.schemas import CORRUPT, TWEET_LINE, USER_LINE
-from feedloom.sinks.tables import replace_table
+from feedloom.sinks.tables import replace_batches, replace_table
 from feedloom.sources.lines import LINE_ORDER, read_tweet_lines, read_user_lines
 
 MALFORMED, NO_USERNAME = "malformed", "no_username"
+FIRST_LOADED_ID = -(1 << 62)
 DUPLICATE, BAD_DATE = "duplicate_username", "bad_created_at"
 
 
@@ -65,7 +66,8 @@ def split_users(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def split_tweets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tweets with parsed time, rejects)."""
+    """(tweets with parsed time, rejects). Ids follow the lines and are negative, so that they
+    never meet those of posts."""
     parsed = line_problem(lines).withColumn(
         "at", utc_wall_clock(parse_created_at(F.col("created_at")))
     )
@@ -74,7 +76,7 @@ def split_tweets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(F.col("reason"), F.when(F.col("at").isNull(), F.lit(BAD_DATE))),
     )
     tweets = marked.where(F.col("reason").isNull()).select(
-        F.col("row").alias("tweet_id"),
+        (F.col("row") + FIRST_LOADED_ID).alias("tweet_id"),
         F.col("at").alias("created_at"),
         "text",
         "username",
@@ -94,7 +96,8 @@ def bulk_load(
     """Replaces users, following, followers, tweets and rejects below `out_dir`.
 
     Each input is parsed once into a staged table. That fixes the line order for all
-    later jobs, and each of them reads only its own columns.
+    later jobs, and each of them reads only its own columns. The tweets table is one of
+    batches, to which posts are added later; read it with `sources.tables.read_batches`.
     """
     tables = FeedTables(out_dir)
     replace_table(read_user_lines(spark, users_path), tables.path("staging/users"))
@@ -109,6 +112,6 @@ def bulk_load(
     replace_table(accounts, tables.path("users"))
     replace_table(users.select("username", "following"), tables.path("following"))
     replace_table(users.select("username", "followers"), tables.path("followers"))
-    replace_table(tweets, tables.path("tweets"))
+    replace_batches(tweets, tables.path("tweets"))
     replace_table(user_rejects.unionByName(tweet_rejects), tables.path("rejects"))
     return tables

@@ -7,6 +7,7 @@ all tags are built: k names per slot and per chunk of time are enough.
 
 from __future__ import annotations
 
+import math
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,9 +21,18 @@ from feedloom.plans.trending import tag_order, timed_tags, trending
 CHUNK = timedelta(days=1)
 
 
+def chunk_seconds(spec: SlidingWindow) -> int:
+    """About a day, and a whole number of slides."""
+    return math.ceil(CHUNK.total_seconds() / spec.slide_seconds) * spec.slide_seconds
+
+
 def chunk_of(end: Column, spec: SlidingWindow) -> Column:
-    width = duration(int(CHUNK.total_seconds()))
-    return F.window(end, width, startTime=spec.start_time)["start"]
+    return F.window(end, duration(chunk_seconds(spec)), startTime=spec.start_time)["start"]
+
+
+def first_end(ts: str | Column, spec: SlidingWindow) -> Column:
+    """End of the first window that holds `ts`; ends lie on the grid of the slide."""
+    return F.window(ts, duration(spec.slide_seconds), startTime=spec.start_time)["end"]
 
 
 def first_ends(tweets: DataFrame, spec: SlidingWindow, k: int) -> DataFrame:
@@ -30,7 +40,7 @@ def first_ends(tweets: DataFrame, spec: SlidingWindow, k: int) -> DataFrame:
     first = (
         timed_tags(tweets)
         .groupBy("tag")
-        .agg(F.min(spec.slot("ts")["end"]).alias("end"))
+        .agg(F.min(first_end("ts", spec)).alias("end"))
     )
     return top_k_per_group(first, ["end"], [F.asc("tag")], k).select(
         chunk_of(F.col("end"), spec).alias("chunk"), "end", "tag"
@@ -39,18 +49,23 @@ def first_ends(tweets: DataFrame, spec: SlidingWindow, k: int) -> DataFrame:
 
 def window_grid(tweets: DataFrame, spec: SlidingWindow) -> DataFrame:
     """`chunk, end` of all windows from the first to the last one with a live tag."""
-    day = seconds(int(CHUNK.total_seconds()))
-    slot_end = spec.slot("ts")["end"]
-    reach = seconds(spec.length_seconds - spec.slide_seconds)
-    bounds = timed_tags(tweets).agg(
-        F.min(slot_end).alias("lo"), (F.max(slot_end) + reach).alias("hi")
+    chunk = seconds(chunk_seconds(spec))
+    bounds = (
+        timed_tags(tweets)
+        .agg(F.min("ts").alias("lo_ts"), (F.max("ts") + seconds(spec.length_seconds)).alias("hi_ts"))
+        .where("lo_ts IS NOT NULL")
+        .withColumn("lo", first_end("lo_ts", spec))
+        # The last end that isn't behind the reach of the last tag.
+        .withColumn("hi", first_end("hi_ts", spec) - seconds(spec.slide_seconds))
     )
     return (
         bounds.withColumn("first", chunk_of(F.col("lo"), spec))
         .withColumn("last", chunk_of(F.col("hi"), spec))
-        .withColumn("chunk", F.explode(F.sequence("first", "last", day)))
+        .withColumn("chunk", F.explode(F.sequence("first", "last", chunk)))
+        # One row has become one per chunk: each task makes the windows of its own chunks.
+        .repartition("chunk")
         .withColumn("start", F.greatest("chunk", "lo"))
-        .withColumn("stop", F.least(F.col("chunk") + day - seconds(spec.slide_seconds), "hi"))
+        .withColumn("stop", F.least(F.col("chunk") + chunk - seconds(spec.slide_seconds), "hi"))
         .withColumn("end", F.explode(F.sequence("start", "stop", seconds(spec.slide_seconds))))
         .select("chunk", "end")
     )

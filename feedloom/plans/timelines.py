@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.times import display_time
 from feedloom.operators.skew import (
-    MAX_BROADCAST_ROWS,
     MAX_HOT_KEYS,
     MIN_HOT_ROWS,
     hot_keys,
-    is_small,
     salted_join,
 )
 from feedloom.operators.topk import top_k, top_k_per_group
@@ -63,20 +61,13 @@ def followees_of(edges: DataFrame, viewer: str) -> DataFrame:
     )
 
 
-def followee_tweets(
-    tweets: DataFrame,
-    edges: DataFrame,
-    viewer: str,
-    max_broadcast: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
+def followee_tweets(tweets: DataFrame, edges: DataFrame, viewer: str) -> DataFrame:
     """All tweets of the users that `viewer` follows; a repeated edge repeats nothing.
 
-    The followees are counted: a short list is broadcast and no tweet is shuffled.
+    Spark broadcasts a list that its statistics show to be short; otherwise adaptive
+    execution splits the tweets of a busy author.
     """
-    followees = followees_of(edges, viewer)
-    if is_small(followees, max_broadcast):
-        return tweets.join(F.broadcast(followees), "username", "left_semi")
-    return salted_join(tweets, followees, ["username"], "left_semi", salt_by=["tweet_id"])
+    return tweets.join(followees_of(edges, viewer).distinct(), "username", "left_semi")
 
 
 def home_timeline(
@@ -84,18 +75,12 @@ def home_timeline(
     edges: DataFrame,
     viewer: str,
     k: int = 10,
-    max_broadcast: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """The k newest tweets of the users that `viewer` follows.
 
-    For a viewer with very many followees, authors are cut to k before the join.
+    Each task of the join keeps its own k newest.
     """
-    followees = followees_of(edges, viewer)
-    if is_small(followees, max_broadcast):
-        seen = tweets.join(F.broadcast(followees), "username", "left_semi")
-    else:
-        candidates = newest_per_author(tweets, k).drop("rk")
-        seen = candidates.join(followees, "username", "left_semi")
+    seen = followee_tweets(tweets, edges, viewer)
     return top_k(seen, newest_first(), k).withColumn(
         "display_time", display_time(F.col("created_at"))
     )
@@ -131,7 +116,7 @@ def home_timelines(
     shown = top_k_per_group(
         seen.select("viewer", F.col("followee").alias("username"), "tweet_id", "created_at"),
         ["viewer"],
-        newest_first(),
+        [*newest_first(), F.asc("username")],
         k,
     )
     # Two authors may have used one tweet_id.

@@ -44,7 +44,7 @@ def hashtag_top(tweets: DataFrame, k: int = 10) -> DataFrame:
 
 
 def hashtag_window_counts(
-    tweets: DataFrame, spec: SlidingWindow = SlidingWindow(), form: str = "delta"
+    tweets: DataFrame, spec: SlidingWindow = SlidingWindow(), form: str | None = None
 ) -> DataFrame:
     return sliding_counts(timed_tags(tweets), "ts", "tag", spec, form)
 
@@ -53,7 +53,7 @@ def trending(
     tweets: DataFrame,
     spec: SlidingWindow = SlidingWindow(),
     k: int = 10,
-    form: str = "delta",
+    form: str | None = None,
 ) -> DataFrame:
     """`window_end, rk, tag, cnt`: the k most frequent tags of every window."""
     counts = hashtag_window_counts(tweets, spec, form)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -18,13 +19,32 @@ def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> str:
-    """Writes one micro-batch to its own partition; writing it again replaces it."""
-    folder = f"{path}/batch_id={batch_id}"
+# Tables with several writers hold one folder per writer and batch; see sources.read_batches.
+WRITER, BATCH = "batch_writer", "batch_id"
+LOAD = "load"
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int, writer: str) -> str:
+    """Writes one batch of one writer to its own folder; writing it again replaces it.
+
+    Batch ids start anew with each checkpoint, so a stream's `writer` is its own id.
+    """
+    folder = f"{path}/{WRITER}={writer}/{BATCH}={batch_id}"
     df.write.mode("overwrite").parquet(folder)
     return folder
 
 
+def replace_batches(df: DataFrame, path: str) -> None:
+    """Replaces all batches of all writers by `df`; streams may add to it later."""
+    labels = {WRITER: F.lit(LOAD), BATCH: F.lit(0).cast("bigint")}
+    df.withColumns(labels).write.mode("overwrite").partitionBy(WRITER, BATCH).parquet(path)
+
+
+def append_batch(df: DataFrame, path: str) -> str:
+    """Adds `df` as a batch of a new writer."""
+    return write_batch(df, path, 0, f"append-{uuid.uuid4().hex}")
+
+
 def write_bucketed(
     df: DataFrame,
     name: str,

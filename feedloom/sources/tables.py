@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from feedloom.sinks.tables import BATCH, WRITER
 
 
 def read_table(
@@ -18,6 +20,12 @@ def read_table(
     return df if where is None else df.where(where)
 
 
+def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All rows of a table of batches, whoever wrote them. The schema makes an empty table readable."""
+    labelled = StructType([*schema, StructField(WRITER, StringType()), StructField(BATCH, LongType())])
+    return spark.read.schema(labelled).parquet(path).drop(WRITER, BATCH)
+
+
 def find_user(table: DataFrame, username: str) -> DataFrame:
     """The row of one username, or no row."""
     return table.where(F.col("username") == username).limit(1)

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.operators.follows import FOLLOW, PAIR
 from feedloom.sinks.tables import write_batch
+from feedloom.streaming.batches import stream_id
 
 
 def pair_states(events: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def follow_stream(
         .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 second"}))
-        .foreachBatch(lambda batch, batch_id: write_batch(batch, changes, batch_id))
+        .foreachBatch(lambda batch, batch_id: write_batch(batch, changes, batch_id, stream_id(batch)))
         .start()
     )
 

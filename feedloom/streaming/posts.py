@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,11 +12,12 @@ from feedloom.plans.posts import check_texts, tweet_records
 from feedloom.sinks.tables import write_batch
 from feedloom.sinks.topic import publish, topic_records
 from feedloom.sources.topic import TOPIC
+from feedloom.streaming.batches import stream_id
 
 
 def post_stream(
     posts: DataFrame,
-    users: DataFrame,
+    users: Callable[[SparkSession], DataFrame],
     tweets: str,
     checkpoint: str,
     send: Callable[[DataFrame, int], None] | None,
@@ -26,6 +27,9 @@ def post_stream(
 ) -> StreamingQuery:
     """Starts the ingest; with `rejects`, unpostable texts go there instead.
 
+    `users` is asked for the users table once per batch, so that who signs up or changes a
+    name while the stream runs is seen.
+
     The table is written first, one folder per batch, and the topic is sent what the
     table holds. When a batch is run again the folder is replaced, while `send` may
     be called twice with the same batch id.
@@ -34,13 +38,17 @@ def post_stream(
     def ingest(batch: DataFrame, batch_id: int) -> None:
         # The batch is read for rejects, hot authors and records: keep it meanwhile.
         accepted = batch.persist()
-        if rejects is not None:
-            checked = check_texts(batch)
-            write_batch(checked.where(F.col("problem").isNotNull()), rejects, batch_id)
-            accepted = checked.where(F.col("problem").isNull()).drop("problem")
-        records = tweet_records(accepted, users)
-        folder = write_batch(records, tweets, batch_id)
-        batch.unpersist()
+        writer = stream_id(batch)
+        try:
+            if rejects is not None:
+                checked = check_texts(batch)
+                problems = checked.where(F.col("problem").isNotNull())
+                write_batch(problems, rejects, batch_id, writer)
+                accepted = checked.where(F.col("problem").isNull()).drop("problem")
+            records = tweet_records(accepted, users(batch.sparkSession))
+            folder = write_batch(records, tweets, batch_id, writer)
+        finally:
+            batch.unpersist()
         if send is not None:
             stored = batch.sparkSession.read.schema(records.schema).parquet(folder)
             send(topic_records(stored, as_json), batch_id)
@@ -76,4 +84,8 @@ def to_topic(servers: str, topic: str = TOPIC) -> Callable[[DataFrame, int], Non
 
 def to_table(path: str) -> Callable[[DataFrame, int], None]:
     """Stands in for the topic: one folder of messages per batch."""
-    return lambda records, batch_id: write_batch(records, path, batch_id) and None
+
+    def send(records: DataFrame, batch_id: int) -> None:
+        write_batch(records, path, batch_id, stream_id(records))
+
+    return send

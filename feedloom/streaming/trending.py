@@ -10,6 +10,7 @@ from feedloom.operators.sliding import SlidingWindow, chained_counts
 from feedloom.operators.topk import top_k_per_group
 from feedloom.plans.trending import report_text, tag_order, timed_tags
 from feedloom.sinks.tables import write_batch
+from feedloom.streaming.batches import stream_id
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -49,17 +50,19 @@ def trending_stream(
     """Starts the stream; every closed window arrives whole in one batch.
 
     Rankings go to `table`, and as printable text to `reports` when given, one
-    folder per batch. A batch that is run again replaces its folder.
+    folder per batch. A batch that is run again replaces its folder. A new checkpoint is
+    a new stream, whose windows come beside those of the old one.
     """
 
     def rank(batch: DataFrame, batch_id: int) -> None:
         ranking = top_k_per_group(batch, ["window_end"], tag_order(), k).select(
             "window_end", "rk", "tag", "cnt"
         )
-        folder = write_batch(ranking, table, batch_id)
+        writer = stream_id(batch)
+        folder = write_batch(ranking, table, batch_id, writer)
         if reports is not None:
             written = batch.sparkSession.read.schema(ranking.schema).parquet(folder)
-            write_batch(report_text(written), reports, batch_id)
+            write_batch(report_text(written), reports, batch_id, writer)
 
     return (
         trending_counts(messages, spec, delay)

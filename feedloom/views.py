@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.functions.times import display_time
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -150,6 +152,21 @@ def tweet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def date_form(number: str, ts: str) -> Column:
+    """`ts` as a text in one of eight forms, by `number`; two of them name no date."""
+    forms = [
+        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
+        F.date_format(ts, "EEE MMM d HH:mm:ss '+0000' yyyy"),
+        F.unix_millis(F.col(ts).cast("timestamp")).cast("string"),
+        F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss '+0000'"),
+        display_time(F.col(ts)),
+        F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'"),
+        F.date_format(ts, "HH:mm:ss"),
+        F.date_format(ts, "'T'HH:mm"),
+    ]
+    return F.element_at(F.array(*forms), (F.pmod(F.col(number), F.lit(8)) + 1).cast("int"))
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """Writes lines as text in (key, part) order over many files."""
     (

@@ -114,4 +114,13 @@ def test_jobs_from_lines_to_pages(spark, tmp_path):
     lists = {r.username: r.members for r in spark.read.parquet(f"{out}/following").collect()}
     assert lists == {"a": ["b"], "c": ["a"]}
     assert spark.read.parquet(f"{out}/profiles").count() == 2
+    stored = {r.username: r.followers or [] for r in spark.read.parquet(f"{feed}/followers").collect()}
+    kept = {r.username: r.members for r in spark.read.parquet(f"{out}/followers").collect()}
+    for name, followers in stored.items():
+        left = [f for f in dict.fromkeys(followers) if (f, name) != ("a", "c")]
+        assert kept.get(name, []) == left + (["c"] if name == "a" and "c" not in left else [])
+    sides = spark.read.parquet(f"{out}/asymmetry").collect()
+    pairs = {(f, name) for name, fs in kept.items() for f in fs}
+    both = {(name, f) for name, fs in lists.items() for f in fs}
+    assert {(r.follower, r.followee) for r in sides} == pairs ^ both
     assert [r.seq for r in spark.read.parquet(f"{out}/rejects").collect()] == [3]

@@ -153,3 +153,33 @@ def test_fold_plan_has_no_hot_task(spark):
     df = follows.fold_follow_events(spark.createDataFrame(rows, SCHEMA))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 2, 4, 10_000])
+def test_lists_give_the_same_in_pages_of_any_size(spark, size):
+    stored = {"u1": ["b", "c", "d", "e"], "u2": ["a", "c"], "u3": ["b"], "u4": []}
+    rows = [
+        (name, page, members[page * size : (page + 1) * size])
+        for name, members in stored.items()
+        for page in range(max(1, -(-len(members) // size)))
+    ]
+    pages = spark.createDataFrame(rows + [("u5", 0, None)], "username string, page bigint, members array<string>")
+
+    def whole(df):
+        found = {}
+        for r in df.orderBy("page").collect():
+            assert len(r.members) <= size
+            found.setdefault(r.username, []).extend(r.members)
+        return found
+
+    def added(members):
+        return members if "b" in members else [*members, "b"]
+
+    want = {name: added(members) for name, members in stored.items()} | {"u5": ["b"]}
+    assert whole(follows.add_to_lists(pages, "b", size)) == want
+    gone = whole(follows.remove_from_lists(pages.where("members is not null"), "b"))
+    assert gone == {name: [m for m in members if m != "b"] for name, members in stored.items()}
+    held = follows.lists_contain(pages.withColumnRenamed("members", "following"), "b").collect()
+    assert {r.username: r.following_them for r in held} == {
+        name: "b" in members for name, members in stored.items()
+    } | {"u5": False}

@@ -38,6 +38,18 @@ def test_parse_created_at(spark):
         ("2014-11-23T14:05:09.123Z", datetime(2014, 11, 23, 14, 5, 9, 123000)),
         ("2014-11-23T14:05:09+02:00", datetime(2014, 11, 23, 12, 5, 9)),
         ("Wed Aug 27 13:08:45 +0000 2008", datetime(2008, 8, 27, 13, 8, 45)),
+        ("Wed Aug 7 13:08:45 +0000 2013", datetime(2013, 8, 7, 13, 8, 45)),
+        ("Wed, 27 Aug 2008 13:08:45 GMT", datetime(2008, 8, 27, 13, 8, 45)),
+        ("Wed, 7 Aug 2013 13:08:45 +0200", datetime(2013, 8, 7, 11, 8, 45)),
+        ("27 Aug 2008 13:08:45 -0000", datetime(2008, 8, 27, 13, 8, 45)),
+        ("Wed Aug 27 2008 13:08:45 GMT+0000", datetime(2008, 8, 27, 13, 8, 45)),
+        ("Wed Aug 27 2008 15:08:45 GMT+0200 (CEST)", datetime(2008, 8, 27, 13, 8, 45)),
+        ("1219842525000", datetime(2008, 8, 27, 13, 8, 45)),
+        ("8640000000000001", None),
+        ("99999999999999999999", None),
+        ("2008-08-27", datetime(2008, 8, 27)),
+        ("10:00:00", None),
+        ("T10:00", None),
         ("nope", None),
         ("", None),
         (None, None),

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from feedloom.jobs import trending as trending_job
 from feedloom.operators.follows import fold_follow_events
 from feedloom.plans import trending
-from feedloom.schemas import FOLLOW_EVENTS, POSTS
+from feedloom.schemas import FOLLOW_EVENTS, POSTS, TWEETS
+from feedloom.sinks.tables import append_batch, append_table, replace_batches, replace_table
 from feedloom.sinks.topic import topic_records
-from feedloom.sources.tables import table_stream
+from feedloom.sources.tables import read_batches, table_stream
 from feedloom.sources.topic import message_posts, message_texts, topic_stream
 from feedloom.streaming.follows import follow_stream, followed_pairs
 from feedloom.streaming.posts import post_stream, to_table
@@ -114,7 +115,7 @@ def test_follow_state_equals_fold(spark, tmp_path):
     follow_stream(
         files(spark, folder, FOLLOW_EVENTS), f"{out}/changes", f"{out}/checkpoint", ONCE
     ).awaitTermination()
-    got = followed_pairs(spark.read.parquet(f"{out}/changes").drop("batch_id"))
+    got = followed_pairs(spark.read.parquet(f"{out}/changes"))
     want = fold_follow_events(spark.createDataFrame(rows, FOLLOW_EVENTS))
     assert rows_of(got, "follower", "followee") == rows_of(want, "follower", "followee")
 
@@ -126,10 +127,10 @@ def test_post_ingest(spark, tmp_path):
     add_file(spark, folder, "1", rows[4:], POSTS)
     users = spark.createDataFrame([(f"u{i}", f"N{i}") for i in range(5)], "username string, name string")
     post_stream(
-        files(spark, folder, POSTS), users, f"{out}/tweets", f"{out}/checkpoint",
+        files(spark, folder, POSTS), lambda _: users, f"{out}/tweets", f"{out}/checkpoint",
         send=to_table(f"{out}/topic"), rejects=f"{out}/rejects", trigger=ONCE,
     ).awaitTermination()
-    tweets = spark.read.parquet(f"{out}/tweets").drop("batch_id")
+    tweets = read_batches(spark, f"{out}/tweets", TWEETS)
     assert tweets.columns == ["tweet_id", "created_at", "text", "username", "name"]
     names = {r.tweet_id: r.name for r in tweets.collect()}
     assert names == {i: f"N{i % 5}" for i in range(6)} | {92: None}
@@ -140,6 +141,36 @@ def test_post_ingest(spark, tmp_path):
     assert rows_of(problems, "tweet_id", "problem") == [(90, "empty"), (91, "too_long")]
 
 
+def ingest(spark, folder, out, checkpoint, users):
+    post_stream(
+        files(spark, folder, POSTS), lambda s: s.read.parquet(users), f"{out}/tweets",
+        f"{out}/{checkpoint}", send=None, trigger=ONCE,
+    ).awaitTermination()
+
+
+def test_no_writer_hides_or_replaces_the_rows_of_another(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    users = f"{out}/users"
+    name = "username string, name string"
+    replace_table(spark.createDataFrame([("u0", "N0")], name), users)
+    stored = spark.createDataFrame([(-1, START, "old", "u0", None)], TWEETS)
+    replace_batches(stored.limit(0), f"{out}/tweets")
+    assert read_batches(spark, f"{out}/tweets", TWEETS).count() == 0
+    replace_batches(stored, f"{out}/tweets")
+    add_file(spark, folder, "0", posts(n=2), POSTS)
+    ingest(spark, folder, out, "first", users)
+    append_table(spark.createDataFrame([("u2", "N2")], name), users)  # signs up later
+    add_file(spark, folder, "1", posts(n=3)[2:], POSTS)
+    ingest(spark, folder, out, "first", users)
+    ingest(spark, folder, out, "second", users)
+    append_batch(stored, f"{out}/tweets")
+    got = read_batches(spark, f"{out}/tweets", TWEETS).groupBy("tweet_id").agg(
+        F.count(F.lit(1)), F.max("name"))
+    assert rows_of(got, *got.columns) == [(-1, 2, None), (0, 2, "N0"), (1, 2, None), (2, 2, "N2")]
+    replace_batches(stored, f"{out}/tweets")
+    assert read_batches(spark, f"{out}/tweets", TWEETS).count() == 1
+
+
 def test_topic_records_and_messages(spark):
     tweets = spark.createDataFrame(posts(n=3), POSTS)
     assert topic_records(tweets).columns == ["value"]

@@ -50,13 +50,12 @@ def test_home_timelines(feed, k, popular):
     assert per(timelines.home_timelines(df, edges, k, min_hot_rows=limit), "viewer") == want
 
 
-@pytest.mark.parametrize("max_broadcast", [0, 100])
-def test_home_timeline_of_one(feed, max_broadcast):
+def test_home_timeline_of_one(feed):
     tweets, pairs, df, edges = feed
     want = newest([t for t in tweets if ("u3", t[1]) in pairs])
-    got = timelines.home_timeline(df, edges, "u3", 10, max_broadcast).collect()
+    got = timelines.home_timeline(df, edges, "u3", 10).collect()
     assert [r.tweet_id for r in got] == want
-    all_tweets = timelines.followee_tweets(df, edges, "u3", max_broadcast).collect()
+    all_tweets = timelines.followee_tweets(df, edges, "u3").collect()
     assert {r.tweet_id for r in all_tweets} == {t[0] for t in tweets if ("u3", t[1]) in pairs}
 
 

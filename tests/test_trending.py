@@ -23,7 +23,6 @@ def brute(rows, spec=SlidingWindow()):
     counts, epoch = Counter(), datetime(1970, 1, 1) + spec.offset
     for ts, tag in rows:
         end = epoch + ((ts - epoch) // spec.slide + 1) * spec.slide
-        end -= (spec.slide - spec.length % spec.slide) % spec.slide if spec.length % spec.slide else timedelta(0)
         while end - spec.length <= ts:
             if ts < end:
                 counts[end, tag] += 1
@@ -61,8 +60,8 @@ def test_other_windows(spark, spec, forms):
     rows = [(START + timedelta(seconds=rng.randrange(7200)), rng.choice("#a #b".split()))
             for _ in range(60)]
     want = counted(sliding_counts(frame(spark, rows), "ts", "tag", spec, "expand"))
-    if spec.length_seconds % spec.slide_seconds == 0:
-        assert want == brute(rows, spec)
+    assert want == brute(rows, spec)
+    assert counted(sliding_counts(frame(spark, rows), "ts", "tag", spec)) == want
     for form in forms:
         assert counted(sliding_counts(frame(spark, rows), "ts", "tag", spec, form)) == want, form
 
@@ -118,8 +117,17 @@ def test_null_time_and_text_give_no_rows(spark):
     assert trending.trending(tweets(spark, rows)).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_keep_expired_equals_full_states(spark, seed):
+@pytest.mark.parametrize(
+    "seed, spec",
+    [
+        (0, SlidingWindow()),
+        (1, SlidingWindow(offset=timedelta(seconds=20))),
+        (2, SlidingWindow(timedelta(minutes=70), timedelta(minutes=7))),
+        (3, SlidingWindow(timedelta(seconds=150), MINUTE)),
+        (4, SlidingWindow(timedelta(hours=72), timedelta(hours=36))),
+    ],
+)
+def test_keep_expired_equals_full_states(spark, seed, spec):
     rng = random.Random(seed)
     names = [f"#n{i:02}" for i in range(25)]
     rows = []
@@ -128,7 +136,7 @@ def test_keep_expired_equals_full_states(spark, seed):
         at = START + timedelta(minutes=rng.randrange(60) + gap, seconds=rng.randrange(60))
         rows.append((at, " ".join(rng.sample(names, rng.randrange(1, 4)))))
     tags = [(ts, tag) for ts, text in rows for tag in text.split(" ")]
-    counts = brute(tags)
+    counts = brute(tags, spec)
     ends = [e for e, _ in counts]
     first = {}
     for (end, tag) in counts:
@@ -137,8 +145,8 @@ def test_keep_expired_equals_full_states(spark, seed):
     while end <= max(ends):
         seen = sorted((-counts[end, t], t) for t in first if first[t] <= end)
         want[end] = [(t, -c) for c, t in seen[:10]]
-        end += MINUTE
+        end += spec.slide
     got = {}
-    for r in expired.trending_keep_expired(tweets(spark, rows)).orderBy("window_end", "rk").collect():
+    for r in expired.trending_keep_expired(tweets(spark, rows), spec).orderBy("window_end", "rk").collect():
         got.setdefault(r.window_end, []).append((r.tag, r.cnt))
     assert got == want
