@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from functools import partial
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -61,6 +62,7 @@ DISGUISES = str.maketrans("013457@$!", "oieastasi")
 WORD = re.compile(r"[^\s.,;:?\"()\[\]{}<>|]+")
 STRETCHED = re.compile(r"(.)\1{2,}")
 INSIDE = re.compile(r"[^\W\d_][\d@$!*#]+[^\W\d_]")
+SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 SPELLED = re.compile(r"(?:\b\w[ .\-_*]){3,}\w\b")
 
 FEATURES = (
@@ -70,8 +72,12 @@ FEATURES = (
 )
 
 
+def _plain(token: str) -> str:
+    return token.strip("!'*-_").lower()
+
+
 def words_of(text: str) -> list[str]:
-    return [w.strip("!'*-_").lower() for w in WORD.findall(text)]
+    return [_plain(token) for token in WORD.findall(text)]
 
 
 def units_of(word: str) -> list[str]:
@@ -79,64 +85,106 @@ def units_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) > n)]
 
 
-def features_of(text: str | None, lexicon: Mapping[str, float]) -> list[float]:
-    """One value per name in FEATURES; all rates of an empty text are zero."""
+class _Mark(NamedTuple):
+    """What a token adds to the features of a text."""
+
+    word: str
+    insult: bool
+    disguised: bool
+    learned: float
+    you: bool
+    mixed: int
+    stretched: int
+    shouted: int
+
+
+class Marks(dict):
+    """Marks of tokens for one lexicon; None for the most, which add nothing but their number.
+
+    No match of INSIDE, SHOUTED or of a stretched letter goes beyond a token.
+    """
+
+    def __init__(self, lexicon: Mapping[str, float]) -> None:
+        self.lexicon = lexicon
+
+    def __missing__(self, token: str) -> _Mark | None:
+        word = _plain(token)
+        insult = word in INSULTS
+        shown = STRETCHED.sub(r"\1", word.translate(DISGUISES))
+        mark = _Mark(
+            word,
+            insult,
+            not insult and shown != word and (shown in INSULTS or shown in self.lexicon),
+            max((self.lexicon.get(u, 0.0) for u in units_of(word)), default=0.0),
+            word in SECOND_PERSON,
+            len(INSIDE.findall(token)),
+            len(STRETCHED.findall(token)),
+            len(SHOUTED.findall(token)),
+        )
+        self[token] = mark if any(mark[1:]) else None
+        return self[token]
+
+
+def features_of(text: str | None, lexicon: Mapping[str, float], marks: Marks | None = None) -> list[float]:
+    """One value per name in FEATURES; all rates of an empty text are zero.
+
+    `marks` remembers tokens from text to text.
+    """
     text = text or ""
-    words = words_of(text)
-    n, chars = max(1, len(words)), max(1, len(text))
-    insults = disguised = 0
+    marks = Marks(lexicon) if marks is None else marks
+    if len(marks) > REMEMBERED:
+        marks.clear()
+    tokens = WORD.findall(text)
+    n, chars = max(1, len(tokens)), max(1, len(text))
     hits: list[int] = []
     you: list[int] = []
-    learned: list[float] = []
-    kinds = set()
-    remembered: dict[str, tuple[int, int, float]] = {}
-    for place, word in enumerate(words):
-        seen = remembered.get(word)
-        if seen is None:
-            plain = STRETCHED.sub(r"\1", word.translate(DISGUISES))
-            insult = word in INSULTS
-            hidden = not insult and plain != word and (plain in INSULTS or plain in lexicon)
-            best = max((lexicon.get(u, 0.0) for u in units_of(word)), default=0.0)
-            seen = remembered[word] = (int(insult), int(hidden), best)
-        insult, hidden, best = seen
-        insults += insult
-        disguised += hidden
-        if best:
-            learned.append(best)
-            kinds.add(word)
-        if insult or hidden or best:
-            hits.append(place)
-        if word in SECOND_PERSON:
-            you.append(place)
-    letters = sum(map(str.isalpha, text)) if not text.isascii() else len(_LETTERS.findall(text))
-    capitals = len(_CAPITALS.findall(text))
-    shouted = len(_SHOUTED.findall(text))
-    signs = len(_SIGNS.findall(text))
+    found: list[_Mark] = []
+    for place, mark in enumerate(map(marks.__getitem__, tokens)):
+        if mark is not None:
+            found.append(mark)
+            if mark.insult or mark.disguised or mark.learned:
+                hits.append(place)
+            if mark.you:
+                you.append(place)
+    insults = sum(m.insult for m in found)
+    learned = [m.learned for m in found if m.learned]
+    ascii_part = text.encode("ascii", "ignore")
+    others = "" if text.isascii() else "".join(_OTHERS.findall(text))
+    letters = len(ascii_part.translate(None, _NO_LETTERS)) + sum(map(str.isalpha, others))
+    capitals = len(ascii_part.translate(None, _NO_CAPITALS)) + len(_CAPITAL.findall(others))
+    signs = len(ascii_part.translate(None, _NO_SIGNS)) + len(_SIGN.findall(others))
     return [
-        math.log1p(len(words)),
+        math.log1p(len(tokens)),
         insults / n,
         math.log1p(insults),
         sum(learned) / n,
         math.log1p(len(learned)),
         max(learned, default=0.0),
-        math.log1p(len(kinds)),
-        disguised / n,
+        math.log1p(len({m.word for m in found if m.learned})),
+        sum(m.disguised for m in found) / n,
         len(you) / n,
         _near(hits, you),
         capitals / max(1, letters),
-        shouted / n,
+        sum(m.shouted for m in found) / n,
         signs / chars,
         (text.count("!") + text.count("?")) / chars,
-        len(INSIDE.findall(text)) / n,
-        len(STRETCHED.findall(text)) / n,
+        sum(m.mixed for m in found) / n,
+        (sum(m.stretched for m in found) + len(_STRETCHED_GAP.findall(text))) / n,
         len(SPELLED.findall(text)) / n,
     ]
 
 
-_LETTERS = re.compile(r"[A-Za-z]")
-_CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-_SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
-_SIGNS = re.compile(r"[^\w\s]")
+# Tokens remembered at most between two texts.
+REMEMBERED = 500_000
+_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
+_SIGN = re.compile(r"[^\w\s]")
+_OTHERS = re.compile(r"[^\x00-\x7F]+")
+# Three or more equal separators of tokens.
+_STRETCHED_GAP = re.compile(r"([^\S\n]|[.,;:?\"()\[\]{}<>|])\1{2,}")
+_ASCII = [chr(i) for i in range(128)]
+_NO_LETTERS = "".join(c for c in _ASCII if not c.isalpha()).encode()
+_NO_CAPITALS = "".join(c for c in _ASCII if not _CAPITAL.match(c)).encode()
+_NO_SIGNS = "".join(c for c in _ASCII if not _SIGN.match(c)).encode()
 
 
 def _near(hits: list[int], you: list[int]) -> float:
@@ -152,8 +200,9 @@ def _near(hits: list[int], you: list[int]) -> float:
 def _featurise(
     batches: Iterator[pa.RecordBatch], keys: list[str], lexicon: Mapping[str, float]
 ) -> Iterator[pa.RecordBatch]:
+    marks = Marks(lexicon)
     for batch in batches:
-        rows = [features_of(t, lexicon) for t in batch.column("text").to_pylist()]
+        rows = [features_of(t, lexicon, marks) for t in batch.column("text").to_pylist()]
         columns = list(zip(*rows)) if rows else [()] * len(FEATURES)
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(k) for k in keys), *(pa.array(c, pa.float64()) for c in columns)],
