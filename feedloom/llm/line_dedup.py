@@ -207,21 +207,6 @@ def _near_in_size() -> Column:
     return (n * 5 >= other * 4) & (other * 5 >= n * 4)
 
 
-def _matching(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
-    """Rows of `big` whose key's class occurs in `small`. Every task gets KEY_CLASSES rows at
-    most; where `small` has all classes, no row goes, and the join that follows decides."""
-    key_class = F.xxhash64(key).bitwiseAND(KEY_CLASSES - 1)
-    classes = small.select(key_class.alias("key_class")).distinct()
-    return big.join(F.broadcast(classes), key_class == F.col("key_class"), "left_semi")
-
-
-def _possible() -> Column:
-    """Length and positional filters for (n, place) and (a_n, a_place)."""
-    n, other = F.col("n"), F.col("a_n")
-    after = F.least(n - F.col("place"), other - F.col("a_place"))
-    return (n * 5 >= other * 4) & (other * 5 >= n * 4) & _enough(after, n, other)
-
-
 def _pairs(joined: DataFrame, shared: Column) -> DataFrame:
     """Names and places of the pairs that the positional filter leaves, each pair once.
 
