@@ -24,6 +24,7 @@ from math import inf
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,9 @@ REMEMBERED = 300_000
 # Longer words are rare, and would fill the memory.
 LONG_WORD = 48
 WORDS_AT_ONCE = 20_000
-# Texts of about this many characters are encoded together.
+# Texts of about this many bytes are encoded together, and so many ids decoded.
 CHARS_AT_ONCE = 2_000_000
+IDS_AT_ONCE = 500_000
 RADIX = 0x9E3779B97F4A7C15
 PAIR_SLOTS = 1 << 21
 PAIR_MIX = 0x9E3779B1
@@ -342,43 +344,41 @@ def _pass_on(batch: pa.RecordBatch, name: str, dropped: str, values: pa.Array) -
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), values], [*names, name])
 
 
-def _portions(texts: list[str], chars: int) -> Iterator[list[str]]:
-    portion, size = [], 0
-    for text in texts:
-        portion.append(text)
-        size += len(text)
-        if size >= chars:
-            yield portion
-            portion, size = [], 0
-    if portion:
-        yield portion
+def _portions(batch: pa.RecordBatch, sizes: pa.Array, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of `batch` in order, in parts of about `limit` in size; a larger row is a part."""
+    start = size = 0
+    for end, n in enumerate(sizes.fill_null(0).to_pylist(), 1):
+        size += n
+        if size >= limit or end == batch.num_rows:
+            yield batch.slice(start, end - start)
+            start, size = end, 0
 
 
 def _encode(batches: Iterator[pa.RecordBatch], model, column: str) -> Iterator[pa.RecordBatch]:
     transducer = compiled(model.value)
     for batch in batches:
-        texts = batch.column(column)
-        portions = _portions([t or "" for t in texts.to_pylist()], CHARS_AT_ONCE)
-        ids = [encoded for portion in portions for encoded in transducer.encode_all(portion)]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-        values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(
-            pa.array(ends, pa.int32()), pa.array(values, pa.int32()), mask=texts.is_null()
-        )
-        yield _pass_on(batch, "ids", column, lists)
+        for part in _portions(batch, pc.binary_length(batch.column(column)), CHARS_AT_ONCE):
+            texts = part.column(column)
+            ids = transducer.encode_all([t or "" for t in texts.to_pylist()])
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            lists = pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()), mask=texts.is_null()
+            )
+            yield _pass_on(part, "ids", column, lists)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], model, column: str) -> Iterator[pa.RecordBatch]:
     transducer = compiled(model.value)
     for batch in batches:
-        lists = batch.column(column)
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
-        texts = [
-            transducer.decode(flat[a:b]) if valid else None
-            for a, b, valid in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist())
-        ]
-        yield _pass_on(batch, "decoded", column, pa.array(texts, pa.string()))
+        for part in _portions(batch, pc.list_value_length(batch.column(column)), IDS_AT_ONCE):
+            lists = part.column(column)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+            texts = [
+                transducer.decode(flat[a:b]) if valid else None
+                for a, b, valid in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist())
+            ]
+            yield _pass_on(part, "decoded", column, pa.array(texts, pa.string()))
 
 
 def _schema(df: DataFrame, dropped: str, added: str) -> str:
