@@ -19,7 +19,6 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import chain
 from math import inf
 
 import numpy as np
@@ -34,7 +33,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 # Words and pairs of pieces that a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 # Longer words are rare, and would fill the memory.
 LONG_WORD = 48
 WORDS_AT_ONCE = 20_000
@@ -116,7 +115,7 @@ class Transducer:
         # decoded when they stand together.
         self.written = [self._written(p, kind) for p, _, kind in pieces]
         self.joins = np.array([kind == BYTE and int(p[3:5], 16) > 127 for p, _, kind in pieces])
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         if self.kind == BPE:
             self._compile_tables()
         self.may_follow: dict[tuple[str, str], bool] = {}
@@ -254,7 +253,13 @@ class Transducer:
         return fits
 
     def _paths(self, words: list[str]) -> list[tuple[int, ...]]:
-        """`_ids` of many short words at once, for BPE: all lattices grow by one place together."""
+        return [tuple(np.frombuffer(ids, np.int32).tolist()) for ids in self._packed_paths(words)]
+
+    def _packed_paths(self, words: list[str]) -> list[bytes]:
+        """`_ids` of many short words at once, for BPE: all lattices grow by one place together.
+
+        A word's ids come as the bytes of an int32 array.
+        """
         words_at = np.array(sorted(range(len(words)), key=lambda i: -len(words[i])))
         ordered = [words[i] for i in words_at]
         sizes = np.array([len(w) for w in ordered])
@@ -291,11 +296,15 @@ class Transducer:
             path.append(np.where(place > 0, last[place, every], -1))
             place = place - np.where(place > 0, step[place, every], 0)
             place[lost] = 0
-        out: list[tuple[int, ...]] = [()] * len(words)
-        for i, word, gone, ids in zip(words_at.tolist(), ordered, lost.tolist(), np.array(path[::-1]).T):
-            out[i] = self._ids(word) if gone else tuple(ids[ids >= 0].tolist())
+        out = [b""] * len(words)
+        table = np.ascontiguousarray(np.array(path[::-1], np.int32).T)
+        for i, word, gone, ids in zip(words_at.tolist(), ordered, lost.tolist(), table):
+            out[i] = self._packed(word) if gone else ids[ids >= 0].tobytes()
         return out
 
+    def _packed(self, word: str) -> bytes:
+        return np.array(self._ids(word), np.int32).tobytes()
+
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
 
@@ -312,12 +321,10 @@ class Transducer:
         short = [word for word in new if len(word) <= LONG_WORD] if self.kind == BPE else []
         for start in range(0, len(short), WORDS_AT_ONCE):
             part = short[start : start + WORDS_AT_ONCE]
-            known.update(zip(part, self._paths(part)))
+            known.update(zip(part, self._packed_paths(part)))
         long = [word for word in new if word not in known]
-        known.update((word, self._ids(word)) for word in long)
-        encoded = [
-            np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32) for words in split
-        ]
+        known.update((word, self._packed(word)) for word in long)
+        encoded = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
         for word in long:
             if len(word) > LONG_WORD:
                 del known[word]
