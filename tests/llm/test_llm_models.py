@@ -86,6 +86,36 @@ def test_language_model_scores(docs_of):
     assert found[1002].score / found[1002].n_tokens < ordinary
 
 
+def test_all_contexts_that_pass_stay(llm_spark):
+    # 70,000 contexts of three codes; those with a common suffix have different followers.
+    window = "((id + 1) << 6) | (1 + id % 62)"
+    windows = llm_spark.range(70_000).selectExpr(f"{window} AS window", "200L AS n")
+    kept = suffix_tree.retained(windows).where("depth = 3").select("context").distinct()
+    assert kept.count() == 70_000
+
+
+def test_scores_equal_those_of_the_tree_in_memory(llm_spark, docs_of):
+    import numpy as np
+
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(words, range(1, 61), k=40))) for i in range(300)] + [(500, None), (501, "zz qq")]
+    training = [suffix_tree.tokens_of(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    symbols = [np.frombuffer(b" ".join(t), np.uint8) for t in training]
+    byte_counts = sum(np.bincount(x, minlength=256) for x in symbols)
+    alphabet = suffix_tree.alphabet_of(byte_counts)
+    counts = Counter(k for t in training for k in suffix_tree.windows_of(suffix_tree._coded(t, alphabet)).tolist())
+    windows = llm_spark.createDataFrame(list(counts.items()), "window long, n long")
+    followers = suffix_tree.retained(windows).select("depth", "context", "symbol", "n").toArrow()
+    tree = suffix_tree.Tree(tuple(c.to_numpy().astype(np.int64) for c in followers.columns), byte_counts, alphabet)
+    assert set(tree.depths) == set(range(6))
+    for head_windows in (suffix_tree.HEAD_WINDOWS, 40, 0):
+        found = suffix_tree.score_documents(docs_of(rows), head_windows=head_windows).collect()
+        assert {r.doc_id: r.score for r in found} == {
+            i: pytest.approx(tree.score(suffix_tree.tokens_of(t)), rel=1e-5) for i, t in rows
+        }
+
+
 def test_language_model_of_nothing(docs_of):
     assert suffix_tree.score_documents(docs_of([])).collect() == []
 
