@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for everything else.
 
-A run of letters, digits and "+/=_-" is a candidate. The smallest alphabet that holds it is its
+A run of letters, digits and "+/_-" with its "=" padding is a candidate. The smallest alphabet that holds it is its
 inferred encoding. Three tests ask whether it could be random in that alphabet: chi-squared
 uniformity of its symbols, runs above and below the middle of the alphabet, and serial
 correlation of neighbours. A candidate that passes all three gets an e-value: how much
@@ -31,7 +31,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LENGTH, ACCESS_LENGTH = 6, 20
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# "=" only pads (six at most, in base32): behind any other "=", as in NAME=value, a run starts anew.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,6}")
 # Alphabets, from small to large; an encoding is the first that holds all characters.
 DIGITS = "0123456789"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

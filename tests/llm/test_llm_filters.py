@@ -99,6 +99,20 @@ def test_randomness_battery():
     assert not any(secrets.discoveries(words))
 
 
+def test_values_behind_equals_signs_are_tested():
+    rng = random.Random(12)
+    alphabet = secrets.UPPER + secrets.UPPER.lower() + secrets.DIGITS
+    found = 0
+    for _ in range(50):
+        token = "".join(rng.choice(alphabet) for _ in range(40))
+        for text in (f"AWS_SECRET_ACCESS_KEY={token}", f"see https://x.org/f?sig={token}&v=1", f"X=={token}=="):
+            spans = [text[a:b].rstrip("=") for a, _, b in secrets.random_spans(text, secrets.base_spans(text))]
+            assert spans in ([], [token])
+            found += spans == [token]
+    assert found >= 140
+    assert secrets.CANDIDATE.findall("A" * 18 + "======") == ["A" * 18 + "======"]
+
+
 def test_scan_defines_null_and_empty(docs_of):
     found = secrets.scan(docs_of([(1, None), (2, ""), (None, "token=abcdef")])).collect()
     assert [(r.doc_id, r.n_assign, r.spans) for r in found] == [(1, 0, ""), (2, 0, ""), (None, 1, "assign:0:12")]
