@@ -47,7 +47,7 @@ def url_rules(spark: SparkSession) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    listed = url_rules(spark).unionByName(url_filter.noncommercial_pages(pages))
+    listed = url_rules(spark).unionByName(url_filter.noncommercial_pages(pages), allowMissingColumns=True)
     return url_filter.judge(pages, listed)
 
 

@@ -1,7 +1,8 @@
 """URL lists: a blocked Bloom filter in front of an exact hash join.
 
-Listed entries are canonical URLs: lower-case host and path. An entry whose path ends in
-"/" covers that folder on its host and all subdomains; any other entry covers one URL.
+Listed entries are canonical URLs: lower-case host and path. A folder entry ends in "/" and
+covers that folder on its host and all subdomains; any other entry covers one URL. A column
+is_folder tells them apart; where it is null or missing, every entry that ends in "/" is a folder.
 """
 
 from __future__ import annotations
@@ -72,13 +73,18 @@ def probe(urls: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.select(*[c for c in urls.columns if c not in keys], maybe.alias("maybe"))
 
 
-def _shape(entry: Column) -> Column:
+def _key(entry: Column, folder: Column) -> Column:
+    """What the filter and the join know an entry by. No canonical URL holds a "?", so a URL
+    that ends in "/" has another key than the folder of that name."""
+    return F.when(folder, entry).otherwise(F.concat(entry, F.lit("?")))
+
+
+def _shape(entry: Column, folder: Column) -> Column:
     """(labels of the host, folders of the path) of a folder entry, (-1, -1) of a URL."""
     host = F.substring_index(entry, "/", 1)
     path = F.substring(entry, F.length(host) + 1, F.length(entry))
     labels = F.size(F.split(host, r"\.", -1))
     folders = F.size(F.split(path, "/", -1)) - 2
-    folder = entry.endswith("/")
     return F.struct(
         F.when(folder, labels).otherwise(F.lit(-1)).alias("labels"),
         F.when(folder, folders).otherwise(F.lit(-1)).alias("folders"),
@@ -86,12 +92,12 @@ def _shape(entry: Column) -> Column:
 
 
 def _candidates(host: Column, path: Column, shapes: Sequence[tuple[int, int]]) -> list[Column]:
-    """The entries of the given shapes that would cover a URL; null where none can."""
+    """The keys of the entries of the given shapes that would cover a URL; null where none can."""
     labels, parts = F.split(host, r"\.", -1), F.split(path, "/", -1)
     found = []
     for n, depth in shapes:
         if n < 0:
-            found.append(F.concat(host, path))
+            found.append(_key(F.concat(host, path), F.lit(False)))
             continue
         # parts[0] is what stands before the first "/" and must be empty.
         fits = (F.size(labels) >= n) & (F.size(parts) >= depth + 2) & (parts[0] == "")
@@ -104,15 +110,15 @@ def _candidates(host: Column, path: Column, shapes: Sequence[tuple[int, int]]) -
 def listed_shapes(entries: DataFrame) -> list[tuple[int, int]]:
     """Distinct shapes of the entries: a handful, as hosts have few labels and paths few
     folders."""
-    rows = entries.select(_shape(F.col("entry")).alias("s")).distinct().collect()
+    rows = entries.select(_shape(F.col("entry"), F.col("is_folder")).alias("s")).distinct().collect()
     return sorted((r["s"]["labels"], r["s"]["folders"]) for r in rows)
 
 
 def judge(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """Verdict for every page's url by the longest entry that covers it.
 
-    `entries`: entry (canonical), verdict ("allow" or "block"), is_rule boolean. Of entries given
-    twice, the greatest (is_rule, verdict) counts. A rule decides before any other entry;
+    `entries`: entry (canonical), verdict ("allow" or "block"), is_rule boolean, and is_folder boolean
+    if need be. Of entries given twice, the greatest (is_rule, verdict) counts. A rule decides before any other entry;
     without either the verdict is "allow". Returns page_id, host, path, rule (null without one), verdict,
     and listed (whether a non-rule entry covers the url).
 
@@ -122,8 +128,13 @@ def judge(pages: DataFrame, entries: DataFrame) -> DataFrame:
     Only URLs that pass the filter are shuffled, once per distinct URL. A rule that covers
     a third of all URLs makes a large key on the left of that join only, which Spark splits.
     """
+    ends = F.col("entry").endswith("/")
+    told = F.coalesce(F.col("is_folder"), ends) & ends if "is_folder" in entries.columns else ends
     known = stage(
-        entries.groupBy("entry").agg(F.max(F.struct("is_rule", "verdict")).alias("e")).select("entry", "e.*"),
+        entries.withColumn("is_folder", told)
+        .groupBy("entry", "is_folder")
+        .agg(F.max(F.struct("is_rule", "verdict")).alias("e"))
+        .select("entry", "is_folder", "e.*", _key(F.col("entry"), F.col("is_folder")).alias("key")),
         "listed",
     )
     shapes = listed_shapes(known)
@@ -135,14 +146,14 @@ def judge(pages: DataFrame, entries: DataFrame) -> DataFrame:
         return _verdicts(free, None)
     candidates = _candidates(F.col("host"), F.col("path"), shapes)
     keys = {f"key{i}": c for i, c in enumerate(candidates)}
-    blocks = stage(build_filter(known), "url-filter")
+    blocks = stage(build_filter(known.select(F.col("key").alias("entry"))), "url-filter")
     probed = probe(urls.withColumns(keys), blocks, list(keys))
     hits = (
         probed.where(F.size("maybe") > 0)
         .groupBy("host", "path")
         .agg(F.first("maybe").alias("maybe"))
-        .select("host", "path", F.explode("maybe").alias("entry"))
-        .join(known.hint("shuffle_hash"), "entry")
+        .select("host", "path", F.explode("maybe").alias("key"))
+        .join(known.hint("shuffle_hash"), "key")
     )
     longest = F.struct(F.length("entry").alias("n"), "entry", "verdict")
     judged = hits.groupBy("host", "path").agg(
@@ -177,11 +188,17 @@ def _verdicts(probed: DataFrame, judged: DataFrame | None) -> DataFrame:
 
 
 def noncommercial_pages(pages: DataFrame) -> DataFrame:
-    """Entries that block the canonical URL of each page with a non-commercial licence line."""
+    """Entries that block the canonical URL of each page with a non-commercial licence line, and
+    no other URL, also where it ends in "/"."""
     return (
         pages.where(F.contains("html", F.lit("CC BY-NC")))
         .select(F.concat(host_of(F.col("url")), path_of(F.col("url"))).alias("entry"))
-        .where("NOT endswith(entry, '/') AND entry != ''")
+        .where("entry != ''")
         .distinct()
-        .select("entry", F.lit("block").alias("verdict"), F.lit(False).alias("is_rule"))
+        .select(
+            "entry",
+            F.lit("block").alias("verdict"),
+            F.lit(False).alias("is_rule"),
+            F.lit(False).alias("is_folder"),
+        )
     )

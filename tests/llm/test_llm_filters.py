@@ -36,6 +36,26 @@ def test_urls_against_plain_rules(llm_spark):
     assert url_filter.judge(pages.limit(0), entries).collect() == []
 
 
+def test_licence_pages_are_listed_whatever_they_end_in(llm_spark):
+    urls = [
+        ("https://a.org/en/1/", "CC BY-NC"), ("https://a.org/en/1/sub", ""), ("https://b.a.org/en/1/", ""),
+        ("https://c.org/x", "CC BY-NC"), ("https://a.net/", "CC BY-NC"), ("https://b.net/", ""), ("https://net/", "CC BY-NC"),
+    ]
+    pages = llm_spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "page_id int, url string, html string")
+    rules = llm_spark.createDataFrame([("net/", "allow", True)], "entry string, verdict string, is_rule boolean")
+    listed = rules.unionByName(url_filter.noncommercial_pages(pages), allowMissingColumns=True)
+    found = {r.page_id: (r.rule, r.verdict, r.listed) for r in url_filter.judge(pages, listed).collect()}
+    assert found == {
+        0: (None, "block", True),
+        1: (None, "allow", False),
+        2: (None, "allow", False),
+        3: (None, "block", True),
+        4: ("net/", "allow", True),
+        5: ("net/", "allow", False),
+        6: ("net/", "allow", True),
+    }
+
+
 def test_filter_has_no_false_negatives(llm_spark):
     keys = llm_spark.range(3000).selectExpr("concat('h', id, '/p') AS entry")
     probed = url_filter.probe(keys.selectExpr("entry AS key0"), url_filter.build_filter(keys), ["key0"])
