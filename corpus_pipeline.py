@@ -17,7 +17,7 @@ from feedloom.llm.queries import PIECES, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
     ship_package(spark)
-    return toxicity.accepted(docs, toxicity.score(docs, table(spark, sf_dir, "labels")))
+    return toxicity.accepted(docs, toxicity.score(docs, table(spark, sf_dir, "labels"), keyed=True))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +28,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
     ship_package(spark)
-    return simhash.keep_one(docs, simhash.near_duplicates(docs))
+    return simhash.keep_one(docs, simhash.near_duplicates(docs, keyed=True))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark."""
     ship_package(spark)
-    return decontaminate.clean(docs, decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.clean(docs, decontaminate.find(docs, table(spark, sf_dir, "benchmark"), keyed=True))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

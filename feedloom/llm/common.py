@@ -29,6 +29,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows apart whose ids are null or repeated; never null."""
+    return F.xxhash64(text)
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of `docs` whose (doc_id, text) isn't in `bad` (doc_id, text_key); a null id equals
+    another one."""
+    marked = bad.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
+    return docs.join(marked, same, "left_anti")
+
+
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; a null id counts as the empty text."""
     digits = F.coalesce(doc_id.cast("string"), F.lit(""))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import ascii_lower, stage
+from feedloom.llm.common import ascii_lower, stage, text_key, without
 
 SPAN = 10
 GRAM = 5
@@ -151,12 +151,12 @@ def windows_of(words: Column, span: int) -> Column:
     )
 
 
-def find(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, span: int = SPAN, keyed: bool = False) -> DataFrame:
     """What each document shares with the items.
 
     Returns doc_id, n_words, n_hit (words inside any occurrence of an item's window), n_items,
     items_sha256 (of the ids of items with occurring windows, sorted as strings, comma-joined),
-    contaminated. A window is `span` words in a row; a shorter item is one window.
+    contaminated, and text_key if `keyed`. A window is `span` words in a row; a shorter item is one window.
 
     Null texts have no words; items without words have no windows. Rows that share doc_id
     and text get the same result each. A null item_id counts as the text "null". Other columns
@@ -177,7 +177,7 @@ def find(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
         item_words.select("item", F.explode(windows_of(F.col("words"), span)).alias("window")).distinct(),
         "item-windows",
     )
-    rows = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
+    rows = docs.select("doc_id", "text").withColumn("text_key", text_key(F.col("text")))
     sieve = build_sieve(item_prints)
     anchors = (
         fingerprints(rows, plan, sieve)
@@ -255,11 +255,11 @@ def find(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
             F.size(F.coalesce("items", none)).cast("bigint").alias("n_items"),
             F.sha2(F.array_join(F.coalesce("items", none), ",").cast("binary"), 256).alias("items_sha256"),
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+            *["text_key"] * keyed,
         )
     )
 
 
 def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents without any hit; rows without an id stay."""
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The documents without any hit; `found` is keyed."""
+    return without(docs, found.where("contaminated"))

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import LOWER, UPPER, stage
+from feedloom.llm.common import LOWER, UPPER, stage, text_key
 
 SHINGLE = 5
 # Rarity is counted per class of word hashes, so its table has a fixed size.
@@ -42,9 +42,13 @@ def tokens_of(words: Column, shingle: int = SHINGLE) -> Column:
     return F.when(runs < 1, F.array(F.array_join(words, " "))).otherwise(out)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of all lines."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(doc_id, text_key, line_no, line) of all lines."""
+    return keyed(docs).select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _class(word: Column) -> Column:
@@ -64,7 +68,7 @@ def _rarity(lines: DataFrame) -> bytes:
 
 
 def _tokenised(lines: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, line_no, h1, h2, n, prefix) of lines with words: two hashes that name equal lines, the
+    """(doc_id, text_key, line_no, h1, h2, n, prefix) of lines with words: two hashes that name equal lines, the
     number of distinct tokens, and the rarest of them.
 
     A token is a long: the rarity of its first word above a hash of all its words. So sorting
@@ -92,16 +96,14 @@ def _tokenised(lines: DataFrame, shingle: int) -> DataFrame:
     size = F.size("tokens")
     return (
         ranked.select(
-            "doc_id",
-            "line_no",
+            *PLACE,
             F.xxhash64("packed").alias("h1"),
             F.xxhash64("packed", F.lit(1)).alias("h2"),
             F.size("packed").alias("words"),
             F.sort_array(F.array_distinct(tokens)).alias("tokens"),
         )
         .select(
-            "doc_id",
-            "line_no",
+            *PLACE,
             "h1",
             "h2",
             "words",
@@ -127,19 +129,19 @@ def _prefix_length(n: Column) -> Column:
     return n - F.floor((n * 4 + 4) / 5).cast("int") + 1
 
 
-PLACE = ("doc_id", "line_no")
+PLACE = ("doc_id", "text_key", "line_no")
 NAME = ("h1", "h2")
 
 
 def repeated_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, line_no) of the lines that go.
+    """(doc_id, text_key, line_no) of the lines that go.
 
-    A line goes when an earlier one, by (doc_id, line_no), is equal up to ASCII case and white space,
+    A line goes when an earlier one, by (doc_id, text_key, line_no), is equal up to ASCII case and white space,
     or has at least 0.8 of its tokens' union in common. Earlier lines count whether they go
     themselves or not, so the result doesn't depend on any order of work. Lines without
     words stay. Null texts have no lines; a null doc_id comes before all others. Rows that
-    repeat a doc_id count as one document: equal line numbers in them aren't earlier than
-    one another. Other columns are left out; an empty table gives an empty result.
+    repeat a doc_id, null or not, and differ in their texts are documents of their own; rows that repeat
+    both count as one document. Other columns are left out; an empty table gives an empty result.
 
     Only tokens that different lines share are kept, each line's once however often it is
     repeated. In a group of lines that share a token, each is first compared with the group's
@@ -233,12 +235,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
         pairs.select(*[F.col(f"a_{c}").alias(c) for c in (*NAME, "first")])
     )
     wanted = ends.dropDuplicates([*NAME]).select(
-        *NAME, F.col("first.doc_id").alias("id"), F.col("first.line_no").alias("no")
+        *NAME, F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("key"), F.col("first.line_no").alias("no")
+    )
+    lines = lines_of(_matching(keyed(docs), wanted.withColumnRenamed("key", "text_key"), "text_key"))
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("id"))
+        & (F.col("text_key") == F.col("key"))
+        & (F.col("line_no") == F.col("no"))
     )
-    lines = lines_of(_matching(docs.select("doc_id", "text"), wanted.withColumnRenamed("id", "doc_id"), "doc_id"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("line_no") == F.col("no"))
     words = stage(
-        lines.join(wanted, same).select(*NAME, words_of(F.col("line")).alias("words")), "line-words"
+        # Rows that repeat id and text would give a name more than once.
+        lines.join(wanted, same).dropDuplicates([*NAME]).select(*NAME, words_of(F.col("line")).alias("words")),
+        "line-words",
     )
     other = words.withColumnsRenamed({"h1": "a_h1", "h2": "a_h2", "words": "a_words"})
     compared = (
@@ -255,12 +263,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
 def report(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (numbers of the lines that go, comma-joined), for
     each row of `docs`."""
-    gone = repeated.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    gone = repeated.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     none = F.array().cast("array<int>")
     return (
-        docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("bigint").alias("n_lines"))
-        .join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+        keyed(docs)
+        .select("doc_id", "text_key", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("bigint").alias("n_lines"))
+        .join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
         .select(
             "doc_id",
             "n_lines",
@@ -275,9 +284,10 @@ def without_lines(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
     A column n_chars follows the new text; all other columns stay as they are.
     """
-    gone = repeated.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = repeated.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
+    joined = docs.join(gone, same, "left")
     touched = F.col("_gone").isNotNull() & F.col("text").isNotNull()
     return (
         joined.withColumn("_kept", F.when(touched, kept))

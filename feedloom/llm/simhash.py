@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import stage
+from feedloom.llm.common import stage, text_key
 from feedloom.llm.components import components
 
 SHINGLE = 3
@@ -53,19 +53,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, keys: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
         fps = pa.array(np.array(values, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), fps], [*keys, "fp"])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the fingerprint's 64 bits in a long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row, with text_key if `keyed`; fp holds the fingerprint's 64 bits in a long."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        partial(_fingerprints, shingle=shingle), f"doc_id {doc_type}, fp long"
-    )
+    rows, schema, keys = docs.select("doc_id", "text"), f"doc_id {doc_type}", ["doc_id"]
+    if keyed:
+        rows = rows.withColumn("text_key", text_key(F.col("text")))
+        schema, keys = f"{schema}, text_key long", [*keys, "text_key"]
+    return rows.mapInArrow(partial(_fingerprints, shingle=shingle, keys=keys), f"{schema}, fp long")
 
 
 def _remainders(words: np.ndarray) -> np.ndarray:
@@ -253,9 +255,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK
+    docs: DataFrame,
+    shingle: int = SHINGLE,
+    max_bits: int = MAX_BITS,
+    block: int = BLOCK,
+    keyed: bool = False,
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row.
+    """(doc_id, fingerprint, component_id) of every row; if `keyed`, text_key and label, which names
+    components without an id as well.
 
     Fingerprints link when they differ in at most `max_bits` bits; component_id is the
     smallest doc_id reachable over links, a document's own included. Null and empty texts have
@@ -265,20 +272,32 @@ def near_duplicates(
 
     Copies meet as one fingerprint before any search, so a group of copies costs one row.
     """
-    rows = stage(fingerprints(docs, shingle), "simhash")
+    rows = stage(fingerprints(docs, shingle, keyed), "simhash")
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     reached = components(links(distinct, max_bits, block)).withColumnRenamed("node", "fp")
     labelled = distinct.join(reached, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    ids = labelled.join(smallest, "label").select("fp", "component_id")
+    ids = labelled.join(smallest, "label").select("fp", "component_id", "label")
     return rows.join(ids, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
+        *["text_key", "label"] * keyed,
     )
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents that give their component its id; rows without an id stay."""
-    others = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    """One document of each component, that of the smallest id; `found` is keyed. Rows without an
+    id come last, and of rows with one id that of the smallest text_key stays. Of equal rows one stays.
+    """
+    names = found.groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "copies")
+    first = stage(names.groupBy("label").agg(F.min(order).alias("k")).select("k.*"), "simhash-kept")
+
+    def rows_of(kept: DataFrame) -> DataFrame:
+        kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
+        return docs.join(kept, same, "left_semi")
+
+    several = rows_of(first.where("copies > 1")).dropDuplicates(["doc_id", "text"])
+    return rows_of(first.where("copies = 1")).unionByName(several)

@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import remainder, stage
+from feedloom.llm.common import remainder, stage, text_key, without
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -349,8 +349,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted (score >= 0.3) of every row.
+def score(
+    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keyed: bool = False
+) -> DataFrame:
+    """doc_id, held_out, score and predicted (score >= 0.3) of every row; if `keyed`, text_key as well.
 
     held_out: crc32(doc_id as text) mod 4 is 2; such rows are never learned from. Only the text is an
     input of a score. Null and empty texts have all rates zero and are scored by the
@@ -364,15 +366,17 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = docs.select(
         "doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text"
     )
+    if keyed:
+        rows = rows.withColumn("text_key", text_key(F.col("text")))
     return model.score(features(rows, model.lexicon)).select(
         "doc_id",
         "held_out",
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        *["text_key"] * keyed,
     )
 
 
 def accepted(docs: DataFrame, scored: DataFrame) -> DataFrame:
-    """The documents that aren't predicted to be toxic."""
-    bad = scored.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The documents that aren't predicted to be toxic; `scored` is keyed."""
+    return without(docs, scored.where("predicted = 1"))

@@ -164,3 +164,28 @@ def test_line_dedup_against_brute_force(docs_of):
 def test_line_dedup_of_nothing(docs_of):
     docs = docs_of([])
     assert line_dedup.report(docs, line_dedup.repeated_lines(docs)).collect() == []
+
+
+def test_lines_of_rows_without_or_with_one_id(docs_of):
+    same, own = "one two three four five six", ["alpha beta", "gamma delta", "epsilon zeta"]
+    for i in (None, 7):
+        docs = docs_of([(1, same), (i, f"{own[0]}\n{own[1]}"), (i, f"{same}\n{own[2]}"), (i, f"{same}\n{own[2]}")])
+        repeated = line_dedup.repeated_lines(docs)
+        kept = [r.text for r in line_dedup.without_lines(docs, repeated).collect()]
+        lines = [line for t in kept for line in t.split("\n")]
+        # A row without an id comes before others.
+        assert sorted(set(lines)) == sorted({same, *own})
+        assert f"{own[0]}\n{own[1]}" in kept and len(kept) == (4 if i else 3)
+        assert lines.count(same) == (1 if i else 2)
+        n_removed = [r.n_removed for r in line_dedup.report(docs, repeated).collect()]
+        assert sorted(n_removed) == ([0, 0, 1, 1] if i else [0, 0, 0, 1])
+
+
+def test_one_of_each_component_stays_whatever_its_id(docs_of):
+    rng = random.Random(14)
+    a, b, c, d = (random_text(rng, 60, 1000) for _ in range(4))
+    docs = docs_of([(1, a), (None, a), (5, a), (5, b), (None, c), (None, c), (None, c.upper()), (None, d), (9, None)])
+    kept = simhash.keep_one(docs, simhash.near_duplicates(docs, keyed=True)).collect()
+    assert sorted(str((r.doc_id, (r.text or "").lower())) for r in kept) == sorted(
+        map(str, [(1, a), (5, b), (None, c), (None, d), (9, "")])
+    )

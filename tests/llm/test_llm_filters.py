@@ -193,3 +193,15 @@ def test_toxicity_without_labels(llm_spark, docs_of):
 def test_features_are_finite_for_odd_texts():
     for text in (None, "", "!!!", "\x00", "i d i o t", "1d10t", "A" * 100_000):
         assert all(math.isfinite(v) for v in toxicity.features_of(text, {}))
+
+
+def test_decisions_tell_rows_without_or_with_one_id_apart(llm_spark, docs_of):
+    bad, good = "you idiot", "kind words for all"
+    for i in (None, 3):
+        docs = docs_of([(i, bad), (i, good), (i, None)])
+        labels = llm_spark.createDataFrame([], "doc_id bigint, toxic int")
+        kept = toxicity.accepted(docs, toxicity.score(docs, labels, keyed=True)).collect()
+        assert {r.text for r in kept} == {good, None}
+        bench = llm_spark.createDataFrame([(1, bad)], "item_id int, text string")
+        kept = decontaminate.clean(docs, decontaminate.find(docs, bench, keyed=True)).collect()
+        assert {r.text for r in kept} == {good, None}
