@@ -98,7 +98,9 @@ def _tokenised(lines: DataFrame, shingle: int) -> DataFrame:
         ranked.select(
             *PLACE,
             F.xxhash64("packed").alias("h1"),
-            F.xxhash64("packed", F.lit(1)).alias("h2"),
+            # With a literal behind it, the hash would follow from h1; the words themselves tell more
+            # than their packed hashes.
+            F.xxhash64(F.lit(1), F.col("words")).alias("h2"),
             F.size("packed").alias("words"),
             F.sort_array(F.array_distinct(tokens)).alias("tokens"),
         )

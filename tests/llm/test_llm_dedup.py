@@ -189,3 +189,17 @@ def test_one_of_each_component_stays_whatever_its_id(docs_of):
     assert sorted(str((r.doc_id, (r.text or "").lower())) for r in kept) == sorted(
         map(str, [(1, a), (5, b), (None, c), (None, d), (9, "")])
     )
+
+
+def test_the_two_hashes_of_a_line_are_independent(docs_of):
+    texts = [f"a{i} b{i} c" for i in range(50)]
+    lines = line_dedup._tokenised(line_dedup.lines_of(docs_of([(i, t) for i, t in enumerate(texts)])), 5)
+    rows = lines.select("h1", "h2").collect()
+    assert len({r.h1 for r in rows}) == len({r.h2 for r in rows}) == 50
+    assert all(r.h2 != _int_behind(r.h1) for r in rows)
+
+
+def _int_behind(seed):
+    """Spark's xxhash64 of a value with hash `seed`, followed by the int 1."""
+    value = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), seed % 2**64)
+    return value - 2**64 if value >= 2**63 else value
