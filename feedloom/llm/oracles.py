@@ -113,9 +113,41 @@ SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_line
 FROM documents d LEFT JOIN removed r USING (doc_id)
 """
 
+TERMS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+LEXICAL_SEARCH = f"""
+WITH doc_terms AS (SELECT doc_id, {TERMS} AS w FROM documents),
+lengths AS (SELECT doc_id, len(w)::BIGINT AS n FROM doc_terms WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths),
+item_terms AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+counts AS (
+    SELECT doc_id, term, count(*)::BIGINT AS tf
+    FROM (SELECT doc_id, unnest(w) AS term FROM doc_terms)
+    WHERE term IN (SELECT term FROM item_terms)
+    GROUP BY doc_id, term
+),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM counts, totals GROUP BY term
+),
+scores AS (
+    SELECT item_id, doc_id,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+    FROM counts JOIN weights USING (term) JOIN lengths USING (doc_id) JOIN item_terms USING (term), totals
+    GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op2_url_filter": URL_FILTER,
     "op4_exact_dedup": EXACT_DEDUP,
     "op5_decontamination": DECONTAMINATION,
     "op10_line_dedup": REPEATED_LINES,
+    "op12_lexical_search": LEXICAL_SEARCH,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from feedloom.llm import (
     decontaminate,
     exact_dedup,
+    lexical_search,
     line_dedup,
     secrets,
     sentencepiece,
@@ -91,6 +92,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(documents, line_dedup.repeated_lines(documents))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -106,5 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_line_dedup": op10_line_dedup,
+    "op12_lexical_search": op12_lexical_search,
     "pipeline": pipeline,
 }
