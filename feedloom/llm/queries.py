@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm import (
+    conversations,
     decontaminate,
     exact_dedup,
     lexical_search,
@@ -92,6 +93,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(documents, line_dedup.repeated_lines(documents))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(rows, conversations.repair(conversations.damaged(rows)))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_lexical_search": op12_lexical_search,
     "pipeline": pipeline,
 }
