@@ -24,6 +24,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*staged: DataFrame) -> None:
+    """Deletes the tables of `stage` that nothing will read again: all that came of them has been written."""
+    for df in staged:
+        spark = df.sparkSession
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only, so that every engine gets the same letters."""
     return F.translate(text, UPPER, LOWER)

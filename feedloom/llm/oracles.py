@@ -144,10 +144,42 @@ FROM scores WHERE score > 0
 QUALIFY rank <= 10
 """
 
+NGRAM_JOIN = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+    SELECT doc_id, list_filter(
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+        lambda x: x != ''
+    ) AS w FROM documents
+),
+tokens AS MATERIALIZED (
+    SELECT doc_id, unnest(list_distinct(list_transform(
+        range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')
+    ))) AS token
+    FROM words WHERE len(w) > 0
+),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
+links AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id != b.doc_id
+    JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, m.n, n.n
+    HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))
+),
+reach(a, b) AS (
+    SELECT doc_id, doc_id FROM sizes
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_url_filter": URL_FILTER,
     "op4_exact_dedup": EXACT_DEDUP,
     "op5_decontamination": DECONTAMINATION,
     "op10_line_dedup": REPEATED_LINES,
     "op12_lexical_search": LEXICAL_SEARCH,
+    "op13_ngram_join": NGRAM_JOIN,
 }

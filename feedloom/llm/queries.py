@@ -13,6 +13,7 @@ from feedloom.llm import (
     exact_dedup,
     lexical_search,
     line_dedup,
+    ngram_join,
     secrets,
     sentencepiece,
     sharding,
@@ -104,6 +105,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -121,5 +127,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_lexical_search": op12_lexical_search,
+    "op13_ngram_join": op13_ngram_join,
     "pipeline": pipeline,
 }
