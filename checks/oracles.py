@@ -35,8 +35,6 @@ ranked AS (
   FROM counts QUALIFY rk <= 10)"""
 )
 
-CLOSED = "window_end <= (SELECT max(ts) FROM events)"
-
 REPORT = r"""
   SELECT window_end,
          chr(10) || 'Top 10 hashtags:' || chr(10)
@@ -352,9 +350,8 @@ tweets AS (
   SELECT 'tweets', 'bad_created_at',
          '{{"created_at":"nope","text":"' || text || '","username":"' || username || '"}}'
   FROM tweets JOIN events ON event_id = tweet_id WHERE event_type = 'error'""",
-    "stream_trending": f"WITH {RANKED} SELECT * FROM ranked WHERE {CLOSED}",
-    "stream_trending_reports": f"""WITH {RANKED} {REPORT}
-  WHERE {CLOSED} GROUP BY window_end""",
+    "stream_trending": f"WITH {RANKED} SELECT * FROM ranked",
+    "stream_trending_reports": f"WITH {RANKED} {REPORT} GROUP BY window_end",
     "stream_follow_state": f"WITH {EDGES} SELECT follower, followee FROM edges",
     "stream_post_ingest": f"""WITH {TWEETS},{USERS}
   SELECT tweet_id, created_at, text, username, name

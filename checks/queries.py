@@ -508,38 +508,35 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return views.tweet_columns(table_stream(spark, sf, schema, files="events.parquet"))
 
 
-@query
-def stream_trending(spark, sf):
+def drained(spark: SparkSession, sf: str) -> str:
+    """Folder of a trending stream over all events, with all windows closed."""
     root = run_dir(spark, "trending")
     messages = event_stream(spark, sf).select(F.col("created_at").alias("ts"), "text")
-    finished(
-        trending_streams.trending_stream(
-            messages, f"{root}/table", f"{root}/checkpoint", delay="0 seconds", trigger=ONCE
-        )
-    )
-    return spark.read.parquet(f"{root}/table").select(
-        F.col("window_end").cast("timestamp_ntz").alias("window_end"), "rk", "tag", "cnt"
+    trending_streams.drain(
+        messages,
+        f"{root}/table",
+        f"{root}/checkpoint",
+        f"{root}/marks",
+        delay="0 seconds",
+        reports=f"{root}/reports",
     )
+    return root
+
+
+def in_utc(df: DataFrame) -> DataFrame:
+    return df.withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+
+
+@query
+def stream_trending(spark, sf):
+    ranking = spark.read.parquet(f"{drained(spark, sf)}/table")
+    return in_utc(ranking).select("window_end", "rk", "tag", "cnt")
 
 
 @query
 def stream_trending_reports(spark, sf):
-    root = run_dir(spark, "reports")
-    messages = event_stream(spark, sf).select(F.col("created_at").alias("ts"), "text")
-    finished(
-        trending_streams.trending_stream(
-            messages,
-            f"{root}/table",
-            f"{root}/checkpoint",
-            SlidingWindow(),
-            delay="0 seconds",
-            trigger=ONCE,
-            reports=f"{root}/reports",
-        )
-    )
-    return spark.read.parquet(f"{root}/reports").select(
-        F.col("window_end").cast("timestamp_ntz").alias("window_end"), "report"
-    )
+    reports = spark.read.parquet(f"{drained(spark, sf)}/reports")
+    return in_utc(reports).select("window_end", "report")
 
 
 @query

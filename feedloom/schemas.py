@@ -51,3 +51,13 @@ POSTS = StructType([
     StructField("text", StringType()),
     StructField("username", StringType()),
 ])
+
+# Streams
+PROGRESS = StructType([
+    StructField("stream", StringType()),
+    StructField("batch", LongType()),
+    StructField("rows", LongType()),
+    StructField("dropped", LongType()),
+    StructField("state_rows", LongType()),
+    StructField("watermark", StringType()),
+])

@@ -14,7 +14,8 @@ from feedloom.sources.tables import read_batches, table_stream
 from feedloom.sources.topic import message_posts, message_texts, topic_stream
 from feedloom.streaming.follows import follow_stream, followed_pairs
 from feedloom.streaming.posts import post_stream, to_table
-from feedloom.streaming.trending import late_rows, trending_stream, use_rocksdb
+from feedloom.streaming.progress import ProgressTable, watermark_of
+from feedloom.streaming.trending import drain, late_rows, trending_stream, use_rocksdb
 
 START = datetime(2024, 1, 1, 12)
 ONCE = {"availableNow": True}
@@ -94,6 +95,57 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert ranking(spark, f"{out}/table") == expected(spark, rows, closed)
 
 
+def run_drain(spark, folder, out, delay):
+    messages = files(spark, folder, POSTS).select(F.col("created_at").alias("ts"), "text")
+    return drain(messages, f"{out}/table", f"{out}/checkpoint", f"{out}/marks", delay=delay, reports=f"{out}/reports")
+
+
+@pytest.mark.parametrize("delay", ["0 seconds", "3 minutes"])
+def test_drained_stream_equals_batch(spark, tmp_path, delay):
+    """All windows, also the last ones; more messages after that, and nothing twice."""
+    rows, folder, out = posts(), str(tmp_path / "in"), str(tmp_path / "out")
+    add_file(spark, folder, "0", rows[:30], POSTS)
+    add_file(spark, folder, "1", rows[30:], POSTS)
+    end = rows[-1][1] + timedelta(hours=1)
+    assert len(run_drain(spark, folder, out, delay)) == 2
+    assert ranking(spark, f"{out}/table") == expected(spark, rows, end)
+    # Nothing new: nothing to close.
+    assert len(run_drain(spark, folder, out, delay)) == 1
+    assert ranking(spark, f"{out}/table") == expected(spark, rows, end)
+    later = [(i + 100, at + timedelta(hours=2), text, user) for i, at, text, user in rows]
+    add_file(spark, folder, "2", later, POSTS)
+    assert len(run_drain(spark, folder, out, delay)) == 2
+    assert ranking(spark, f"{out}/table") == expected(spark, rows + later, end + timedelta(hours=2))
+    reports = spark.read.parquet(f"{out}/reports")
+    assert reports.count() == reports.select("window_end").distinct().count()
+
+
+def test_stream_without_messages_is_drained(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    add_file(spark, folder, "0", [], POSTS)
+    assert len(run_drain(spark, folder, out, "0 seconds")) == 1
+
+
+def test_progress_table_counts_late_rows(spark, tmp_path):
+    """One row a batch, over two runs of a stream; the second one drops what came too late."""
+    rows, folder, out = posts(), str(tmp_path / "in"), str(tmp_path / "out")
+    table = ProgressTable(spark, f"{out}/progress")
+    try:
+        add_file(spark, folder, "0", rows, POSTS)
+        table.wait_for(run_trending(spark, folder, out, delay="2 minutes"))
+        late = [(i + 90, START - timedelta(hours=1, minutes=i % 2), f"#late{i % 3}", "u1") for i in range(12)]
+        add_file(spark, folder, "1", late, POSTS)
+        table.wait_for(run_trending(spark, folder, out, delay="2 minutes"))
+    finally:
+        table.close()
+    found = rows_of(table.read(), "batch", "rows", "dropped")
+    assert [r[0] for r in found] == list(range(len(found)))
+    assert sum(r[1] for r in found) == len(rows) + len(late)
+    # Counted per slot and tag: two minutes, three tags.
+    assert sum(r[2] for r in found) == 6
+    assert watermark_of(spark, f"{out}/checkpoint") == rows[-1][1] - timedelta(minutes=2)
+
+
 def test_disorder_within_the_delay_counts(spark, tmp_path):
     rows, folder, out = posts(), str(tmp_path / "in"), str(tmp_path / "out")
     shuffled = rows[10:20] + rows[:10] + rows[20:]
