@@ -9,8 +9,10 @@ has of it. As many counts as a pure prefix has tokens, and some bucket holds two
 tokens are indexed alone, frequent ones as pairs of one bucket. How many buckets there are follows the
 size of the set, in levels of a quarter more each; sets that can be similar share a level.
 
-Sets that share an entry of the index form clusters. Within these every pair of sets that isn't yet connected is
-compared by all its tokens, block by block, and only links are written.
+Under a key of few sets, each pair of them is counted: how many keys it shares. Of the set whose prefix ends first, every
+token of the prefix that the other lacks is one it misses, and a pair that can't afford these goes. Under a key of
+many sets, each is tied to one of them. The pairs that are left and the ties form clusters. Within
+these every pair of sets that isn't yet connected is compared by all its tokens, block by block, and only links are written.
 """
 
 from __future__ import annotations
@@ -41,6 +43,9 @@ PER_BUCKET = 5
 BLOCK_SETS = 2_048
 BLOCK_TOKENS = 2_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+# Turns the order of unsigned numbers into that of signed ones.
+_SIGN = np.uint64(1 << 63)
+_MOST = (1 << 63) - 1
 
 
 def tokens_of(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -87,18 +92,18 @@ def bucket_pairs(frequent: np.ndarray, wanted: int, level: int) -> np.ndarray:
     return mixed(mixed(left, right), np.full(1, level, np.uint64))
 
 
-def index_keys(tokens: np.ndarray, sieve: np.ndarray) -> np.ndarray:
-    """The keys of a set: rare tokens alone, pairs of frequent ones."""
+def index_keys(tokens: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set: rare tokens alone, and pairs of frequent ones where the rare ones are too few."""
     n = len(tokens)
     wanted = prefix_length(n)
     # Sets of one token are similar to equal ones only.
     common = is_frequent(tokens, sieve) if n > 1 else np.zeros(n, bool)
     rare = tokens[~common]
     if len(rare) >= wanted:
-        return rare[:wanted]
+        return rare[:wanted], np.zeros(0, np.uint64)
     level = bisect_right(LEVELS, n) - 1
     pairs = [bucket_pairs(tokens[common], wanted - len(rare), at) for at in (level, level + 1)]
-    return np.unique(np.concatenate([rare, *pairs]))
+    return rare, np.unique(np.concatenate(pairs))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -145,16 +150,16 @@ def _chosen_tokens(
             yield _digest(tokens), tokens
 
 
-def _in_batches(rows: Iterator[tuple[bytes, np.ndarray]], name: str) -> Iterator[pa.RecordBatch]:
+def _all_tokens(batches: Iterator[pa.RecordBatch], shingle: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     digests, arrays, size = [], [], 0
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _lists(arrays)], ["digest", name])
+        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _lists(arrays)], ["digest", "tokens"])
 
-    for digest, array in rows:
+    for digest, tokens in _chosen_tokens(batches, shingle, rows):
         digests.append(digest)
-        arrays.append(array)
-        size += len(array)
+        arrays.append(tokens)
+        size += len(tokens)
         if size > 1 << 18:
             yield flush()
             digests, arrays, size = [], [], 0
@@ -162,49 +167,86 @@ def _in_batches(rows: Iterator[tuple[bytes, np.ndarray]], name: str) -> Iterator
         yield flush()
 
 
-def _all_tokens(batches: Iterator[pa.RecordBatch], shingle: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    yield from _in_batches(_chosen_tokens(batches, shingle, rows), "tokens")
+ENTRY = "digest binary, n long, last long, rare array<long>, pairs array<long>"
+
+
+def _entries(found: list[tuple[bytes, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Index entries of sets. `last` is the last token of the prefix, in an order of signed numbers; the largest one
+    of a prefix that goes on behind the rare tokens."""
+    last = [_MOST if len(pairs) else int(rare[-1] ^ _SIGN) for _, _, rare, pairs in found]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([f[0] for f in found], pa.binary()),
+            pa.array([f[1] for f in found], pa.int64()),
+            pa.array(np.array(last, np.uint64).view(np.int64)),
+            _lists([f[2] for f in found]),
+            _lists([f[3] for f in found]),
+        ],
+        ["digest", "n", "last", "rare", "pairs"],
+    )
 
 
 def _longer_prefixes(
     batches: Iterator[pa.RecordBatch], shingle: int, rows: np.ndarray, sieve: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
-    found = (
-        (digest, index_keys(tokens, sieve))
-        for digest, tokens in _chosen_tokens(batches, shingle, rows)
-        if is_frequent(tokens[: prefix_length(len(tokens))], sieve).any()
-    )
-    yield from _in_batches(found, "keys")
+    """Entries of the sets whose plain prefix holds frequent tokens."""
+    found = []
+    for digest, tokens in _chosen_tokens(batches, shingle, rows):
+        if is_frequent(tokens[: prefix_length(len(tokens))], sieve).any():
+            found.append((digest, len(tokens), *index_keys(tokens, sieve)))
+        if len(found) == 256:
+            yield _entries(found)
+            found = []
+    if found:
+        yield _entries(found)
+
+
+def _plain_prefixes(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Entries of the other sets."""
+    for batch in batches:
+        found = []
+        digests, sizes, lists = batch.column("digest").to_pylist(), batch.column("n").to_pylist(), batch.column("prefix")
+        values = lists.flatten().to_numpy().view(np.uint64)
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        counts = np.concatenate([[0], np.cumsum(is_frequent(values, sieve))])
+        none = np.zeros(0, np.uint64)
+        for i in np.flatnonzero((counts[at[1:]] == counts[at[:-1]]) | (np.array(sizes) == 1)):
+            found.append((digests[i], sizes[i], values[at[i] : at[i + 1]], none))
+        if found:
+            yield _entries(found)
 
 
 def _with_frequent(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Whether a set's plain prefix holds frequent tokens."""
+    """Row keys of the sets whose plain prefix holds frequent tokens."""
     for batch in batches:
         prefix = batch.column("prefix")
-        found = is_frequent(prefix.flatten().to_numpy().view(np.uint64), sieve)
-        counts = np.concatenate([[0], np.cumsum(found)])
+        counts = np.concatenate([[0], np.cumsum(is_frequent(prefix.flatten().to_numpy().view(np.uint64), sieve))])
         at = prefix.offsets.to_numpy() - prefix.offsets[0].as_py()
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("digest"),
-                batch.column("row_key"),
-                prefix,
-                pa.array(counts[at[1:]] > counts[at[:-1]]),
-            ],
-            ["digest", "row_key", "prefix", "has_frequent"],
-        )
+        found = (counts[at[1:]] > counts[at[:-1]]) & (batch.column("n").to_numpy() > 1)
+        yield pa.RecordBatch.from_arrays([batch.column("row_key").filter(pa.array(found))], ["row_key"])
 
 
 def _matching_keys(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, digest) of the keys that the sieve may hold."""
+    """Keys that the sieve may hold, with what the pair filter needs of their sets."""
     for batch in batches:
-        lists = batch.column("keys")
-        keys = lists.flatten().to_numpy()
-        rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-        found = is_frequent(keys.view(np.uint64), sieve)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[found]), batch.column("digest").take(pa.array(rows[found]))], ["key", "digest"]
-        )
+        for name in ("rare", "pairs"):
+            lists = batch.column(name)
+            keys = lists.flatten().to_numpy()
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            found = is_frequent(keys.view(np.uint64), sieve)
+            at = pa.array(rows[found])
+            length = np.diff(batch.column("rare").offsets.to_numpy()).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys[found]),
+                    pa.array(np.full(len(at), name == "rare")),
+                    batch.column("digest").take(at),
+                    batch.column("n").take(at),
+                    batch.column("last").take(at),
+                    pa.array(length).take(at),
+                ],
+                ["key", "is_rare", "digest", "n", "last", "length"],
+            )
 
 
 class Overlaps:
@@ -297,30 +339,57 @@ def _sieve_of(df: DataFrame, column: str) -> np.ndarray:
 
 
 def index_of(keyed: DataFrame, sets: DataFrame, shingle: int, frequent: int) -> DataFrame:
-    """(key, digest) of the keys that several sets have."""
+    """(key, is_rare, digest, n, last, length, sets) of the keys that several sets have."""
     places = sets.select(F.explode("prefix").alias("token"))
     total = sets.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 0
     often = places.groupBy("token").count().where(F.col("count") > max(frequent, total >> FREQUENT_SHARE))
     sieve = _sieve_of(often, "token")
-    marked = sets.mapInArrow(
-        partial(_with_frequent, sieve=sieve), "digest binary, row_key long, prefix array<long>, has_frequent boolean"
-    )
-    rows = _sieve_of(marked.where("has_frequent"), "row_key")
-    longer = keyed.mapInArrow(
-        partial(_longer_prefixes, shingle=shingle, rows=rows, sieve=sieve), "digest binary, keys array<long>"
-    )
-    plain = marked.where("NOT has_frequent").select("digest", F.col("prefix").alias("keys"))
+    touched = sets.select("row_key", "n", "prefix").mapInArrow(partial(_with_frequent, sieve=sieve), "row_key long")
+    rows = _sieve_of(touched, "row_key")
+    longer = keyed.mapInArrow(partial(_longer_prefixes, shingle=shingle, rows=rows, sieve=sieve), ENTRY)
+    plain = sets.select("digest", "n", "prefix").mapInArrow(partial(_plain_prefixes, sieve=sieve), ENTRY)
     entries = stage(plain.unionByName(longer), "ngram-entries")
-    shared = stage(
-        entries.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"),
-        "ngram-keys",
+    keys = entries.select(F.explode(F.concat("rare", "pairs")).alias("key"))
+    shared = stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "ngram-keys")
+    possible = entries.mapInArrow(
+        partial(_matching_keys, sieve=_sieve_of(shared, "key")),
+        "key long, is_rare boolean, digest binary, n long, last long, length long",
     )
-    possible = entries.mapInArrow(partial(_matching_keys, sieve=_sieve_of(shared, "key")), "key long, digest binary")
-    index = stage(possible.join(shared, "key", "left_semi").distinct(), "ngram-index")
+    # A row that repeats a document repeats its entries.
+    index = stage(possible.join(shared, "key").distinct(), "ngram-index")
     release(entries, shared)
     return index
 
 
+def candidates_of(index: DataFrame, frequent: int) -> DataFrame:
+    """(a, b): pairs that may be similar, and ties that connect what such pairs connect.
+
+    A pair's own keys are counted under keys of at most `frequent` sets; of the others, it may share all.
+    """
+    of_many = (
+        index.where((F.col("sets") > frequent) & F.col("is_rare")).groupBy("digest").agg(F.count(F.lit(1)).alias("more"))
+    )
+    few = index.where(F.col("sets") <= frequent).drop("sets")
+    other = few.select("key", *[F.col(c).alias(f"b_{c}") for c in ("digest", "n", "last", "length")])
+    near = (F.col("n") * 5 >= F.col("b_n") * 4) & (F.col("b_n") * 5 >= F.col("n") * 4)
+    counted = (
+        few.join(other, "key")
+        .where((F.col("digest") < F.col("b_digest")) & near)
+        .groupBy("digest", "b_digest", "n", "b_n", "last", "b_last", "length", "b_length")
+        .agg(F.sum(F.col("is_rare").cast("int")).alias("shared"))
+        .join(of_many, "digest", "left")
+    )
+    common = F.ceil((F.col("n") + F.col("b_n")) * 4 / 9)
+    first = F.col("last") <= F.col("b_last")
+    length = F.when(first, F.col("length")).otherwise(F.col("b_length"))
+    may_miss = F.when(first, F.col("n")).otherwise(F.col("b_n")) - common
+    possible = counted.where(length - F.col("shared") - F.coalesce("more", F.lit(0)) <= may_miss)
+    many = index.where(F.col("sets") > frequent)
+    ties = many.join(many.groupBy("key").agg(F.min("digest").alias("b")), "key").where("digest != b")
+    pairs = possible.select(F.col("digest").alias("a"), F.col("b_digest").alias("b"))
+    return pairs.unionByName(ties.select(F.col("digest").alias("a"), "b"))
+
+
 def links_of(keyed: DataFrame, clusters: DataFrame, shingle: int, block_sets: int, block_tokens: int) -> DataFrame:
     """Links (a, b) between the digests of `clusters` (digest, row_key, cluster)."""
     rows = _sieve_of(clusters, "row_key")
@@ -379,20 +448,17 @@ def join(
     )
     rows = stage(read.select("doc_id", "n", "digest"), "ngram-rows")
     sets = stage(
-        read.where("n > 0").groupBy("digest").agg(F.min("row_key").alias("row_key"), F.first("prefix").alias("prefix")),
+        read.where("n > 0")
+        .groupBy("digest", "n")
+        .agg(F.min("row_key").alias("row_key"), F.first("prefix").alias("prefix")),
         "ngram-sets",
     )
     release(read)
     index = index_of(keyed, sets, shingle, frequent)
     names = stage(sets.select("digest", "row_key"), "ngram-names")
     release(sets)
-    # A star for every key connects what the key's pairs would.
-    stars = (
-        index.join(index.groupBy("key").agg(F.min("digest").alias("b")), "key")
-        .select(F.col("digest").alias("a"), "b")
-        .where("a != b")
-    )
-    candidates = components(stars).select(F.col("node").alias("digest"), F.col("label").alias("cluster"))
+    reached = components(candidates_of(index, frequent))
+    candidates = reached.select(F.col("node").alias("digest"), F.col("label").alias("cluster"))
     clusters = stage(candidates.join(names, "digest"), "ngram-clusters")
     release(index)
     reached = components(links_of(keyed, clusters, shingle, block_sets, block_tokens))

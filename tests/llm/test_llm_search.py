@@ -148,8 +148,9 @@ def test_similar_sets_share_a_key():
             left = int(rng.integers(0, more + 1))
             a = np.unique(np.concatenate([common, rng.integers(0, 2**64, left, np.uint64)]))
             b = np.unique(np.concatenate([common, rng.integers(0, 2**64, more - left, np.uint64)]))
-            assert np.intersect1d(nj.index_keys(a, sieved), nj.index_keys(b, sieved)).size
-            assert len(nj.index_keys(a, sieved)) <= 2.5 * len(a) + 4
+            keys = [nj.index_keys(x, sieved) for x in (a, b)]
+            assert any(np.intersect1d(x, y).size for x, y in zip(*keys, strict=True))
+            assert sum(map(len, keys[0])) <= 2.5 * len(a) + 4
 
 
 def test_two_blocks_give_the_links_between_them():
