@@ -353,6 +353,19 @@ tweets AS (
     "stream_trending": f"WITH {RANKED} SELECT * FROM ranked",
     "stream_trending_reports": f"WITH {RANKED} {REPORT} GROUP BY window_end",
     "stream_follow_state": f"WITH {EDGES} SELECT follower, followee FROM edges",
+    "follow_state_compacted": f"WITH {EDGES} SELECT follower, followee, since_ts, since_seq FROM edges",
+    "streamed_following_lists": lists("following", 10_000),
+    "long_loaded_list": f"""WITH {EDGES},
+  everybody AS (
+    SELECT 'user0' AS follower, 'user' || c_custkey AS followee, TIMESTAMP '2014-11-23 14:05:09' AS since_ts,
+           c_custkey * 7 % 1000 AS since_seq FROM customer
+    UNION ALL SELECT follower, followee, since_ts, since_seq FROM edges WHERE follower <> 'user0')
+  SELECT follower AS username, followee AS member,
+         row_number() OVER (PARTITION BY follower ORDER BY since_ts, since_seq, followee) - 1 AS position
+  FROM everybody""",
+    "load_twice": """SELECT 'user' AS kind, 'user' || c_custkey AS name FROM customer WHERE c_mktsegment = 'BUILDING'
+  UNION ALL
+  SELECT 'tweet', 'user' || user_id FROM events WHERE event_id % 100 = 0 AND event_type <> 'error'""",
     "stream_post_ingest": f"""WITH {TWEETS},{USERS}
   SELECT tweet_id, created_at, text, username, name
   FROM tweets LEFT JOIN users USING (username)""",

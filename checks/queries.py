@@ -166,6 +166,22 @@ def followers_lists_paged(spark, sf):
     )
 
 
+@query
+def long_loaded_list(spark, sf):
+    """One user follows all customers, loaded as a list: all its edges have one time."""
+    customers = views.table(spark, sf, "customer")
+    star = customers.select(
+        views.username(F.lit(0)).alias("follower"),
+        views.username(F.col("c_custkey")).alias("followee"),
+        wall_clock(LOADED_AT).alias("since_ts"),
+        (F.col("c_custkey") * 7 % 1000).cast("bigint").alias("since_seq"),
+    )
+    others = edges(spark, sf).where(F.col("follower") != "user0")
+    path = f"{run_dir(spark, 'edges')}/table"
+    tables.replace_table(star.unionByName(others), path)
+    return follows.list_positions(spark.read.parquet(path), "following", min_hot_rows=20)
+
+
 @query
 def following_positions(spark, sf):
     return follows.list_positions(edges_table(spark, sf), "following")
@@ -174,7 +190,7 @@ def following_positions(spark, sf):
 @query
 def is_following(spark, sf):
     return follows.is_following(
-        views.page_views(spark, sf), edges_table(spark, sf), salt_by=["request_id"]
+        views.page_views(spark, sf), edges_table(spark, sf)
     )
 
 
@@ -427,7 +443,7 @@ def account_credentials(spark, sf):
 @query
 def credential_outcomes(spark, sf):
     return accounts.attempt_outcomes(
-        views.login_attempts(spark, sf), stored_accounts(spark, sf), ["attempt_id"]
+        views.login_attempts(spark, sf), stored_accounts(spark, sf)
     )
 
 
@@ -460,6 +476,26 @@ def loaded(spark: SparkSession, sf: str) -> bulk_load.FeedTables:
     )
 
 
+@query
+def load_twice(spark, sf):
+    """Two loads into one folder; the second, of other lines, replaces all tables of the first."""
+    root = run_dir(spark, "load")
+    for segment in ("MACHINERY", "BUILDING"):
+        lines = views.user_lines(spark, sf).where(F.col("value").startswith("{") & (F.col("part") == 0))
+        lines = lines.join(
+            views.table(spark, sf, "customer").where(F.col("c_mktsegment") == segment),
+            F.col("key") == F.col("c_custkey"),
+            "left_semi",
+        )
+        views.write_lines(lines, f"{root}/in/{segment}")
+        views.write_lines(views.tweet_lines(spark, sf).where(F.col("key") % 100 == 0), f"{root}/tweets/{segment}")
+        bulk_load.bulk_load(spark, f"{root}/in/{segment}", f"{root}/tweets/{segment}", f"{root}/out", LOADED_AT)
+    stored = bulk_load.feed_tables(spark, f"{root}/out")
+    users = spark.read.parquet(stored.path("users")).select(F.lit("user").alias("kind"), F.col("username").alias("name"))
+    posted = read_batches(spark, stored.path("tweets"), TWEETS)
+    return users.unionByName(posted.select(F.lit("tweet").alias("kind"), F.col("username").alias("name")))
+
+
 @query
 def bulk_load_users(spark, sf):
     return spark.read.parquet(loaded(spark, sf).path("users"))
@@ -539,22 +575,50 @@ def stream_trending_reports(spark, sf):
     return in_utc(reports).select("window_end", "report")
 
 
-@query
-def stream_follow_state(spark, sf):
+def streamed_follows(spark: SparkSession, sf: str, parts: int = 1, compacted: bool = False) -> str:
+    """Folder of a follow stream over all orders, in as many runs as `parts`, each from files of its own."""
     root = run_dir(spark, "follows")
-    schema = views.table(spark, sf, "orders").schema
+    orders = views.table(spark, sf, "orders")
     # Streams take no subqueries: the number of users is read first, as one value.
     n = views.table(spark, sf, "events").agg(F.max("user_id") + 1).first()[0]
-    orders = table_stream(spark, sf, schema, files="orders.parquet")
-    finished(
-        follow_streams.follow_stream(
-            views.follow_columns(orders, F.lit(n)),
-            f"{root}/changes",
-            f"{root}/checkpoint",
-            trigger=ONCE,
+    for part in range(parts):
+        if parts > 1:
+            # By time: of each pair the earlier events come first.
+            year = F.year("o_orderdate")
+            mine = orders.where(F.least(F.greatest(year - 1993, F.lit(0)), F.lit(parts - 1)) == part)
+            tables.append_table(mine, f"{root}/in")
+            source = table_stream(spark, f"{root}/in", orders.schema)
+        else:
+            source = table_stream(spark, sf, orders.schema, files="orders.parquet")
+        finished(
+            follow_streams.follow_stream(
+                views.follow_columns(source, F.lit(n)), f"{root}/follows", f"{root}/checkpoint", trigger=ONCE
+            )
         )
-    )
-    return follow_streams.followed_pairs(spark.read.parquet(f"{root}/changes"))
+        if compacted:
+            follow_streams.compact(spark, f"{root}/follows")
+    return f"{root}/follows"
+
+
+@query
+def stream_follow_state(spark, sf):
+    return follow_streams.followed_pairs(spark, streamed_follows(spark, sf))
+
+
+@query
+def follow_state_compacted(spark, sf):
+    """Four runs of the stream, each followed by a compaction; with the order of the lists."""
+    return follow_streams.followed_edges(spark, streamed_follows(spark, sf, 4, compacted=True))
+
+
+@query
+def streamed_following_lists(spark, sf):
+    """Lists in order from a snapshot and the batches after it."""
+    root = streamed_follows(spark, sf, 3)
+    follow_streams.compact(spark, root)
+    path = f"{run_dir(spark, 'edges')}/table"
+    tables.replace_table(follow_streams.followed_edges(spark, root), path)
+    return joined_lists(follows.follow_lists(spark.read.parquet(path), "following"))
 
 
 def ingested(spark: SparkSession, sf: str, tweets: str | None = None) -> str:

@@ -22,7 +22,7 @@ def main(argv: list[str] | None = None) -> None:
         .getOrCreate()
     )
     loaded_at = datetime.now(timezone.utc).replace(tzinfo=None)
-    bulk_load(spark, args.users, args.tweets, args.out, loaded_at)
+    print(bulk_load(spark, args.users, args.tweets, args.out, loaded_at).root)
 
 
 if __name__ == "__main__":

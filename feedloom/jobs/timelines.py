@@ -21,6 +21,7 @@ from feedloom.operators.follows import (
     mark_unknown,
     one_sided_edges,
 )
+from feedloom.plans.bulk_load import feed_tables
 from feedloom.plans.timelines import home_timelines, profile_timelines
 from feedloom.schemas import TWEETS
 from feedloom.sinks.tables import replace_table
@@ -32,7 +33,7 @@ BEFORE_EVENTS = datetime(1970, 1, 1)
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Build the pages of all users.")
-    parser.add_argument("feed", help="folder with tables users, following, followers, tweets")
+    parser.add_argument("feed", help="folder that bulk_load has filled")
     parser.add_argument("out")
     parser.add_argument("--events", help="follow events since the load")
     parser.add_argument("--top", type=int, default=10)
@@ -42,10 +43,11 @@ def main(argv: list[str] | None = None) -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
-    users = spark.read.parquet(f"{args.feed}/users")
-    tweets = read_batches(spark, f"{args.feed}/tweets", TWEETS).drop("name")
+    feed = feed_tables(spark, args.feed)
+    users = spark.read.parquet(feed.path("users"))
+    tweets = read_batches(spark, feed.path("tweets"), TWEETS).drop("name")
     sides = {
-        side: edges_of_lists(spark.read.parquet(f"{args.feed}/{side}"), side, BEFORE_EVENTS)
+        side: edges_of_lists(spark.read.parquet(feed.path(side)), side, BEFORE_EVENTS)
         for side in ("following", "followers")
     }
     if args.events:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.credentials import attempt_outcome, default_salt, salted_hash
 from feedloom.functions.times import account_stamp
-from feedloom.operators.skew import salted_join
 from feedloom.operators.topk import top_k_per_group
 
 
@@ -55,13 +54,14 @@ def new_accounts(outcomes: DataFrame, at: Column, salt: Column | None = None) ->
     return with_credentials(accepted, at, salt)
 
 
-def attempt_outcomes(
-    attempts: DataFrame, accounts: DataFrame, salt_by: Sequence[str]
-) -> DataFrame:
-    """`attempts(username, password, ...)` with a column `outcome`."""
+def attempt_outcomes(attempts: DataFrame, accounts: DataFrame) -> DataFrame:
+    """`attempts(username, password, ...)` with a column `outcome`.
+
+    The attempts are read once; adaptive execution splits those on a name that is tried very often.
+    """
     stored = accounts.select("username", F.col("pass").alias("_stored"))
     return (
-        salted_join(attempts, stored, ["username"], "left", salt_by=salt_by)
+        attempts.join(stored, "username", "left")
         .withColumn("outcome", attempt_outcome(F.col("password"), F.col("_stored")))
         .drop("_stored")
     )

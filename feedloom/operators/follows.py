@@ -10,67 +10,90 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.times import wall_clock
-from feedloom.operators.skew import (
-    MAX_HOT_KEYS,
-    MIN_HOT_ROWS,
-    hot_keys,
-    salted_join,
-)
+from feedloom.operators.skew import MAX_HOT_KEYS, MIN_HOT_ROWS, hot_keys
+from feedloom.session import run_dir
 
 PAIR = ["follower", "followee"]
 FOLLOW, UNFOLLOW = "follow", "unfollow"
+SLICE = timedelta(days=30)
 
 
-def fold_follow_events(
-    events: DataFrame,
-    max_hot_pairs: int = MAX_HOT_KEYS,
-    min_hot_rows: int = MIN_HOT_ROWS,
-) -> DataFrame:
-    """Current edges after all events, in any input order.
+def standing(records: DataFrame) -> DataFrame:
+    """One record per pair from any number of them: what `follow_records` gives, for several slices.
 
-    Ordinary pairs take one shuffle and one window. Pairs with very many events are
-    kept out of it: there are at most `max_hot_pairs`, so their last unfollow is
-    found by an aggregate, broadcast, and the first follow after it by another.
+    Records of slices that don't overlap combine to what all their events give. Of overlapping ones, whether the
+    pair stands and since when it left are right too; `since` may come out as a later
+    follow, where the pair follows twice in a row and is unfollowed, late, in between.
     """
-    moves = events.where(
-        F.col("follower").isNotNull() & F.col("followee").isNotNull()
-    ).select(*PAIR, "action", F.struct("ts", "seq").alias("at"))
-    hot = F.broadcast(hot_keys(moves, PAIR, max_hot_pairs, min_hot_rows))
-    last_left = F.max(F.when(F.col("action") == UNFOLLOW, F.col("at")))
-    standing = (F.col("action") == FOLLOW) & (
-        F.col("left_at").isNull() | (F.col("at") > F.col("left_at"))
+    left = F.max("left_at").over(Window.partitionBy(*PAIR))
+
+    def behind(at: str) -> Column:
+        return F.when(F.col("last_left").isNull() | (F.col(at) > F.col("last_left")), F.col(at))
+
+    return (
+        records.withColumn("last_left", left)
+        .groupBy(*PAIR)
+        .agg(
+            F.max("last_left").alias("left_at"),
+            F.min(F.coalesce(behind("since"), behind("followed_at"))).alias("since"),
+            F.max("followed_at").alias("followed_at"),
+        )
     )
 
-    ordinary = moves.join(hot, PAIR, "left_anti").withColumn(
-        "left_at", last_left.over(Window.partitionBy(*PAIR))
+
+def follow_records(events: DataFrame, slice_by: timedelta = SLICE) -> DataFrame:
+    """`follower, followee, left_at, since, followed_at` per pair and slice of time: the last unfollow, the first
+    follow after it (or the first of all), the last follow. All three are structs of (ts, seq).
+
+    Rows without one of the names or a time are left out.
+    """
+    moves = events.where(F.col("follower").isNotNull() & F.col("followee").isNotNull()).select(
+        *PAIR,
+        F.window("ts", f"{int(slice_by.total_seconds())} seconds")["start"].alias("slice"),
+        F.when(F.col("action") == FOLLOW, F.struct("ts", "seq")).alias("follow"),
+        F.when(F.col("action") == UNFOLLOW, F.struct("ts", "seq")).alias("unfollow"),
+    )
+    left = F.max("unfollow").over(Window.partitionBy(*PAIR, "slice"))
+    after = F.when(F.col("left").isNull() | (F.col("follow") > F.col("left")), F.col("follow"))
+    return (
+        moves.withColumn("left", left)
+        .groupBy(*PAIR, "slice")
+        .agg(F.max("left").alias("left_at"), F.min(after).alias("since"), F.max("follow").alias("followed_at"))
+        .drop("slice")
     )
-    busy = moves.join(hot, PAIR, "left_semi")
-    busy_left = busy.groupBy(*PAIR).agg(last_left.alias("left_at"))
-    busy = busy.join(F.broadcast(busy_left), PAIR)
 
-    def first_standing(rows: DataFrame) -> DataFrame:
-        return rows.where(standing).groupBy(*PAIR).agg(F.min("at").alias("since"))
 
-    return first_standing(ordinary).unionByName(first_standing(busy)).select(
+def edges_of(records: DataFrame) -> DataFrame:
+    """Edges that stand, of one record per pair."""
+    return records.where(F.col("since").isNotNull()).select(
         *PAIR, F.col("since.ts").alias("since_ts"), F.col("since.seq").alias("since_seq")
     )
 
 
-def apply_follow_events(edges: DataFrame, events: DataFrame, **limits: int) -> DataFrame:
+def records_of(edges: DataFrame) -> DataFrame:
+    """Edges as records, so that later ones can be added to them."""
+    since = F.struct(F.col("since_ts").alias("ts"), F.col("since_seq").alias("seq"))
+    return edges.select(*PAIR, F.lit(None).alias("left_at"), since.alias("since"), since.alias("followed_at"))
+
+
+def fold_follow_events(events: DataFrame, slice_by: timedelta = SLICE) -> DataFrame:
+    """Current edges after all events, in any input order.
+
+    The events are read once. A pair's events are first reduced to one record per slice of time, so
+    a pair that holds a large share of all events is spread over as many groups as it has slices, and
+    only records meet.
+    """
+    return edges_of(standing(follow_records(events, slice_by)))
+
+
+def apply_follow_events(edges: DataFrame, events: DataFrame, slice_by: timedelta = SLICE) -> DataFrame:
     """Edges after events that all come later than the ones the edges stand for."""
-    kept = edges.select(
-        *PAIR,
-        F.lit(FOLLOW).alias("action"),
-        F.col("since_ts").alias("ts"),
-        F.col("since_seq").alias("seq"),
-    )
-    return fold_follow_events(
-        kept.unionByName(events.select(*PAIR, "action", "ts", "seq")), **limits
-    )
+    later = follow_records(events.select(*PAIR, "action", "ts", "seq"), slice_by)
+    return edges_of(standing(records_of(edges).unionByName(later)))
 
 
 def edges_of_lists(
@@ -98,62 +121,73 @@ def mark_unknown(events: DataFrame, users: DataFrame) -> DataFrame:
     names = users.select("username").distinct()
     for side in PAIR:
         known = names.select(F.col("username").alias(side), F.lit(True).alias("_known"))
-        events = salted_join(events, known, [side], "left", salt_by=["ts", "seq"])
-        events = events.withColumn(
-            f"{side}_known", F.coalesce("_known", F.lit(False))
-        ).drop("_known")
+        events = (
+            events.join(known, side, "left")
+            .withColumn(f"{side}_known", F.coalesce("_known", F.lit(False)))
+            .drop("_known")
+        )
     return events
 
 
 def positions_by_length(
     edges: DataFrame,
     side: str,
-    slice_by: timedelta = timedelta(days=1),
     max_hot_users: int = MAX_HOT_KEYS,
     min_hot_rows: int = MIN_HOT_ROWS,
-) -> tuple[DataFrame, DataFrame]:
-    """`username, position, member` of the lists of ordinary length, and of the others.
+) -> tuple[DataFrame, DataFrame | None]:
+    """`username, position, member` of the lists of ordinary length, and of the others if there are any.
 
-    Lists of ordinary length are numbered by one window per user. Users with very
-    many edges are numbered per slice of time, plus the length of all earlier slices.
+    Lists of ordinary length are numbered by one window per user; there are at most `max_hot_users` others.
     """
     owner, member = PAIR if side == "following" else PAIR[::-1]
     rows = edges.select(
         F.col(owner).alias("username"), F.col(member).alias("member"), "since_ts", "since_seq"
     )
-    hot = F.broadcast(hot_keys(rows, ["username"], max_hot_users, min_hot_rows))
-    order = ["since_ts", "since_seq", "member"]
+    hot = [r.username for r in hot_keys(rows, ["username"], max_hot_users, min_hot_rows).collect()]
     columns = ["username", F.col("position").cast("bigint").alias("position"), "member"]
 
-    short = rows.join(hot, ["username"], "left_anti").withColumn(
-        "position", F.row_number().over(Window.partitionBy("username").orderBy(*order)) - 1
-    )
+    def numbered(lists: DataFrame) -> DataFrame:
+        order = Window.partitionBy("username").orderBy("since_ts", "since_seq", "member")
+        return lists.withColumn("position", F.row_number().over(order) - 1).select(*columns)
 
-    sliced = rows.join(hot, ["username"], "left_semi").withColumn(
-        "slice", F.window("since_ts", f"{int(slice_by.total_seconds())} seconds")["start"]
-    )
-    earlier = Window.partitionBy("username").orderBy("slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    if not hot:
+        return numbered(rows), None
+    spark = edges.sparkSession
+    names = F.broadcast(spark.createDataFrame([(name,) for name in hot], rows.select("username").schema))
+    long = numbered_in_ranges(rows.join(names, "username", "left_semi"))
+    return numbered(rows.join(names, "username", "left_anti")), long.select(*columns)
+
+
+def numbered_in_ranges(rows: DataFrame) -> DataFrame:
+    """`rows` with their `position` in the list of their user, however long it is and whatever its times are.
+
+    The rows are dealt to ranges of (username, time, number, member), numbered in each range, and moved by
+    the length of the user's earlier ranges. The ranges are written, so that they are the same in all that
+    follows.
+    """
+    order = ["since_ts", "since_seq", "member"]
+    path = run_dir(rows.sparkSession, "ranges")
+    placed = rows.repartitionByRange("username", *order).withColumn("range", F.spark_partition_id())
+    placed.write.parquet(path)
+    placed = rows.sparkSession.read.schema(placed.schema).parquet(path)
+    earlier = Window.partitionBy("username").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        sliced.groupBy("username", "slice")
+        placed.groupBy("username", "range")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .drop("n")
     )
-    within = F.row_number().over(Window.partitionBy("username", "slice").orderBy(*order)) - 1
-    long = (
-        sliced.withColumn("within", within)
-        .join(starts, ["username", "slice"])
+    within = F.row_number().over(Window.partitionBy("username", "range").orderBy(*order)) - 1
+    return (
+        placed.withColumn("within", within)
+        .join(starts.select("username", "range", "start"), ["username", "range"])
         .withColumn("position", F.col("start") + F.col("within"))
     )
-    return short.select(*columns), long.select(*columns)
 
 
 def list_positions(edges: DataFrame, side: str, **options) -> DataFrame:
     """`username, position, member` of every following or followers list, from 0."""
     short, long = positions_by_length(edges, side, **options)
-    return short.unionByName(long)
+    return short if long is None else short.unionByName(long)
 
 
 def follow_lists(
@@ -175,7 +209,7 @@ def follow_lists(
         )
 
     short, long = positions_by_length(edges, side, **options)
-    return pages(short).unionByName(pages(long))
+    return pages(short) if long is None else pages(short).unionByName(pages(long))
 
 
 def list_of(edges: DataFrame, side: str, username: str) -> DataFrame:
@@ -188,15 +222,18 @@ def list_of(edges: DataFrame, side: str, username: str) -> DataFrame:
     )
 
 
-def is_following(requests: DataFrame, edges: DataFrame, salt_by: list[str]) -> DataFrame:
-    """`requests(viewer, profile, ...)` with a column `following`."""
+def is_following(requests: DataFrame, edges: DataFrame) -> DataFrame:
+    """`requests(viewer, profile, ...)` with a column `following`.
+
+    The requests are read once; adaptive execution splits those for a very popular profile.
+    """
     pairs = edges.select(
         F.col("follower").alias("viewer"),
         F.col("followee").alias("profile"),
         F.lit(True).alias("_edge"),
     )
     return (
-        salted_join(requests, pairs, ["viewer", "profile"], "left", salt_by=salt_by)
+        requests.join(pairs, ["viewer", "profile"], "left")
         .withColumn("following", F.col("_edge").isNotNull())
         .drop("_edge")
     )

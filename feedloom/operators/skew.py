@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # At most MAX_HOT_KEYS keys can each hold more than 1/MAX_HOT_KEYS of the rows, so
-# a frame of hot keys is always small enough to broadcast. Other keys are left to the
-# skew join of adaptive execution, which splits partitions that are large for their join.
+# a frame of hot keys is always small enough to broadcast. Joins that adaptive execution can split are
+# written as plain joins; this is for windows, written buckets and sessions without it.
 MAX_HOT_KEYS = 10_000
 MIN_HOT_ROWS = 1_000_000
 # A hot key is split into sub-keys of about this many rows.
@@ -67,8 +67,10 @@ def salted_join(
         raise ValueError("salted_join keeps to inner, left, semi and anti joins")
     if hot is None:
         hot = hot_keys(left, keys)
+    # Some of the keys may be enough to tell hot ones.
+    by = [c for c in hot.columns if c != "_n"]
     salts = F.ceil(F.col("_n") / rows_per_salt).cast("bigint")
-    marked = F.broadcast(hot.select(*keys, salts.alias("_salts")))
+    marked = F.broadcast(hot.select(*by, salts.alias("_salts")))
     row_hash = F.xxhash64(*salt_by)
     null_key: Column = F.lit(False)
     for key in keys:
@@ -78,10 +80,10 @@ def salted_join(
     )
     copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)) - 1)
     salted_left = (
-        left.join(marked, list(keys), "left").withColumn("_salt", salt).drop("_salts")
+        left.join(marked, by, "left").withColumn("_salt", salt).drop("_salts")
     )
     salted_right = (
-        right.join(marked, list(keys), "left")
+        right.join(marked, by, "left")
         .withColumn("_salt", F.explode(copies))
         .drop("_salts")
     )

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from feedloom.functions.times import parse_created_at, utc_wall_clock, wall_clock
 from feedloom.operators.accounts import first_per_key, with_credentials
 from feedloom.schemas import CORRUPT, TWEET_LINE, USER_LINE
-from feedloom.sinks.tables import replace_batches, replace_table
+from feedloom.sinks.tables import LOAD, replace_table, write_batch
+from feedloom.sinks.versions import Folder, Versions
 from feedloom.sources.lines import LINE_ORDER, read_tweet_lines, read_user_lines
 
 MALFORMED, NO_USERNAME = "malformed", "no_username"
@@ -48,21 +49,24 @@ def reject_rows(df: DataFrame, source: str, fields: list[str]) -> DataFrame:
     return df.select(F.lit(source).alias("input"), "reason", raw.alias("line"))
 
 
-def split_users(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(first line of each username, rejects). `lines` must be a written table.
+def first_rows(lines: DataFrame) -> DataFrame:
+    """`row` of the first usable line of each username; reads only names and places."""
+    usable = line_problem(lines).where(F.col("reason").isNull())
+    return first_per_key(usable.select("username", *LINE_ORDER), "username", line_order()).select("row")
 
-    Repeats are found by their row number, which is unique, so a username that fills
+
+def split_users(lines: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first line of each username, rejects). Both inputs must be written tables.
+
+    Lines are told apart by their row number, which is unique, so a username that fills
     a large share of the input is spread like all other lines.
     """
     marked = line_problem(lines)
     usable = marked.where(F.col("reason").isNull())
-    first = first_per_key(usable, "username", line_order())
-    places = first_per_key(usable.select("username", *LINE_ORDER), "username", line_order())
-    repeats = usable.join(places.select("row"), "row", "left_anti").withColumn(
-        "reason", F.lit(DUPLICATE)
-    )
-    rejects = marked.where(F.col("reason").isNotNull()).unionByName(repeats)
-    return first.drop("reason", CORRUPT), reject_rows(rejects, "users", USER_LINE.names)
+    repeats = usable.join(first, "row", "left_anti").withColumn("reason", F.lit(DUPLICATE))
+    rejects = marked.where(F.col("reason").isNotNull()).unionByName(repeats.select(marked.columns))
+    kept = usable.join(first, "row", "left_semi").drop("reason", CORRUPT)
+    return kept, reject_rows(rejects, "users", USER_LINE.names)
 
 
 def split_tweets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,6 +90,14 @@ def split_tweets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tweets, reject_rows(rejects, "tweets", TWEET_LINE.names)
 
 
+def feed_tables(spark: SparkSession, out_dir: str) -> FeedTables:
+    """The tables of the last complete load into `out_dir`."""
+    current = Versions(spark, out_dir).current()
+    if current is None:
+        raise FileNotFoundError(f"nothing was loaded into {out_dir}")
+    return FeedTables(current)
+
+
 def bulk_load(
     spark: SparkSession,
     users_path: str,
@@ -93,25 +105,35 @@ def bulk_load(
     out_dir: str,
     loaded_at: datetime,
 ) -> FeedTables:
-    """Replaces users, following, followers, tweets and rejects below `out_dir`.
+    """Replaces users, following, followers, tweets and rejects in `out_dir`, all at once.
 
-    Each input is parsed once into a staged table. That fixes the line order for all
-    later jobs, and each of them reads only its own columns. The tweets table is one of
+    The tables are written to a new version, which becomes the current one when all are complete; a load
+    that fails leaves the old tables as they are. `feed_tables` finds the current ones. The version before stays
+    until the next load, for jobs that are reading it.
+
+    Each input is parsed once into a staged table, which is deleted in the end. That fixes the line order
+    for all later jobs, and each of them reads only its own columns. The tweets table is one of
     batches, to which posts are added later; read it with `sources.tables.read_batches`.
     """
-    tables = FeedTables(out_dir)
-    replace_table(read_user_lines(spark, users_path), tables.path("staging/users"))
-    replace_table(read_tweet_lines(spark, tweets_path), tables.path("staging/tweets"))
-
-    users, user_rejects = split_users(spark.read.parquet(tables.path("staging/users")))
-    tweets, tweet_rejects = split_tweets(spark.read.parquet(tables.path("staging/tweets")))
-
-    accounts = with_credentials(
-        users.select("username", "name"), wall_clock(loaded_at)
-    )
-    replace_table(accounts, tables.path("users"))
-    replace_table(users.select("username", "following"), tables.path("following"))
-    replace_table(users.select("username", "followers"), tables.path("followers"))
-    replace_batches(tweets, tables.path("tweets"))
-    replace_table(user_rejects.unionByName(tweet_rejects), tables.path("rejects"))
+    versions = Versions(spark, out_dir)
+    tables = FeedTables(versions.begin())
+    staging = FeedTables(tables.path("staging"))
+    try:
+        replace_table(read_user_lines(spark, users_path), staging.path("users"))
+        replace_table(read_tweet_lines(spark, tweets_path), staging.path("tweets"))
+        lines = spark.read.parquet(staging.path("users"))
+        replace_table(first_rows(lines), staging.path("first"))
+
+        users, user_rejects = split_users(lines, spark.read.parquet(staging.path("first")))
+        tweets, tweet_rejects = split_tweets(spark.read.parquet(staging.path("tweets")))
+
+        accounts = with_credentials(users.select("username", "name"), wall_clock(loaded_at))
+        replace_table(accounts, tables.path("users"))
+        replace_table(users.select("username", "following"), tables.path("following"))
+        replace_table(users.select("username", "followers"), tables.path("followers"))
+        write_batch(tweets, tables.path("tweets"), 0, LOAD)
+        replace_table(user_rejects.unionByName(tweet_rejects), tables.path("rejects"))
+    finally:
+        Folder(spark, tables.root).delete("staging")
+    versions.commit(tables.root)
     return tables

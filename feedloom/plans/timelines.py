@@ -6,12 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.times import display_time
-from feedloom.operators.skew import (
-    MAX_HOT_KEYS,
-    MIN_HOT_ROWS,
-    hot_keys,
-    salted_join,
-)
+from feedloom.operators.skew import hot_keys, salted_join
 from feedloom.operators.topk import top_k, top_k_per_group
 
 
@@ -20,10 +15,11 @@ def newest_first() -> list:
 
 
 def with_author_names(tweets: DataFrame, users: DataFrame) -> DataFrame:
-    """Every tweet with the `name` of its author (NULL when unknown)."""
-    return salted_join(
-        tweets, users.select("username", "name"), ["username"], "left", salt_by=["tweet_id"]
-    )
+    """Every tweet with the `name` of its author (NULL when unknown).
+
+    The tweets are read once; adaptive execution splits those of a very busy author.
+    """
+    return tweets.join(users.select("username", "name"), "username", "left")
 
 
 def newest_per_author(tweets: DataFrame, k: int = 10) -> DataFrame:
@@ -90,46 +86,41 @@ def home_timelines(
     tweets: DataFrame,
     edges: DataFrame,
     k: int = 10,
-    max_hot_authors: int = MAX_HOT_KEYS,
-    min_hot_rows: int = MIN_HOT_ROWS,
+    min_hot_rows: int | None = None,
 ) -> DataFrame:
     """Per viewer the k newest tweets of all followees.
 
     No viewer can see more than the k newest of one author, so authors are cut
     before the join, which yields at most k rows per edge. Only ids and times go
     through it and the ranking; texts are joined to the k rows per viewer that stay.
-    Followers of a popular author are spread by salt in both joins.
+
+    Adaptive execution splits the followers of a popular author in both joins. Where it is off, give
+    `min_hot_rows`: authors of as many followers are spread by salt, which reads the edges once more.
     """
     candidates = newest_per_author(
         tweets.select("tweet_id", "username", "created_at", "text"), k
     )
     pairs = edges.select(F.col("follower").alias("viewer"), "followee")
-    seen = salted_join(
-        pairs,
-        candidates.select(F.col("username").alias("followee"), "tweet_id", "created_at"),
-        ["followee"],
-        "inner",
-        salt_by=["viewer"],
-        hot=hot_keys(pairs, ["followee"], max_hot_authors, min_hot_rows),
-        rows_per_salt=min_hot_rows,
-    )
+    # A viewer has one row per tweet at most, so the authors that are hot in one join are those of the other.
+    hot = None if min_hot_rows is None else hot_keys(pairs, ["followee"], min_rows=min_hot_rows)
+
+    def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        if hot is None:
+            return left.join(right, keys)
+        return salted_join(left, right, keys, "inner", ["viewer"], hot, min_hot_rows)
+
+    of_followees = candidates.withColumnRenamed("username", "followee")
+    seen = joined(pairs, of_followees.select("followee", "tweet_id", "created_at"), ["followee"])
     shown = top_k_per_group(
-        seen.select("viewer", F.col("followee").alias("username"), "tweet_id", "created_at"),
-        ["viewer"],
-        [*newest_first(), F.asc("username")],
-        k,
+        seen, ["viewer"], [*newest_first(), F.asc("followee")], k
     )
     # Two authors may have used one tweet_id.
-    name = ["username", "tweet_id"]
-    return salted_join(
-        shown,
-        candidates.select("tweet_id", "username", "text"),
-        name,
-        "inner",
-        salt_by=["viewer"],
-        hot=hot_keys(shown, name, max_hot_authors, min_hot_rows),
-        rows_per_salt=min_hot_rows,
-    ).withColumn("display_time", display_time(F.col("created_at")))
+    texts = of_followees.select("followee", "tweet_id", "text")
+    return (
+        joined(shown, texts, ["followee", "tweet_id"])
+        .withColumnRenamed("followee", "username")
+        .withColumn("display_time", display_time(F.col("created_at")))
+    )
 
 
 def home_titles(users: DataFrame) -> DataFrame:

@@ -53,6 +53,21 @@ POSTS = StructType([
 ])
 
 # Streams
+MOMENT = StructType([
+    StructField("ts", TimestampNTZType()),
+    StructField("seq", LongType()),
+])
+FOLLOW_RECORDS = StructType([
+    StructField("follower", StringType()),
+    StructField("followee", StringType()),
+    StructField("left_at", MOMENT),
+    StructField("since", MOMENT),
+    StructField("followed_at", MOMENT),
+])
+READ_UP_TO = StructType([
+    StructField("writer", StringType()),
+    StructField("batch", LongType()),
+])
 PROGRESS = StructType([
     StructField("stream", StringType()),
     StructField("batch", LongType()),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.operators.skew import ROWS_PER_SALT, hot_keys
+from feedloom.sinks.versions import Folder
 
 
 def replace_table(df: DataFrame, path: str) -> None:
@@ -16,6 +17,11 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 
 def append_table(df: DataFrame, path: str) -> None:
+    """Adds files to a plain table. Tables of batches take `append_batch` instead: files without
+    labels would hide theirs."""
+    folder = Folder(df.sparkSession, path)
+    if any(name.startswith(f"{WRITER}=") for name in folder.names()):
+        raise ValueError(f"{path} is a table of batches")
     df.write.mode("append").parquet(path)
 
 

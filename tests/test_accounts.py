@@ -42,7 +42,7 @@ def test_attempts_and_default_passwords(spark):
         [(1, "a", "a"), (2, "a", "x"), (3, "c", "c"), (4, "b", "b")],
         "attempt_id int, username string, password string",
     )
-    got = accounts.attempt_outcomes(attempts, stored, ["attempt_id"]).orderBy("attempt_id")
+    got = accounts.attempt_outcomes(attempts, stored).orderBy("attempt_id")
     assert [r.outcome for r in got.collect()] == [
         "ok", "invalid-password", "user-not-found", "invalid-password"]
     assert [r.username for r in accounts.default_passwords(stored).collect()] == ["a"]

@@ -1,11 +1,14 @@
 import hashlib
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from feedloom.jobs import bulk_load as bulk_load_job
 from feedloom.jobs import timelines as timelines_job
-from feedloom.plans.bulk_load import bulk_load
+from feedloom.plans import bulk_load as plan
+from feedloom.plans.bulk_load import bulk_load, feed_tables
+from feedloom.sinks.versions import Folder, Versions
 from feedloom.sources.tables import find_user, find_users, read_table
 
 LOADED_AT = datetime(2014, 11, 23, 14, 5, 9)
@@ -74,6 +77,47 @@ def test_bulk_load(spark, tmp_path):
     ]
 
 
+def test_failed_load_leaves_the_old_tables(spark, tmp_path, monkeypatch):
+    """Whatever step fails, readers keep all tables of the load before; the next load succeeds."""
+    first = load(spark, tmp_path)
+    feed = str(tmp_path / "feed")
+    names = ["users", "following", "followers", "tweets", "rejects"]
+
+    def content():
+        tables = feed_tables(spark, feed)
+        return [sorted(map(str, spark.read.parquet(tables.path(n)).collect())) for n in names]
+
+    before = content()
+    users = write(tmp_path / "more.json", ['{"username":"z","name":"Zed"}'])
+    tweets = write(tmp_path / "none.json", TWEETS[:1])
+    real = plan.replace_table
+    for fails_at in ("first", "following", "rejects"):
+
+        def broken(df, path, fails_at=fails_at):
+            if path.endswith(f"/{fails_at}"):
+                raise OSError("the disk is full")
+            real(df, path)
+
+        monkeypatch.setattr(plan, "replace_table", broken)
+        with pytest.raises(OSError):
+            bulk_load(spark, users, tweets, feed, LOADED_AT)
+        assert feed_tables(spark, feed) == first and content() == before
+    monkeypatch.setattr(plan, "replace_table", real)
+    second = bulk_load(spark, users, tweets, feed, LOADED_AT)
+    assert feed_tables(spark, feed) == second
+    assert [r.username for r in spark.read.parquet(second.path("users")).collect()] == ["z"]
+    # A job that was reading the first load still can.
+    assert spark.read.parquet(first.path("users")).count() == 3
+    assert "staging" not in Folder(spark, second.root).names()
+    bulk_load(spark, users, tweets, feed, LOADED_AT)
+    assert len(Versions(spark, feed).names()) == 2 and not (tmp_path / "feed" / first.root.rsplit("/", 1)[1]).exists()
+
+
+def test_nothing_loaded(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        feed_tables(spark, str(tmp_path))
+
+
 def test_first_line_wins_over_files(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -114,7 +158,7 @@ def test_jobs_from_lines_to_pages(spark, tmp_path):
     lists = {r.username: r.members for r in spark.read.parquet(f"{out}/following").collect()}
     assert lists == {"a": ["b"], "c": ["a"]}
     assert spark.read.parquet(f"{out}/profiles").count() == 2
-    stored = {r.username: r.followers or [] for r in spark.read.parquet(f"{feed}/followers").collect()}
+    stored = {r.username: r.followers or [] for r in spark.read.parquet(feed_tables(spark, feed).path("followers")).collect()}
     kept = {r.username: r.members for r in spark.read.parquet(f"{out}/followers").collect()}
     for name, followers in stored.items():
         left = [f for f in dict.fromkeys(followers) if (f, name) != ("a", "c")]

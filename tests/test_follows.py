@@ -49,11 +49,11 @@ def lists(df):
     return pages
 
 
-@pytest.mark.parametrize("seed, limit", [(0, 1), (1, 12), (2, 10**6)])
-def test_fold_equals_replay(spark, seed, limit):
+@pytest.mark.parametrize("seed, limit, hours", [(0, 1, 1), (1, 12, 30), (2, 10**6, 10**5)])
+def test_fold_equals_replay(spark, seed, limit, hours):
     rows = random_events(seed)
     events = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    edges = stored(spark, follows.fold_follow_events(events, min_hot_rows=limit))
+    edges = stored(spark, follows.fold_follow_events(events, timedelta(hours=hours)))
     following, followers = replay(rows)
     assert lists(follows.follow_lists(edges, "following", min_hot_rows=limit)) == following
     assert lists(follows.follow_lists(edges, "followers", min_hot_rows=limit)) == followers
@@ -66,7 +66,7 @@ def test_one_pair_with_a_third_of_all_events(spark):
         for i in range(100)
     ]
     edges = stored(
-        spark, follows.fold_follow_events(spark.createDataFrame(rows, SCHEMA), min_hot_rows=50)
+        spark, follows.fold_follow_events(spark.createDataFrame(rows, SCHEMA), timedelta(minutes=10))
     )
     following, _ = replay(rows)
     assert lists(follows.follow_lists(edges, "following")) == following
@@ -120,7 +120,7 @@ def test_is_following(spark):
     edges = spark.createDataFrame([("a", "b", DAY, 1)], "follower string, followee string, since_ts timestamp_ntz, since_seq bigint")
     requests = [(1, "a", "b"), (2, "b", "a"), (3, "nobody", "b"), (4, "a", "b"), (5, None, "b")]
     df = spark.createDataFrame(requests, "id int, viewer string, profile string")
-    got = follows.is_following(df, edges, ["id"]).orderBy("id").collect()
+    got = follows.is_following(df, edges).orderBy("id").collect()
     assert [r.following for r in got] == [True, False, False, True, False]
 
 
@@ -147,12 +147,51 @@ def test_unknown_users_are_marked(spark):
         (True, True), (True, False), (False, True)]
 
 
-def test_fold_plan_has_no_hot_task(spark):
-    """Ordinary pairs: one shuffle. Busy pairs: aggregates with map-side combine only."""
-    rows = random_events(1)
-    df = follows.fold_follow_events(spark.createDataFrame(rows, SCHEMA))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+def test_records_combine_in_any_grouping(spark):
+    """Records of slices of time give the same, however many are combined first."""
+    rows = sorted(random_events(6, 240, 3), key=lambda r: (r[3], r[4]))
+    parts = [follows.follow_records(spark.createDataFrame(rows[i : i + 60], SCHEMA)) for i in range(0, 240, 60)]
+    a, b, c, d = (stored(spark, p) for p in parts)
+    whole = follows.follow_records(spark.createDataFrame(rows, SCHEMA), timedelta(days=10**4))
+
+    def result(records):
+        return sorted(map(str, follows.standing(records).collect()))
+
+    want = result(whole)
+    assert result(a.unionByName(b).unionByName(c).unionByName(d)) == want
+    left = stored(spark, follows.standing(a.unionByName(b)))
+    right = stored(spark, follows.standing(c.unionByName(d)))
+    assert result(left.unionByName(right)) == want
+    middle = stored(spark, follows.standing(b.unionByName(c)))
+    assert result(a.unionByName(middle).unionByName(d)) == want
+
+
+def test_late_events_keep_the_pairs_right(spark):
+    """Records of overlapping slices: pairs and last unfollows are right."""
+    rows = random_events(8, 200, 4)
+    parts = [stored(spark, follows.follow_records(spark.createDataFrame(rows[i::3], SCHEMA))) for i in range(3)]
+    got = follows.standing(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    want = follows.standing(follows.follow_records(spark.createDataFrame(rows, SCHEMA)))
+    for df, columns in ((follows.edges_of, ["follower", "followee"]), (lambda x: x, ["follower", "followee", "left_at"])):
+        assert sorted(map(str, df(got).select(*columns).collect())) == sorted(map(str, df(want).select(*columns).collect()))
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 8])
+def test_long_lists_of_one_time_are_numbered_in_ranges(spark, ranges):
+    """A loaded list: all edges have one time; repeated numbers are told apart by the member."""
+    rng = random.Random(ranges)
+    rows = [("star", f"m{i}", DAY, rng.randrange(50)) for i in range(300)]
+    rows += [("other", f"m{i}", DAY, i) for i in range(40)]
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        df = spark.createDataFrame(rows, "username string, member string, since_ts timestamp_ntz, since_seq bigint")
+        got = follows.numbered_in_ranges(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for user in ("star", "other"):
+        mine = sorted((r.position, r.member) for r in got if r.username == user)
+        want = [r[1] for r in sorted((x for x in rows if x[0] == user), key=lambda x: (x[3], x[1]))]
+        assert mine == list(enumerate(want))
 
 
 @pytest.mark.parametrize("size", [1, 2, 4, 10_000])

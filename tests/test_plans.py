@@ -46,6 +46,29 @@ def test_global_top_takes_ordered(tweets):
     assert "TakeOrderedAndProject" in plan(trending.hashtag_top(tweets))
 
 
+@pytest.mark.parametrize("name, table, scans", [
+    ("follow_edges", "ts:timestamp_ntz|o_orderkey", 1),
+    ("is_following", "event_id", 1),
+    ("tweets_with_names", "event_id", 1),
+    ("credential_outcomes", "o_orderpriority", 1),
+    ("follow_unknown_users", "o_orderkey", 1),
+])
+def test_big_tables_are_read_once(spark, name, table, scans):
+    """The number of scans that read a column which only the big side of the join gives."""
+    text = plan(QUERIES[name](spark, SF))
+    read = re.findall(r"ReadSchema: struct<([^>]*)>", text)
+    assert sum(bool(re.search(table, columns)) for columns in read) == scans
+
+
+def test_home_timelines_read_tweets_twice_and_edges_once(spark, tweets):
+    edges = views.follow_events(spark, SF).select("follower", "followee").distinct()
+    text = plan(timelines.home_timelines(tweets, edges))
+    read = re.findall(r"ReadSchema: struct<([^>]*)>", text)
+    assert sum("event_type" in columns for columns in read) == 1
+    assert sum("event_id" in columns for columns in read) == 2
+    assert sum("o_custkey" in columns for columns in read) == 1
+
+
 def test_first_per_key_sends_one_row_per_task_and_key(tweets):
     text = plan(first_per_key(tweets, "username", [F.col("tweet_id")]))
     assert re.search(r"WindowGroupLimit .* 1, Partial", text)

@@ -12,7 +12,8 @@ from feedloom.sinks.tables import append_batch, append_table, replace_batches, r
 from feedloom.sinks.topic import topic_records
 from feedloom.sources.tables import read_batches, table_stream
 from feedloom.sources.topic import message_posts, message_texts, topic_stream
-from feedloom.streaming.follows import follow_stream, followed_pairs
+from feedloom.sinks.versions import Folder, Versions
+from feedloom.streaming.follows import compact, follow_stream, followed_edges, followed_pairs
 from feedloom.streaming.posts import post_stream, to_table
 from feedloom.streaming.progress import ProgressTable, watermark_of
 from feedloom.streaming.trending import drain, late_rows, trending_stream, use_rocksdb
@@ -146,6 +147,13 @@ def test_progress_table_counts_late_rows(spark, tmp_path):
     assert watermark_of(spark, f"{out}/checkpoint") == rows[-1][1] - timedelta(minutes=2)
 
 
+def test_plain_files_stay_out_of_a_table_of_batches(spark, tmp_path):
+    rows = spark.createDataFrame([("a",)], "username string")
+    append_batch(rows, str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        append_table(rows, str(tmp_path / "t"))
+
+
 def test_disorder_within_the_delay_counts(spark, tmp_path):
     rows, folder, out = posts(), str(tmp_path / "in"), str(tmp_path / "out")
     shuffled = rows[10:20] + rows[:10] + rows[20:]
@@ -164,14 +172,48 @@ def test_follow_state_equals_fold(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     for i in range(0, 120, 40):  # batches overlap in time
         add_file(spark, folder, f"{i:03}", rows[i : i + 40], FOLLOW_EVENTS)
-    follow_stream(
-        files(spark, folder, FOLLOW_EVENTS), f"{out}/changes", f"{out}/checkpoint", ONCE
-    ).awaitTermination()
-    got = followed_pairs(spark.read.parquet(f"{out}/changes"))
+    follow_stream(files(spark, folder, FOLLOW_EVENTS), out, f"{out}/checkpoint", ONCE).awaitTermination()
+    got = followed_pairs(spark, out)
     want = fold_follow_events(spark.createDataFrame(rows, FOLLOW_EVENTS))
     assert rows_of(got, "follower", "followee") == rows_of(want, "follower", "followee")
 
 
+def test_compacted_follow_state_keeps_its_files_few(spark, tmp_path):
+    """Over 6 restarts the pairs, their order and the number of batch folders read stay right."""
+    rng = random.Random(4)
+    rows = [(f"u{rng.randrange(4)}", f"u{rng.randrange(4)}", rng.choice(["follow", "follow", "unfollow"]),
+             START + timedelta(hours=i // 3), i) for i in range(180)]
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    columns = ["follower", "followee", "since_ts", "since_seq"]
+    seen = []
+    for i in range(0, 180, 30):
+        for j in (i, i + 15):
+            add_file(spark, folder, f"{j:03}", rows[j : j + 15], FOLLOW_EVENTS)
+        follow_stream(files(spark, folder, FOLLOW_EVENTS), out, f"{out}/checkpoint", ONCE).awaitTermination()
+        want = rows_of(fold_follow_events(spark.createDataFrame(rows[: i + 30], FOLLOW_EVENTS)), *columns)
+        assert rows_of(followed_edges(spark, out), *columns) == want
+        compact(spark, out)
+        assert rows_of(followed_edges(spark, out), *columns) == want
+        changes = Folder(spark, f"{out}/changes")
+        seen.append(sum(len(changes.names(w)) for w in changes.names()))
+    assert max(seen) <= 4 and len(Versions(spark, f"{out}/snapshots").names()) == 2
+    # A batch that is written again, after it went into the snapshot, changes nothing.
+    writer, = changes.names()
+    batch = changes.names(writer)[0]
+    path = f"{out}/changes/{writer}/{batch}"
+    spark.read.parquet(path).collect()
+    again = spark.createDataFrame(spark.read.parquet(path).collect(), spark.read.parquet(path).schema)
+    again.write.mode("overwrite").parquet(path)
+    assert rows_of(followed_edges(spark, out), *columns) == want
+
+
+def test_follow_state_of_nothing(spark, tmp_path):
+    out = str(tmp_path / "out")
+    assert followed_edges(spark, out).collect() == []
+    compact(spark, out)
+    assert followed_pairs(spark, out).collect() == []
+
+
 def test_post_ingest(spark, tmp_path):
     rows = posts(n=6) + [(90, START, "", "u1"), (91, START, "x" * 141, "u1"), (92, None, "now", "x")]
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
