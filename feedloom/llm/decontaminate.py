@@ -22,7 +22,8 @@ from feedloom.llm.common import ascii_lower, stage, text_key, without
 SPAN = 10
 GRAM = 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = re.compile(WORD)
+# The same in the bytes of lower-cased UTF-8.
+_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 # A fixed 1 MiB of bits tells tasks which hashes the benchmark may have.
 SIEVE_BITS = 1 << 23
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -66,8 +67,8 @@ def plan_of(lengths: list[int], span: int = SPAN, gram: int = GRAM) -> dict[int,
     return plan
 
 
-def _word_hashes(text: str, seen: dict[str, int]) -> np.ndarray:
-    words = _WORD.findall(text.encode().lower().decode())
+def _word_hashes(text: str, seen: dict[bytes, int]) -> np.ndarray:
+    words = _WORD.findall(text.encode().lower())
     if len(seen) > 500_000:
         seen.clear()
     out = []
@@ -79,49 +80,60 @@ def _word_hashes(text: str, seen: dict[str, int]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def _kept_of(base: np.ndarray, plan: Mapping[int, int], sieve: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Kept hashes of one text's words that pass the sieve, and their places."""
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for k, w in plan.items():
+        grams = gram_hashes(base, k)
+        if sieve is not None and len(grams):
+            at = grams & np.uint64(SIEVE_BITS - 1)
+            hit = (sieve[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+            if not hit.any():
+                continue
+            at = kept(grams, w)
+            at = at[hit[at] == 1]
+        else:
+            at = kept(grams, w)
+        hashes.append(grams[at])
+        places.append(at)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 def _fingerprints(
     batches: Iterator[pa.RecordBatch], plan: Mapping[int, int], sieve: np.ndarray | None
 ) -> Iterator[pa.RecordBatch]:
-    """(row of input columns, h, pos): the kept hashes that pass the sieve."""
-    seen: dict[str, int] = {}
+    """Input columns but the text, n_words, and the kept hashes that pass the sieve (h) with their places (pos)."""
+    seen: dict[bytes, int] = {}
     for batch in batches:
-        rows, hashes, places = [], [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            if not text:
-                continue
-            base = _word_hashes(text, seen)
-            for k, w in plan.items():
-                grams = gram_hashes(base, k)
-                if sieve is not None and len(grams):
-                    at = grams & np.uint64(SIEVE_BITS - 1)
-                    hit = (sieve[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-                    if not hit.any():
-                        continue
-                    at = kept(grams, w)
-                    at = at[hit[at] == 1]
-                else:
-                    at = kept(grams, w)
-                rows.append(np.full(len(at), i))
-                hashes.append(grams[at])
-                places.append(at)
-        if rows:
-            row = pa.array(np.concatenate(rows))
-            columns = [batch.column(j).take(row) for j, n in enumerate(batch.schema.names) if n != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
-            columns += [
-                pa.array(np.concatenate(hashes).view(np.int64)),
-                pa.array(np.concatenate(places).astype(np.int32)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "h", "pos"])
+        counts, hashes, places = [], [], []
+        for text in batch.column("text"):
+            base = _word_hashes(text.as_py() or "", seen)
+            h, at = _kept_of(base, plan, sieve)
+            counts.append(len(base))
+            hashes.append(h)
+            places.append(at)
+        names = [n for n in batch.schema.names if n != "text"]
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in hashes], dtype=np.int64)]).astype(np.int32))
+        h = pa.array(np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64))
+        pos = pa.array(np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(n) for n in names),
+                pa.array(counts, pa.int64()),
+                pa.ListArray.from_arrays(offsets, h),
+                pa.ListArray.from_arrays(offsets, pos),
+            ],
+            [*names, "n_words", "h", "pos"],
+        )
 
 
 def fingerprints(
     texts: DataFrame, plan: Mapping[int, int], sieve: np.ndarray | None = None
 ) -> DataFrame:
-    """Kept hashes and their places; `texts` has text and key columns."""
+    """Per row of `texts` (text and key columns): number of words, kept hashes and their places."""
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
     return texts.mapInArrow(
-        partial(_fingerprints, plan=dict(plan), sieve=sieve), f"{keys}, h long, pos int"
+        partial(_fingerprints, plan=dict(plan), sieve=sieve), f"{keys}, n_words long, h array<long>, pos array<int>"
     )
 
 
@@ -162,7 +174,7 @@ def find(docs: DataFrame, items: DataFrame, span: int = SPAN, keyed: bool = Fals
     and text get the same result each. A null item_id counts as the text "null". Other columns
     are left out. Empty tables work: no items, no hits.
 
-    Documents are read twice: once for fingerprints, of which only those that may be the
+    Documents are read twice: once to count words and for fingerprints, of which only those that may be the
     benchmark's leave the task, once to extend hits to whole windows, compared word by word.
     """
     benchmark = items.select(
@@ -172,15 +184,17 @@ def find(docs: DataFrame, items: DataFrame, span: int = SPAN, keyed: bool = Fals
     shorts = item_words.where((F.size("words") > 0) & (F.size("words") < span))
     lengths = [r["n"] for r in shorts.select(F.size("words").alias("n")).distinct().collect()]
     plan = plan_of(lengths, span)
-    item_prints = stage(fingerprints(benchmark, plan).select("h").distinct(), "item-prints")
+    item_prints = stage(fingerprints(benchmark, plan).select(F.explode("h").alias("h")).distinct(), "item-prints")
     windows = stage(
         item_words.select("item", F.explode(windows_of(F.col("words"), span)).alias("window")).distinct(),
         "item-windows",
     )
     rows = docs.select("doc_id", "text").withColumn("text_key", text_key(F.col("text")))
     sieve = build_sieve(item_prints)
+    prints = stage(fingerprints(rows, plan, sieve), "doc-prints")
     anchors = (
-        fingerprints(rows, plan, sieve)
+        prints.select("doc_id", "text_key", F.explode(F.arrays_zip("h", "pos")).alias("at"))
+        .select("doc_id", "text_key", "at.h", "at.pos")
         .join(item_prints, "h", "left_semi")
         .groupBy("doc_id", "text_key")
         .agg(F.collect_set("pos").alias("anchors"))
@@ -240,9 +254,8 @@ def find(docs: DataFrame, items: DataFrame, span: int = SPAN, keyed: bool = Fals
         F.col("a.doc_id").alias("_id"), F.col("a.text_key").alias("_key"), "n_hit", "items"
     )
     none = F.array().cast("array<string>")
-    n_words = F.regexp_count(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD))
     return (
-        rows.select("doc_id", "text_key", n_words.cast("bigint").alias("n_words"))
+        prints.select("doc_id", "text_key", "n_words")
         .join(
             shared,
             F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
