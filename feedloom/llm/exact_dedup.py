@@ -160,9 +160,11 @@ def dedup(history: DataFrame, incoming: DataFrame, keys_per_bucket: int = KEYS_P
     )
     rows = stage(both, "digests")
     old = stage(grouped(rows.where("old")), "history")
-    buckets = old.count() // keys_per_bucket + 1
+    new = stage(grouped(rows.where("NOT old")), "incoming")
+    # A bucket's digests of either side meet in one task.
+    buckets = max(old.count(), new.count()) // keys_per_bucket + 1
     index = stage(build_index(old, buckets), "digest-index")
-    asked = stage(look_up(index, grouped(rows.where("NOT old")), buckets), "lookups")
+    asked = stage(look_up(index, new, buckets), "lookups")
     repeats = asked.where("history_n > 0").select("digest", "first_id", "n")
     members = old.unionByName(repeats).groupBy("digest").agg(
         F.min("first_id").alias("keep_id"), F.sum("n").alias("group_size")
@@ -188,8 +190,3 @@ def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     old = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
     return docs.where(old), docs.where(~old)
 
-
-def survivors(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay."""
-    return docs.join(groups.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
-
