@@ -53,8 +53,9 @@ def shard_records(
     run from 0 without a gap. Repeated rows get a slot each. A null text has no bytes. Other
     columns of the input are left out. An empty table gives an empty result.
 
-    No shard is numbered in one task: its rows are dealt into chunks by hash, chunks are
-    counted, and a row's slot is its number in the chunk plus the rows of earlier chunks.
+    No shard is numbered in one task: equal rows are counted, what is left is dealt into chunks by hash, chunks are
+    counted, and a row's slot is its number in the chunk plus the rows of earlier chunks. Equal rows
+    take slots in a row, made by as many tasks as they fill chunks.
     """
     content = F.coalesce(F.col(text), F.lit("")).cast("binary")
     grown = rendezvous(F.col(key), grown_weights) if grown_weights else F.lit(None)
@@ -69,27 +70,49 @@ def shard_records(
         "shards",
     )
     chunks = max(8, placed.count() // (len(weights) * chunk_rows) + 1)
-    rows = placed.withColumn(
-        "chunk", F.pmod(F.xxhash64("key", "text_crc32", "size"), F.lit(chunks))
+    record = ["key", "text_crc32", "size"]
+    # Equal rows are counted, and given their slots in the end.
+    rows = (
+        placed.groupBy(*record, "shard", "grown_shard")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("chunk", F.pmod(F.xxhash64(*record), F.lit(chunks)))
     )
-    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.unboundedPreceding, -1
+    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(*so_far)
     starts = (
         rows.groupBy("shard", "chunk")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
         .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .drop("n")
     )
-    inside = Window.partitionBy("shard", "chunk").orderBy("key", "text_crc32", "size")
-    return (
-        rows.withColumn("number", F.row_number().over(inside) - 1)
+    inside = Window.partitionBy("shard", "chunk").orderBy(*record).rowsBetween(*so_far)
+    numbered = (
+        rows.withColumn("number", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(starts, ["shard", "chunk"])
-        .select(
-            F.col("key").alias(key),
-            "size",
-            "text_crc32",
-            F.lit("key").alias("law"),
-            F.col("shard").cast("int").alias("shard"),
-            (F.col("start") + F.col("number")).alias("slot"),
-            "grown_shard",
-        )
+        .withColumn("first", F.col("start") + F.col("number"))
+    )
+
+    def copies(first: str, n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).alias(first)
+
+    few = numbered.where(F.col("n") <= chunk_rows).select("*", copies("copy", "n"))
+    # Very many equal rows are made by many tasks, each of a part of them.
+    parts = F.ceil(F.col("n") / chunk_rows).cast("bigint")
+    many = (
+        numbered.where(F.col("n") > chunk_rows)
+        .withColumn("parts", parts)
+        .select("*", copies("part", "parts"))
+        .repartition(*record, "part")
+        .withColumn("left", F.least(F.lit(chunk_rows), F.col("n") - F.col("part") * chunk_rows))
+        .select("*", copies("within", "left"))
+        .withColumn("copy", F.col("part") * chunk_rows + F.col("within"))
+    )
+    return few.unionByName(many.select(few.columns)).select(
+        F.col("key").alias(key),
+        "size",
+        "text_crc32",
+        F.lit("key").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        (F.col("first") + F.col("copy")).alias("slot"),
+        "grown_shard",
     )
