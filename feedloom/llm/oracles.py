@@ -16,7 +16,7 @@ WITH rules(host, path, verdict) AS (
     SELECT page_id, html, {HOST} AS host, {PATH} AS path FROM pages
 ), listed AS (
     SELECT DISTINCT host || path AS entry FROM urls
-    WHERE contains(html, 'CC BY-NC') AND NOT ends_with(host || path, '/') AND host || path != ''
+    WHERE contains(html, 'CC BY-NC') AND host || path != ''
 )
 SELECT page_id, u.host, u.path, r.host || r.path AS rule,
     coalesce(r.verdict, CASE WHEN l.entry IS NULL THEN 'allow' ELSE 'block' END) AS verdict,

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import ascii_lower, stage
 
-# The filter's size is fixed, so what every task holds doesn't grow with the list. A longer
+# The filter has a block for so many entries, up to a size that every task can hold (some 8 MB). A still longer
 # list only lets more false hits through to the join.
-FILTER_BLOCKS = 1 << 14
+ENTRIES_PER_BLOCK = 16
+MOST_BLOCKS = 1 << 16
 WORDS = 8
 BITS = 64
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -32,8 +33,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), URL_PARTS, 2)
 
 
-def _block(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BLOCKS)).cast("int")
+def filter_blocks(entries: int) -> int:
+    """Blocks of a filter for so many entries."""
+    return max(1, min(MOST_BLOCKS, -(-entries // ENTRIES_PER_BLOCK)))
+
+
+def _block(key: Column, size: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(size)).cast("int")
 
 
 def _mask(key: Column) -> Column:
@@ -51,22 +57,22 @@ def _mask(key: Column) -> Column:
     )
 
 
-def build_filter(entries: DataFrame) -> DataFrame:
-    """(block, words): an entry sets one bit in each word of one block. FILTER_BLOCKS rows at
+def build_filter(entries: DataFrame, size: int) -> DataFrame:
+    """(block, words): an entry sets one bit in each word of one block. `size` rows at
     most, each 8 words long."""
-    marked = entries.select(_block(F.col("entry")).alias("block"), _mask(F.col("entry")).alias("mask"))
+    marked = entries.select(_block(F.col("entry"), size).alias("block"), _mask(F.col("entry")).alias("mask"))
     words = [F.bit_or(F.col("mask")[i]).alias(f"w{i}") for i in range(WORDS)]
     blocks = marked.groupBy("block").agg(*words)
     return blocks.select("block", F.array(*[f"w{i}" for i in range(WORDS)]).alias("words"))
 
 
-def probe(urls: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+def probe(urls: DataFrame, blocks: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
     """`urls` with `maybe`, the keys among its columns `keys` that the filter lets through:
     all listed ones and a few others. A task looks keys up in its copy of the filter."""
     out, passed = urls, []
     for key in keys:
         held = F.broadcast(blocks.select(F.col("block").alias(f"b_{key}"), F.col("words").alias(f"w_{key}")))
-        out = out.join(held, _block(F.col(key)) == F.col(f"b_{key}"), "left")
+        out = out.join(held, _block(F.col(key), size) == F.col(f"b_{key}"), "left")
         bits = F.zip_with(f"w_{key}", _mask(F.col(key)), lambda word, bit: word.bitwiseAND(bit) == bit)
         passed.append(F.when(F.forall(bits, lambda same: same), F.col(key)))
     maybe = F.array_distinct(F.array_compact(F.array(*passed)))
@@ -146,8 +152,9 @@ def judge(pages: DataFrame, entries: DataFrame) -> DataFrame:
         return _verdicts(free, None)
     candidates = _candidates(F.col("host"), F.col("path"), shapes)
     keys = {f"key{i}": c for i, c in enumerate(candidates)}
-    blocks = stage(build_filter(known.select(F.col("key").alias("entry"))), "url-filter")
-    probed = probe(urls.withColumns(keys), blocks, list(keys))
+    size = filter_blocks(known.count())
+    blocks = stage(build_filter(known.select(F.col("key").alias("entry")), size), "url-filter")
+    probed = probe(urls.withColumns(keys), blocks, size, list(keys))
     hits = (
         probed.where(F.size("maybe") > 0)
         .groupBy("host", "path")
