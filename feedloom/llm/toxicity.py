@@ -29,8 +29,6 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 # At most this many labelled rows are learned from: those with the smallest hash of doc_id.
 SAMPLE_ROWS = 20_000
-# The learned lexicon holds at most this many words and beginnings of words.
-LEXICON_SIZE = 4_000
 # A unit must occur in this many toxic texts of the sample, and be this much likelier there.
 LEAST_TEXTS, LEAST_ODDS = 3, 6.0
 PREFIXES = (4, 5, 6)
@@ -261,8 +259,6 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
         .where(F.col("toxic") >= LEAST_TEXTS)
         .withColumn("odds", log_odds)
         .where(F.col("odds") >= math.log(LEAST_ODDS))
-        .orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "unit")
-        .limit(LEXICON_SIZE)
         .collect()
     )
     return {r["unit"]: r["odds"] for r in rows}
@@ -306,7 +302,9 @@ def _both_classes(rows: DataFrame) -> bool:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from labelled rows outside the held-out fold, `sample_rows` of them at most.
+    """Learns from labelled rows outside the held-out fold, `sample_rows` of them at most, repeats of id and text
+    counting once. To the calibrated score, a share TIE_SHARE of the uncalibrated probability is
+    mixed, which tells rows of one calibration step apart.
 
     Labels of one document that disagree count as toxic; null labels don't count.
     """
@@ -320,8 +318,21 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .limit(sample_rows)
     )
     tenth = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10))
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    # Ids may be repeated with many texts, so the bound is on both; either table has `sample_rows` rows at most.
+    name = ["doc_id", "text_key"]
+    chosen = (
+        rows.select(*name)
+        .join(F.broadcast(marked), "doc_id")
+        .dropDuplicates(name)
+        .orderBy("order", *name)
+        .limit(sample_rows)
+    )
     sample = stage(
-        docs.select("doc_id", "text").join(marked, "doc_id").withColumn("tenth", tenth),
+        rows.join(F.broadcast(chosen), name)
+        .dropDuplicates(name)
+        .select("doc_id", "text", "label")
+        .withColumn("tenth", tenth),
         "toxicity-sample",
     )
     lexicon = learn_lexicon(sample.where(F.col("tenth") < LEXICON_TENTHS).select("text", "label"))
