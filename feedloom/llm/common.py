@@ -43,12 +43,33 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """`names`, each with underscores behind it until no column of `docs` has the name."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def joined_by_row(docs: DataFrame, keyed: DataFrame, how: str) -> DataFrame:
+    """`docs` joined to the rows of `keyed` (doc_id, text_key, ...) by id and text; a null id equals another one.
+
+    Columns of `keyed` but the two must have names that `docs` hasn't.
+    """
+    name, key = free_names(docs, "row_id", "row_key")
+    others = [c for c in keyed.columns if c not in ("doc_id", "text_key")]
+    right = keyed.select(F.col("doc_id").alias(name), F.col("text_key").alias(key), *others)
+    same = F.col("doc_id").eqNullSafe(F.col(name)) & (text_key(F.col("text")) == F.col(key))
+    joined = docs.join(right, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(name, key)
+
+
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """The rows of `docs` whose (doc_id, text) isn't in `bad` (doc_id, text_key); a null id equals
-    another one."""
-    marked = bad.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
-    return docs.join(marked, same, "left_anti")
+    """The rows of `docs` whose (doc_id, text) isn't in `bad` (doc_id, text_key)."""
+    return joined_by_row(docs, bad.select("doc_id", "text_key").distinct(), "left_anti")
 
 
 def remainder(doc_id: Column, parts: int) -> Column:

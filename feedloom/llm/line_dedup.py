@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import LOWER, UPPER, stage, text_key
+from feedloom.llm.common import LOWER, UPPER, free_names, joined_by_row, release, stage, text_key
 
 SHINGLE = 5
 # Rarity is counted per class of word hashes, so its table has a fixed size.
@@ -166,6 +166,7 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         .select("token", "first", *NAME, "n", "place"),
         "line-index",
     )
+    release(shared)
     others = [F.col(c).alias(f"a_{c}") for c in ("first", *NAME, "n", "place")]
     before = F.struct("a_first", "a_h1", "a_h2") < F.struct("first", *NAME)
 
@@ -286,15 +287,15 @@ def without_lines(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
     A column n_chars follows the new text; all other columns stay as they are.
     """
-    gone = repeated.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
-    joined = docs.join(gone, same, "left")
-    touched = F.col("_gone").isNotNull() & F.col("text").isNotNull()
+    gone, kept = free_names(docs, "gone", "kept")
+    numbers = repeated.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias(gone))
+    joined = joined_by_row(docs, numbers, "left")
+    touched = F.col(gone).isNotNull() & F.col("text").isNotNull()
+    stay = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i))
     return (
-        joined.withColumn("_kept", F.when(touched, kept))
-        .where(~touched | (F.size("_kept") > 0))
-        .withColumn("text", F.when(touched, F.array_join("_kept", "\n")).otherwise(F.col("text")))
+        joined.withColumn(kept, F.when(touched, stay))
+        .where(~touched | (F.size(kept) > 0))
+        .withColumn("text", F.when(touched, F.array_join(kept, "\n")).otherwise(F.col("text")))
         .withColumns({"n_chars": F.length("text").cast("bigint")} if "n_chars" in docs.columns else {})
         .select(*docs.columns)
     )

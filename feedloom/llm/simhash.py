@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import stage, text_key
+from feedloom.llm.common import joined_by_row, stage, text_key
 from feedloom.llm.components import components
 
 SHINGLE = 3
@@ -294,10 +294,8 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "copies")
     first = stage(names.groupBy("label").agg(F.min(order).alias("k")).select("k.*"), "simhash-kept")
 
-    def rows_of(kept: DataFrame) -> DataFrame:
-        kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
-        return docs.join(kept, same, "left_semi")
+    def rows_of(copies: str) -> DataFrame:
+        return joined_by_row(docs, first.where(copies).select("doc_id", "text_key"), "left_semi")
 
-    several = rows_of(first.where("copies > 1")).dropDuplicates(["doc_id", "text"])
-    return rows_of(first.where("copies = 1")).unionByName(several)
+    several = rows_of("copies > 1").dropDuplicates(["doc_id", "text"])
+    return rows_of("copies = 1").unionByName(several)

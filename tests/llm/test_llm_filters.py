@@ -4,6 +4,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from feedloom.llm import decontaminate, secrets, sharding, toxicity, url_filter
 
@@ -58,7 +59,7 @@ def test_licence_pages_are_listed_whatever_they_end_in(llm_spark):
 
 def test_filter_has_no_false_negatives(llm_spark):
     keys = llm_spark.range(3000).selectExpr("concat('h', id, '/p') AS entry")
-    probed = url_filter.probe(keys.selectExpr("entry AS key0"), url_filter.build_filter(keys), ["key0"])
+    probed = url_filter.probe(keys.selectExpr("entry AS key0"), url_filter.build_filter(keys, 64), 64, ["key0"])
     assert probed.where("size(maybe) = 1").count() == 3000
 
 
@@ -153,6 +154,38 @@ def test_shards_move_only_into_the_new_one(docs_of):
     assert again == {r.doc_id: r.shard for r in rows}
 
 
+def test_equal_records_are_numbered_in_many_tasks(docs_of):
+    """A third of all rows are equal: their slots are made in parts, without a gap."""
+    docs = docs_of([(i, "a") for i in range(600)] + [(7, "same")] * 300 + [(None, None)] * 45)
+    frame = sharding.shard_records(docs, [1.0] * 3, chunk_rows=40)
+    rows = frame.collect()
+    assert len(rows) == 945
+    for shard in range(3):
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert len({r.slot for r in rows if r.doc_id == 7}) == 301
+    assert sharding.shard_records(docs_of([]), [1.0]).collect() == []
+
+
+def test_filter_grows_with_the_list_up_to_a_bound():
+    sizes = [url_filter.filter_blocks(n) for n in (0, 1, 16, 17, 10**5, 10**9)]
+    assert sizes == [1, 1, 1, 2, 6250, url_filter.MOST_BLOCKS]
+
+
+def test_sample_is_bounded_by_rows(llm_spark, docs_of):
+    """One id on very many rows: the sample takes no more rows than it may."""
+    docs = docs_of([(1, f"text {i}") for i in range(3000)] + [(2, "same")] * 500 + [(i, "other") for i in range(3, 60)])
+    labels = llm_spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id bigint, toxic int")
+    held = []
+    real = toxicity.stage
+    toxicity.stage = lambda df, label: held.append((label, real(df, label))) or held[-1][1]
+    try:
+        toxicity.train(docs, labels, sample_rows=40)
+    finally:
+        toxicity.stage = real
+    assert dict(held)["toxicity-sample"].count() <= 40
+
+
 def test_weights_share_the_records(docs_of):
     rows = sharding.shard_records(docs_of([(i, "") for i in range(3000)]), [1.0, 3.0]).collect()
     assert 0.70 < sum(r.shard for r in rows) / 3000 < 0.80
@@ -195,10 +228,13 @@ def test_features_are_finite_for_odd_texts():
         assert all(math.isfinite(v) for v in toxicity.features_of(text, {}))
 
 
+CLASHES = ("_id", "_key", "_gone", "_kept", "row_id", "row_key", "gone", "kept", "text_key", "label")
+
+
 def test_decisions_tell_rows_without_or_with_one_id_apart(llm_spark, docs_of):
     bad, good = "you idiot", "kind words for all"
     for i in (None, 3):
-        docs = docs_of([(i, bad), (i, good), (i, None)])
+        docs = docs_of([(i, bad), (i, good), (i, None)]).withColumns({c: F.lit(1) for c in CLASHES})
         labels = llm_spark.createDataFrame([], "doc_id bigint, toxic int")
         kept = toxicity.accepted(docs, toxicity.score(docs, labels, keyed=True)).collect()
         assert {r.text for r in kept} == {good, None}
