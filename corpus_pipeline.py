@@ -1,8 +1,12 @@
 """The documents table from raw texts to piece ids, stage by stage.
 
-Every stage reads what its predecessor kept and returns the columns of documents; the last
-returns ids. `run` writes each stage's result below the shared folder and reads it again, so a
+Every stage reads what its predecessor kept and returns the columns of documents, whatever other columns there are; the
+last returns per document the number and digest of its piece ids, and the digest of the text they decode to.
+`run` writes each stage's result below the shared folder and reads it again, so a
 lost executor costs one stage's tasks and no more.
+
+In all stages: rows are told apart by doc_id, null included, and text, so rows that repeat both share a decision; null texts
+are empty documents; texts are read whole, of any length; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,30 +19,32 @@ from feedloom.llm.queries import PIECES, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't call toxic."""
+    """Documents that the classifier doesn't call toxic. Null and empty texts are scored as any other."""
     ship_package(spark)
     return toxicity.accepted(docs, toxicity.score(docs, table(spark, sf_dir, "labels"), keyed=True))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier line repeats; n_chars follows the text."""
+    """Documents without lines that an earlier line repeats; n_chars follows the text. Null and empty texts
+    stay; of rows that repeat id and text each keeps what the first keeps."""
     return line_dedup.without_lines(docs, line_dedup.repeated_lines(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each SimHash component: that of the smallest id, of ties that of the smallest hash of
+    the text, and one row of equal ones. Null and empty texts are one component."""
     ship_package(spark)
     return simhash.keep_one(docs, simhash.near_duplicates(docs, keyed=True))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with the benchmark."""
+    """Documents that share no window of words with the benchmark. Null and empty texts share none."""
     ship_package(spark)
     return decontaminate.clean(docs, decontaminate.find(docs, table(spark, sf_dir, "benchmark"), keyed=True))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text and the digests of an encoding and decoding."""
+    """The number of ids of each text and the digests of an encoding and decoding. Null texts count as empty."""
     ship_package(spark)
     return sentencepiece.digests(docs, PIECES)
 
