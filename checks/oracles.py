@@ -279,6 +279,7 @@ tweets AS (
   WHERE username IN (SELECT followee FROM edges WHERE follower = 'user7')""",
     "home_titles": f"WITH {USERS} SELECT username, name || '''s Timeline:' AS title FROM users",
     "find_one_user": f"WITH {USERS} SELECT * FROM users WHERE username = 'user7' LIMIT 1",
+    "lookup_by_index": f"WITH {TWEETS} SELECT tweet_id, username, created_at FROM tweets WHERE username = 'user7'",
     "find_many_users": f"""WITH {USERS},{FOLLOWS}
   SELECT * FROM users WHERE username IN (SELECT followee FROM moves)""",
     "display_times": f"WITH {TWEETS} SELECT tweet_id, {DISPLAY} AS display_time FROM tweets",
@@ -352,6 +353,28 @@ tweets AS (
   FROM tweets JOIN events ON event_id = tweet_id WHERE event_type = 'error'""",
     "stream_trending": f"WITH {RANKED} SELECT * FROM ranked",
     "stream_trending_reports": f"WITH {RANKED} {REPORT} GROUP BY window_end",
+    "stream_sign_ups": f"""WITH {SIGN_UPS}
+  SELECT request_id, username, name,
+         CASE WHEN taken THEN 'username-taken' ELSE 'created' END AS outcome FROM requests""",
+    "restarted_stream_state": f"""WITH {TAGS},
+  runs(run, until) AS (VALUES (1, TIMESTAMP '2024-01-16'), (2, TIMESTAMP '9999-01-01')),
+  newest AS (SELECT run, max(ts) AS newest FROM events JOIN runs ON ts < until GROUP BY run),
+  slots AS (
+    SELECT run, newest, date_trunc('minute', ts) + to_minutes(1) AS slot_end, tag, count(*) AS cnt
+    FROM tags JOIN runs ON ts < until JOIN newest USING (run) GROUP BY ALL),
+  windows AS (
+    SELECT run, newest, slot_end + to_minutes(i) AS window_end, tag, sum(cnt)::BIGINT AS cnt
+    FROM slots, (SELECT unnest(range(0, 10)) AS i) AS steps WHERE slot_end <= newest GROUP BY ALL)
+  SELECT run, 'slot' AS level, slot_end AS "end", tag, cnt FROM slots WHERE slot_end > newest
+  UNION ALL
+  SELECT run, 'window', window_end, tag, cnt FROM windows WHERE window_end > newest""",
+    "stream_late_rows": f"""WITH {TAGS},
+  newest AS (SELECT max(ts) - INTERVAL 6 HOUR AS done FROM events WHERE event_id % 3 <> 0),
+  late AS (
+    SELECT DISTINCT date_trunc('minute', ts) + to_minutes(1) AS slot_end, tag
+    FROM tags WHERE tweet_id % 3 = 0)
+  SELECT (SELECT count(*) FROM events) AS rows,
+         (SELECT count(*) FROM late, newest WHERE slot_end <= done) AS dropped""",
     "stream_follow_state": f"WITH {EDGES} SELECT follower, followee FROM edges",
     "follow_state_compacted": f"WITH {EDGES} SELECT follower, followee, since_ts, since_seq FROM edges",
     "streamed_following_lists": lists("following", 10_000),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom import views
@@ -17,10 +17,13 @@ from feedloom.plans import bulk_load, expired, posts, timelines, trending
 from feedloom.schemas import TWEETS
 from feedloom.session import run_dir
 from feedloom.sinks import tables
-from feedloom.sources.tables import find_user, find_users, read_batches, table_stream
+from feedloom.sources.tables import find_user, find_users, read_batches, read_table, table_stream
 from feedloom.streaming import follows as follow_streams
 from feedloom.streaming import posts as post_streams
+from feedloom.streaming import sign_ups as sign_up_streams
+from feedloom.streaming import state as stream_states
 from feedloom.streaming import trending as trending_streams
+from feedloom.streaming.progress import ProgressTable
 
 LOADED_AT = datetime(2014, 11, 23, 14, 5, 9)
 ONE_USER = "user7"
@@ -342,6 +345,14 @@ def find_one_user(spark, sf):
     return find_user(views.users(spark, sf), ONE_USER)
 
 
+@query
+def lookup_by_index(spark, sf):
+    """Tweets of one user from a table that is laid out for it."""
+    path = f"{run_dir(spark, 'indexed')}/tweets"
+    tables.write_indexed(views.tweets(spark, sf), path)
+    return read_table(spark, path, F.col("username") == ONE_USER).drop("text")
+
+
 @query
 def find_many_users(spark, sf):
     """Rows of all users that some follow event names as followee."""
@@ -404,19 +415,24 @@ def users_not_taken(spark, sf):
     return accounts.not_taken(customers, views.users(spark, sf))
 
 
-def sign_ups(spark: SparkSession, sf: str) -> DataFrame:
-    """Every event asks for the name of its user; some customers have theirs already."""
-    requests = views.table(spark, sf, "events").select(
+def sign_up_requests(events: DataFrame) -> DataFrame:
+    """Every event asks for the name of its user."""
+    return events.select(
         F.col("event_id").alias("request_id"),
         views.username(F.col("user_id")).alias("username"),
         F.concat(F.lit("Name "), "event_type").alias("name"),
     )
-    existing = (
-        views.table(spark, sf, "customer")
-        .where(F.col("c_mktsegment") == "BUILDING")
-        .select(views.username(F.col("c_custkey")).alias("username"))
-    )
-    return accounts.sign_up_outcomes(requests, existing)
+
+
+def names_before(spark: SparkSession, sf: str) -> DataFrame:
+    """Some customers have theirs already."""
+    customers = views.table(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING")
+    return customers.select(views.username(F.col("c_custkey")).alias("username"))
+
+
+def sign_ups(spark: SparkSession, sf: str) -> DataFrame:
+    requests = sign_up_requests(views.table(spark, sf, "events"))
+    return accounts.sign_up_outcomes(requests, names_before(spark, sf))
 
 
 @query
@@ -600,6 +616,79 @@ def streamed_follows(spark: SparkSession, sf: str, parts: int = 1, compacted: bo
     return f"{root}/follows"
 
 
+MIDDLE = "2024-01-16"
+
+
+def halves_of_events(spark: SparkSession, sf: str, folder: str, second: Column):
+    """Adds the events to `folder` in two steps, those of `second` in the second; yields the stream after each."""
+    events = views.table(spark, sf, "events")
+    for part in (~second, second):
+        tables.append_table(events.where(part), folder)
+        yield table_stream(spark, folder, events.schema)
+
+
+def later_half() -> Column:
+    return F.col("ts") >= F.lit(MIDDLE).cast("timestamp_ntz")
+
+
+def messages_of(events: DataFrame) -> DataFrame:
+    return views.tweet_columns(events).select(F.col("created_at").alias("ts"), "text")
+
+
+@query
+def stream_sign_ups(spark, sf):
+    """Requests in two runs of the stream: names of the first run are taken in the second."""
+    root = run_dir(spark, "sign-ups")
+    for events in halves_of_events(spark, sf, f"{root}/in", later_half()):
+        finished(
+            sign_up_streams.sign_up_stream(
+                sign_up_requests(events),
+                lambda session: names_before(session, sf),
+                root,
+                f"{root}/checkpoint",
+                trigger=ONCE,
+            )
+        )
+    return spark.read.parquet(f"{root}/{sign_up_streams.OUTCOMES}").drop(tables.WRITER, tables.BATCH)
+
+
+@query
+def restarted_stream_state(spark, sf):
+    """State of a trending stream when it has stopped, and when it has gone on and stopped again."""
+    root = run_dir(spark, "state")
+    states = []
+    for run, events in enumerate(halves_of_events(spark, sf, f"{root}/in", later_half()), 1):
+        finished(
+            trending_streams.trending_stream(
+                messages_of(events), f"{root}/table", f"{root}/checkpoint", delay="0 seconds", trigger=ONCE
+            )
+        )
+        # The next run changes what the checkpoint says.
+        counts = stream_states.open_counts(spark, f"{root}/checkpoint")
+        tables.replace_table(counts.withColumn("run", F.lit(run)), f"{root}/state/{run}")
+        states.append(spark.read.parquet(f"{root}/state/{run}"))
+    both = states[0].unionByName(states[1])
+    return both.withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+@query
+def stream_late_rows(spark, sf):
+    """Every third event comes in a second run; what is then over six hours old is late."""
+    root = run_dir(spark, "late")
+    progress = ProgressTable(spark, f"{root}/progress")
+    try:
+        for events in halves_of_events(spark, sf, f"{root}/in", F.col("event_id") % 3 == 0):
+            run = trending_streams.trending_stream(
+                messages_of(events), f"{root}/table", f"{root}/checkpoint", delay="6 hours", trigger=ONCE
+            )
+            finished(run)
+            progress.wait_for(run)
+    finally:
+        progress.close()
+    sums = [F.sum(c).alias(c) for c in ("rows", "dropped")]
+    return progress.read().agg(*sums)
+
+
 @query
 def stream_follow_state(spark, sf):
     return follow_streams.followed_pairs(spark, streamed_follows(spark, sf))

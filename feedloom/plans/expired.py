@@ -2,32 +2,20 @@
 
 Such tags show only where a window has fewer than k live ones. The ones that fill a
 window of m live tags are among the k smallest tags seen by then, so no zero rows of
-all tags are built: k names per slot and per chunk of time are enough.
+all tags are built: the k smallest new tags of a slot are enough, and a scan over blocks of slots gives
+what was seen before any window.
 """
 
 from __future__ import annotations
 
-import math
-from datetime import timedelta
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from feedloom.operators.running import running_smallest
+from feedloom.operators.running import smallest_until
 from feedloom.operators.sliding import SlidingWindow, duration, seconds
 from feedloom.operators.topk import top_k_per_group
 from feedloom.plans.trending import tag_order, timed_tags, trending
-
-CHUNK = timedelta(days=1)
-
-
-def chunk_seconds(spec: SlidingWindow) -> int:
-    """About a day, and a whole number of slides."""
-    return math.ceil(CHUNK.total_seconds() / spec.slide_seconds) * spec.slide_seconds
-
-
-def chunk_of(end: Column, spec: SlidingWindow) -> Column:
-    return F.window(end, duration(chunk_seconds(spec)), startTime=spec.start_time)["start"]
+from feedloom.session import run_dir
 
 
 def first_end(ts: str | Column, spec: SlidingWindow) -> Column:
@@ -36,20 +24,18 @@ def first_end(ts: str | Column, spec: SlidingWindow) -> Column:
 
 
 def first_ends(tweets: DataFrame, spec: SlidingWindow, k: int) -> DataFrame:
-    """`chunk, end, tag`: the k smallest tags that first occur in each slot."""
+    """`end, tag`: the k smallest tags that first occur in each slot."""
     first = (
         timed_tags(tweets)
         .groupBy("tag")
         .agg(F.min(first_end("ts", spec)).alias("end"))
     )
-    return top_k_per_group(first, ["end"], [F.asc("tag")], k).select(
-        chunk_of(F.col("end"), spec).alias("chunk"), "end", "tag"
-    )
+    return top_k_per_group(first, ["end"], [F.asc("tag")], k).select("end", "tag")
 
 
-def window_grid(tweets: DataFrame, spec: SlidingWindow) -> DataFrame:
-    """`chunk, end` of all windows from the first to the last one with a live tag."""
-    chunk = seconds(chunk_seconds(spec))
+def window_ends(tweets: DataFrame, spec: SlidingWindow) -> Row | None:
+    """`lo, places`: the end of the first window with a live tag, as text, and how many windows there are up to the
+    last one; None without tags."""
     bounds = (
         timed_tags(tweets)
         .agg(F.min("ts").alias("lo_ts"), (F.max("ts") + seconds(spec.length_seconds)).alias("hi_ts"))
@@ -58,70 +44,45 @@ def window_grid(tweets: DataFrame, spec: SlidingWindow) -> DataFrame:
         # The last end that isn't behind the reach of the last tag.
         .withColumn("hi", first_end("hi_ts", spec) - seconds(spec.slide_seconds))
     )
-    return (
-        bounds.withColumn("first", chunk_of(F.col("lo"), spec))
-        .withColumn("last", chunk_of(F.col("hi"), spec))
-        .withColumn("chunk", F.explode(F.sequence("first", "last", chunk)))
-        # One row has become one per chunk: each task makes the windows of its own chunks.
-        .repartition("chunk")
-        .withColumn("start", F.greatest("chunk", "lo"))
-        .withColumn("stop", F.least(F.col("chunk") + chunk - seconds(spec.slide_seconds), "hi"))
-        .withColumn("end", F.explode(F.sequence("start", "stop", seconds(spec.slide_seconds))))
-        .select("chunk", "end")
-    )
+    return bounds.select(F.col("lo").cast("string").alias("lo"), (steps(F.col("hi") - F.col("lo"), spec) + 1).alias("places")).first()
 
 
-def seen_before(firsts: DataFrame, grid: DataFrame, k: int) -> DataFrame:
-    """`chunk, tag`: the k smallest tags that occur before each chunk.
-
-    One window over at most k + 1 rows per chunk of time.
-    """
-    names = top_k_per_group(firsts, ["chunk"], [F.asc("tag")], k).select(
-        "chunk", F.lit(1).alias("turn"), "tag"
-    )
-    looks = grid.select("chunk").distinct().select(
-        "chunk", F.lit(0).alias("turn"), F.lit(None).cast("string").alias("tag")
-    )
-    order = Window.orderBy("chunk", "turn", "tag")
-    return (
-        running_smallest(names.unionByName(looks), "tag", order, k, "tags")
-        .where(F.col("turn") == 0)
-        .select("chunk", F.explode("tags").alias("tag"))
-    )
+def steps(passed: Column, spec: SlidingWindow) -> Column:
+    """How many slides an interval has."""
+    return F.floor(passed.cast("interval second").cast("bigint") / spec.slide_seconds)
 
 
 def trending_keep_expired(
     tweets: DataFrame, spec: SlidingWindow = SlidingWindow(), k: int = 10
 ) -> DataFrame:
-    """`window_end, rk, tag, cnt` with k rows for every window, once k tags were seen."""
+    """`window_end, rk, tag, cnt` with k rows for every window, once k tags were seen.
+
+    The first and last window are found first, and the new tags of all slots are written once; all else is one plan.
+    """
+    spark = tweets.sparkSession
     live = trending(tweets, spec, k)
+    ends = window_ends(tweets, spec)
+    if ends is None:
+        return live
+    path = run_dir(spark, "first-ends")
     firsts = first_ends(tweets, spec, k)
-    grid = window_grid(tweets, spec)
+    firsts.write.parquet(path)
+    firsts = spark.read.schema(firsts.schema).parquet(path)
+    lo = F.lit(ends.lo).cast(firsts.schema["end"].dataType)
     full = live.where(F.col("rk") == k).select(F.col("window_end").alias("end"))
-
-    no_end = F.lit(None).cast(firsts.schema["end"].dataType)
-    no_tag = F.lit(None).cast("string")
-    columns = ["chunk", "end", "turn", "tag"]
-    rows = (
-        seen_before(firsts, grid, k)
-        .withColumns({"end": no_end, "turn": F.lit(0)})
-        .select(*columns)
-        .unionByName(firsts.withColumn("turn", F.lit(0)).select(*columns))
-        .unionByName(
-            grid.join(full, "end", "left_anti")
-            .withColumns({"turn": F.lit(1), "tag": no_tag})
-            .select(*columns)
-        )
+    slide = F.make_dt_interval(secs=F.lit(spec.slide_seconds))
+    grid = spark.range(ends.places).select(F.col("id").alias("place"), (lo + slide * F.col("id")).alias("end"))
+
+    seen = smallest_until(
+        firsts.select(steps(F.col("end") - lo, spec).alias("place"), "tag"),
+        grid.join(full, "end", "left_anti"),
+        "tag",
+        k,
+        ends.places,
+        "tags",
     )
-    order = Window.partitionBy("chunk").orderBy("end", "turn", "tag")
-    zeros = (
-        running_smallest(rows, "tag", order, k, "tags")
-        .where(F.col("turn") == 1)
-        .select(
-            F.col("end").alias("window_end"),
-            F.explode("tags").alias("tag"),
-            F.lit(0).cast("bigint").alias("cnt"),
-        )
+    zeros = seen.select(
+        F.col("end").alias("window_end"), F.explode("tags").alias("tag"), F.lit(0).cast("bigint").alias("cnt")
     )
     states = (
         live.select("window_end", "tag", "cnt")

@@ -51,6 +51,26 @@ def append_batch(df: DataFrame, path: str) -> str:
     return write_batch(df, path, 0, f"append-{uuid.uuid4().hex}")
 
 
+def write_indexed(
+    df: DataFrame, path: str, column: str = "username", names: int | None = None, row_group_bytes: int = 16 << 20
+) -> None:
+    """Table for lookups by `column`: sorted into ranges of it, in small row groups with a Bloom filter each.
+
+    A filter on the column skips all files and row groups whose bounds or Bloom filter rule the value
+    out. `names` is how many different values a row group may have, if known.
+    """
+    writer = (
+        df.repartitionByRange(column)
+        .sortWithinPartitions(column)
+        .write.mode("overwrite")
+        .option("parquet.block.size", row_group_bytes)
+        .option(f"parquet.bloom.filter.enabled#{column}", "true")
+    )
+    if names is not None:
+        writer = writer.option(f"parquet.bloom.filter.expected.ndv#{column}", names)
+    writer.parquet(path)
+
+
 def write_bucketed(
     df: DataFrame,
     name: str,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from feedloom.operators.running import smallest_until
 from feedloom.operators.sliding import FORMS, SlidingWindow, sliding_counts
 from feedloom.plans import expired, trending
 
@@ -150,3 +151,27 @@ def test_keep_expired_equals_full_states(spark, seed, spec):
     for r in expired.trending_keep_expired(tweets(spark, rows), spec).orderBy("window_end", "rk").collect():
         got.setdefault(r.window_end, []).append((r.tag, r.cnt))
     assert got == want
+
+
+@pytest.mark.parametrize("fan, k", [(2, 1), (4, 3), (64, 10)])
+def test_smallest_until_equals_sorting(spark, fan, k):
+    rng = random.Random(fan)
+    values = [(rng.choice([0, 5, rng.randrange(1000)]), f"t{i:03}") for i in rng.sample(range(500), 200)]
+    places = sorted({0, 4, 5, 999, *(rng.randrange(1000) for _ in range(60))})
+    got = smallest_until(
+        spark.createDataFrame(values, "place bigint, tag string"),
+        spark.createDataFrame([(p, f"x{p}") for p in places], "place bigint, name string"),
+        "tag", k, 1000, "tags", fan,
+    ).collect()
+    assert {(r.place, r.name): r.tags for r in got} == {
+        (p, f"x{p}"): sorted(v for at, v in values if at <= p)[:k] for p in places
+    }
+
+
+def test_no_rows_of_all_time_meet_in_one_task(spark):
+    """What goes to one task is aggregated before: a few rows of each task."""
+    rows = [(START + timedelta(minutes=7 * i), f"#n{i % 9} #m") for i in range(50)]
+    plan = expired.trending_keep_expired(tweets(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    single = [i for i, line in enumerate(lines) if "SinglePartition" in line]
+    assert all("partial_" in lines[i + 1] for i in single)
