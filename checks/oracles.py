@@ -292,8 +292,9 @@ tweets AS (
   FROM t""",
     "parsed_dates": f"SELECT event_id AS tweet_id, {LINE_TIME} AS created_at FROM events",
     "parsed_date_forms": """SELECT event_id AS tweet_id,
-    CASE WHEN event_id % 8 >= 6 THEN NULL
-         WHEN event_id % 8 IN (0, 2) THEN date_trunc('millisecond', ts)
+    CASE WHEN event_id % 12 IN (6, 7, 8) THEN NULL
+         WHEN event_id % 12 IN (9, 10) THEN date_trunc('day', ts)
+         WHEN event_id % 12 IN (0, 2) THEN date_trunc('millisecond', ts)
          ELSE date_trunc('second', ts) END AS created_at
   FROM events""",
     "users_dedup": f"""WITH {TWEETS}
@@ -320,7 +321,12 @@ tweets AS (
               WHEN substr(pass, 1, 10) || md5(password || substr(pass, 1, 10)) = pass THEN 'ok'
               ELSE 'invalid-password' END AS outcome
   FROM attempts LEFT JOIN accounts USING (username)""",
-    "default_passwords": f"WITH {USERS} SELECT username FROM users",
+    "default_passwords": f"""WITH {USERS}
+  SELECT username FROM users WHERE length(username) % 2 = 0""",
+    "topic_messages": f"""WITH {TAGS} SELECT tag, count(*) AS cnt FROM tags GROUP BY tag""",
+    "topic_message_posts": f"WITH {RANKED} SELECT * FROM ranked",
+    "posts_without_times": "SELECT event_id AS tweet_id, event_type = 'error' AS stamped_now FROM events",
+    "stream_trending_clock": f"WITH {RANKED} SELECT * FROM ranked",
     "tweet_length_rejects": """SELECT doc_id,
     CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN length(text) > 140 THEN 'too_long' END
       AS problem FROM documents""",

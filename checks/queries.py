@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feedloom import views
 from feedloom.functions import lists
+from feedloom.functions.credentials import default_salt, salted_hash
 from feedloom.functions.times import account_stamp, display_time, parse_created_at, utc_wall_clock, wall_clock
 from feedloom.operators import accounts, follows
 from feedloom.operators.sliding import SlidingWindow
@@ -17,6 +18,8 @@ from feedloom.plans import bulk_load, expired, posts, timelines, trending
 from feedloom.schemas import TWEETS
 from feedloom.session import run_dir
 from feedloom.sinks import tables
+from feedloom.sinks.topic import topic_records
+from feedloom.sources.topic import message_posts, message_texts
 from feedloom.sources.tables import find_user, find_users, read_batches, read_table, table_stream
 from feedloom.streaming import follows as follow_streams
 from feedloom.streaming import posts as post_streams
@@ -322,14 +325,20 @@ def home_timeline_shared_ids(spark, sf):
     return timelines.home_timelines(tweets, edges_table(spark, sf))
 
 
+def edges_of_one(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of one follower: no other's events are shuffled."""
+    events = views.follow_events(spark, sf)
+    return follows.fold_follow_events(events.where(F.col("follower") == ONE_USER))
+
+
 @query
 def home_timeline_one(spark, sf):
-    return timelines.home_timeline(views.tweets(spark, sf), edges_table(spark, sf), ONE_USER)
+    return timelines.home_timeline(views.tweets(spark, sf), edges_of_one(spark, sf), ONE_USER)
 
 
 @query
 def followee_tweets(spark, sf):
-    return timelines.followee_tweets(views.tweets(spark, sf), edges_table(spark, sf), ONE_USER)
+    return timelines.followee_tweets(views.tweets(spark, sf), edges_of_one(spark, sf), ONE_USER)
 
 
 @query
@@ -465,7 +474,13 @@ def credential_outcomes(spark, sf):
 
 @query
 def default_passwords(spark, sf):
-    return accounts.default_passwords(stored_accounts(spark, sf))
+    """Users whose names have an odd length have set a password of their own."""
+    name = F.col("username")
+    changed = salted_hash(F.lit("my own"), default_salt(name))
+    stored = stored_accounts(spark, sf)
+    return accounts.default_passwords(
+        stored.withColumn("pass", F.when(F.length(name) % 2 == 1, changed).otherwise(F.col("pass")))
+    )
 
 
 # Posts and bulk load ---------------------------------------------------------------
@@ -483,6 +498,40 @@ def new_tweet_records(spark, sf):
     return posts.tweet_records(views.tweets(spark, sf), views.users(spark, sf))
 
 
+@query
+def posts_without_times(spark, sf):
+    """Posts of which some come without a time, which get the one of the run."""
+    tweets = views.tweets(spark, sf)
+    failed = F.col("text").contains("#error ")
+    timed = tweets.withColumn("created_at", F.when(~failed, F.col("created_at")))
+    records = posts.tweet_records(timed, views.users(spark, sf))
+    return records.select(
+        "tweet_id", (F.col("created_at") > F.lit("2025-01-01").cast("timestamp_ntz")).alias("stamped_now")
+    )
+
+
+def topic_table(spark: SparkSession, sf: str, as_json: bool) -> DataFrame:
+    """Tweets as messages, in the columns in which a topic is read."""
+    records = topic_records(views.tweets(spark, sf), as_json)
+    return records.select(
+        F.col("value").cast("binary").alias("value"), F.lit("2024-01-01").cast("timestamp").alias("timestamp")
+    )
+
+
+@query
+def topic_messages(spark, sf):
+    """Hashtags of messages that hold the bare text."""
+    return trending.hashtag_totals(message_texts(topic_table(spark, sf, as_json=False)))
+
+
+@query
+def topic_message_posts(spark, sf):
+    """Trending of messages that carry the time of their post."""
+    messages = message_posts(topic_table(spark, sf, as_json=True))
+    at = utc_wall_clock(F.col("ts")).alias("created_at")
+    return trending.trending(messages.select(at, "text"))
+
+
 def loaded(spark: SparkSession, sf: str) -> bulk_load.FeedTables:
     root = run_dir(spark, "load")
     views.write_lines(views.user_lines(spark, sf), f"{root}/in/users")
@@ -585,6 +634,23 @@ def stream_trending(spark, sf):
     return in_utc(ranking).select("window_end", "rk", "tag", "cnt")
 
 
+@query
+def stream_trending_clock(spark, sf):
+    """A stream that looks for messages every second until it is told to stop, its last windows closed."""
+    root = run_dir(spark, "clock")
+    messages = event_stream(spark, sf).select(F.col("created_at").alias("ts"), "text")
+    stream = trending_streams.trending_stream(
+        messages, f"{root}/table", f"{root}/checkpoint", delay="0 seconds", marks=f"{root}/marks"
+    )
+    try:
+        stream.processAllAvailable()
+        trending_streams.mark_end(spark, f"{root}/marks", f"{root}/checkpoint", delay="0 seconds")
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return in_utc(spark.read.parquet(f"{root}/table")).select("window_end", "rk", "tag", "cnt")
+
+
 @query
 def stream_trending_reports(spark, sf):
     reports = spark.read.parquet(f"{drained(spark, sf)}/reports")

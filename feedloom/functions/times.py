@@ -19,6 +19,7 @@ def utc_wall_clock(ts: Column) -> Column:
 
 
 WEEKDAY = r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+"
+MONTH = r"\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\b"
 # What is left of the accepted forms without the weekday.
 PATTERNS = (
     "MMM d HH:mm:ss Z yyyy",
@@ -26,6 +27,10 @@ PATTERNS = (
     "MMM d yyyy HH:mm:ss Z",
     "d MMM yyyy HH:mm:ss",
     "MMM d yyyy HH:mm:ss",
+    "d MMM yyyy HH:mm",
+    "MMM d yyyy HH:mm",
+    "d MMM yyyy",
+    "MMM d yyyy",
 )
 # Clients' dates end 100 million days from the epoch, in milliseconds.
 MAX_MILLIS = 8_640_000_000_000_000
@@ -34,17 +39,19 @@ MAX_MILLIS = 8_640_000_000_000_000
 def parse_created_at(raw: Column) -> Column:
     """The time that a client's text names, as TIMESTAMP; NULL where it names none.
 
-    Accepted are ISO-8601 with a date, milliseconds since the epoch (five digits or more),
-    `Wed Aug 27 13:08:45 +0000 2008`, RFC 2822 (`Wed, 27 Aug 2008 13:08:45 GMT`) and the display
-    form; days may have one digit. A time alone is refused: it would depend on the day of the
-    run. The weekday is cut off before parsing: Spark parses no weekday names. Input without
+    Accepted are ISO-8601 with a date, milliseconds since the epoch (five digits or more, but not eight),
+    `Wed Aug 27 13:08:45 +0000 2008`, RFC 2822 (`Wed, 27 Aug 2008 13:08:45 GMT`), the display
+    form, and dates like `Aug 27, 2008` or `27 August 2008`, with or without a time; days may have one digit.
+    A time alone is refused: it would depend on the day of the
+    run. So are eight digits: they may be meant as a date, `20080827`, or as milliseconds. The weekday is cut off before parsing: Spark parses no weekday names. Input without
     a zone is read in the zone of the session.
     """
     text = F.trim(raw)
-    millis = F.when(text.rlike(r"^-?\d{5,16}$"), text.try_cast("bigint"))
+    millis = F.when(text.rlike(r"^-?\d{5,16}$") & ~text.rlike(r"^\d{8}$"), text.try_cast("bigint"))
     millis = F.when(F.abs(millis) <= MAX_MILLIS, millis)
     iso = F.when(text.rlike(r"^\d{4}(-|$)"), F.try_to_timestamp(text))
     plain = F.regexp_replace(F.regexp_replace(text, WEEKDAY, ""), r"\s*\([^)]*\)$", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, MONTH, "$1"), r",\s*", " ")
     plain = F.regexp_replace(plain, r"\b(GMT|UTC|UT)(?=[+-]\d{4})", "")
     plain = F.regexp_replace(plain, r"\b(GMT|UTC|UT|Z)$", "+0000")
     return F.coalesce(

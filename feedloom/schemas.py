@@ -51,6 +51,11 @@ POSTS = StructType([
     StructField("text", StringType()),
     StructField("username", StringType()),
 ])
+SIGN_UPS = StructType([
+    StructField("request_id", LongType()),
+    StructField("username", StringType()),
+    StructField("name", StringType()),
+])
 
 # Streams
 MOMENT = StructType([

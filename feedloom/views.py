@@ -153,7 +153,7 @@ def tweet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_form(number: str, ts: str) -> Column:
-    """`ts` as a text in one of eight forms, by `number`; two of them name no date."""
+    """`ts` as a text in one of twelve forms, by `number`; three of them name no date, two only the day."""
     forms = [
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
         F.date_format(ts, "EEE MMM d HH:mm:ss '+0000' yyyy"),
@@ -163,8 +163,12 @@ def date_form(number: str, ts: str) -> Column:
         F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'"),
         F.date_format(ts, "HH:mm:ss"),
         F.date_format(ts, "'T'HH:mm"),
+        F.date_format(ts, "yyyyMMdd"),
+        F.date_format(ts, "MMMM d, yyyy"),
+        F.date_format(ts, "EEE, d MMM yyyy"),
+        F.date_format(ts, "MMM d, yyyy HH:mm:ss"),
     ]
-    return F.element_at(F.array(*forms), (F.pmod(F.col(number), F.lit(8)) + 1).cast("int"))
+    return F.element_at(F.array(*forms), (F.pmod(F.col(number), F.lit(len(forms))) + 1).cast("int"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

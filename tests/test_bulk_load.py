@@ -1,15 +1,22 @@
 import hashlib
 from datetime import datetime
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from feedloom.jobs import bulk_load as bulk_load_job
+from feedloom.jobs import follows as follows_job
+from feedloom.jobs import ingest as ingest_job
+from feedloom.jobs import sign_ups as sign_ups_job
 from feedloom.jobs import timelines as timelines_job
 from feedloom.plans import bulk_load as plan
 from feedloom.plans.bulk_load import bulk_load, feed_tables
 from feedloom.sinks.versions import Folder, Versions
-from feedloom.sources.tables import find_user, find_users, read_table
+from feedloom.schemas import FOLLOW_EVENTS, POSTS, SIGN_UPS, StructType
+from feedloom.schemas import TWEETS as TWEETS_SCHEMA
+from feedloom.sinks.tables import write_indexed
+from feedloom.sources.tables import find_user, find_users, read_batches, read_table
 
 LOADED_AT = datetime(2014, 11, 23, 14, 5, 9)
 
@@ -168,3 +175,63 @@ def test_jobs_from_lines_to_pages(spark, tmp_path):
     both = {(name, f) for name, fs in lists.items() for f in fs}
     assert {(r.follower, r.followee) for r in sides} == pairs ^ both
     assert [r.seq for r in spark.read.parquet(f"{out}/rejects").collect()] == [3]
+
+
+def test_streaming_jobs_on_a_loaded_feed(spark, tmp_path):
+    users = write(tmp_path / "users.json", USERS)
+    tweets = write(tmp_path / "tweets.json", TWEETS)
+    feed, root = str(tmp_path / "feed"), str(tmp_path)
+    bulk_load_job.main([users, tweets, feed])
+
+    posted = [(1, LOADED_AT, "new #x", "b"), (2, LOADED_AT, "y" * 141, "b"), (3, None, "z", "nobody")]
+    spark.createDataFrame(posted, POSTS).write.parquet(f"{root}/posts")
+    ingest_job.main([f"{root}/posts", feed, f"{root}/ingest", "--rejects", f"{root}/rejects", "--once"])
+    stored = read_batches(spark, feed_tables(spark, feed).path("tweets"), TWEETS_SCHEMA).collect()
+    assert sorted((r.tweet_id, r.name) for r in stored if r.tweet_id > 0) == [(1, "Bob"), (3, None)]
+    assert len(stored) == 4
+    rejects = read_batches(spark, f"{root}/rejects", StructType([*POSTS]).add("problem", "string")).collect()
+    assert [(r.tweet_id, r.problem) for r in rejects] == [(2, "too_long")]
+
+    asked = [(1, "b", "Other"), (2, "d", "Dee"), (3, "d", "Again")]
+    spark.createDataFrame(asked, SIGN_UPS).write.parquet(f"{root}/requests")
+    for _ in range(2):  # the second run finds nothing new
+        sign_ups_job.main([f"{root}/requests", feed, f"{root}/signed", "--once"])
+    spark.createDataFrame([(4, "d", "Late"), (5, "e", "Eve")], SIGN_UPS).write.mode("append").parquet(f"{root}/requests")
+    sign_ups_job.main([f"{root}/requests", feed, f"{root}/signed", "--once"])
+    outcomes = spark.read.parquet(f"{root}/signed/outcomes")
+    assert sorted((r.request_id, r.outcome) for r in outcomes.collect()) == [
+        (1, "username-taken"), (2, "created"), (3, "username-taken"), (4, "username-taken"), (5, "created")]
+    accounts = spark.read.parquet(f"{root}/signed/accounts").collect()
+    assert sorted((r.username, r.name) for r in accounts) == [("d", "Dee"), ("e", "Eve")]
+
+    events = [("a", "b", "follow", LOADED_AT, 1), ("a", "c", "follow", LOADED_AT, 2), ("a", "b", "unfollow", LOADED_AT, 3)]
+    spark.createDataFrame(events, FOLLOW_EVENTS).write.parquet(f"{root}/events")
+    follows_job.main([f"{root}/events", f"{root}/follows", "--once"])
+    follows_job.main([f"{root}/follows", "--compact", "--lists", f"{root}/lists"])
+    assert [tuple(r)[::2] for r in spark.read.parquet(f"{root}/lists/following").collect()] == [("a", ["c"])]
+    assert [tuple(r)[::2] for r in spark.read.parquet(f"{root}/lists/followers").collect()] == [("c", ["a"])]
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    """A name between others lies within the bounds of a row group; the Bloom filter rules it out all the same."""
+    path = str(tmp_path / "t")
+    rows = spark.range(20_000).select(
+        F.format_string("user%06d", F.col("id") * 2).alias("username"), F.sha2(F.col("id").cast("string"), 256).alias("text")
+    )
+    write_indexed(rows, path, names=5_000, row_group_bytes=64 << 10)
+    files = [pq.ParquetFile(f) for f in (tmp_path / "t").glob("*.parquet")]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.metadata.num_row_groups)]
+    assert len(groups) > 8
+
+    def read(name):
+        """Rows that leave the Parquet reader, and rows of the result."""
+        df = read_table(spark, path, F.col("username") == name)
+        found = len(df.collect())
+        scans = df._jdf.queryExecution().executedPlan().collectLeaves()
+        return scans.apply(0).metrics().apply("numOutputRows").value(), found
+
+    largest = max(g.num_rows for g in groups)
+    taken, found = read("user010000")
+    assert found == 1 and 1 <= taken <= largest
+    for absent in ("user010001", "user000123", "nobody"):
+        assert read(absent) == (0, 0)

@@ -45,6 +45,15 @@ def test_parse_created_at(spark):
         ("Wed Aug 27 2008 13:08:45 GMT+0000", datetime(2008, 8, 27, 13, 8, 45)),
         ("Wed Aug 27 2008 15:08:45 GMT+0200 (CEST)", datetime(2008, 8, 27, 13, 8, 45)),
         ("1219842525000", datetime(2008, 8, 27, 13, 8, 45)),
+        ("20080827", None),
+        ("Aug 27, 2008", datetime(2008, 8, 27)),
+        ("August 7, 2008", datetime(2008, 8, 7)),
+        ("27 Aug 2008", datetime(2008, 8, 27)),
+        ("Wed, 27 August 2008", datetime(2008, 8, 27)),
+        ("Aug 27, 2008 13:08:45", datetime(2008, 8, 27, 13, 8, 45)),
+        ("27 Aug 2008 13:08", datetime(2008, 8, 27, 13, 8)),
+        ("May 1 2008", datetime(2008, 5, 1)),
+        ("Augment 27, 2008 x", None),
         ("8640000000000001", None),
         ("99999999999999999999", None),
         ("2008-08-27", datetime(2008, 8, 27)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedloom.jobs import trending as trending_job
 from feedloom.operators.follows import fold_follow_events
 from feedloom.plans import trending
-from feedloom.schemas import FOLLOW_EVENTS, POSTS, TWEETS
+from feedloom.schemas import FOLLOW_EVENTS, POSTS, SIGN_UPS, TWEETS
 from feedloom.sinks.tables import append_batch, append_table, replace_batches, replace_table
 from feedloom.sinks.topic import topic_records
 from feedloom.sources.tables import read_batches, table_stream
@@ -16,6 +16,7 @@ from feedloom.sinks.versions import Folder, Versions
 from feedloom.streaming.follows import compact, follow_stream, followed_edges, followed_pairs
 from feedloom.streaming.posts import post_stream, to_table
 from feedloom.streaming.progress import ProgressTable, watermark_of
+from feedloom.streaming.sign_ups import sign_up_stream
 from feedloom.streaming.trending import drain, late_rows, trending_stream, use_rocksdb
 
 START = datetime(2024, 1, 1, 12)
@@ -214,6 +215,31 @@ def test_follow_state_of_nothing(spark, tmp_path):
     assert followed_pairs(spark, out).collect() == []
 
 
+def test_sign_ups_that_run_again_decide_the_same(spark, tmp_path):
+    """A batch whose commit was lost finds the accounts it wrote itself, and mustn't take them for earlier ones."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = SIGN_UPS
+
+    def run():
+        sign_up_stream(
+            files(spark, folder, schema),
+            lambda session: session.createDataFrame([("old",)], "username string"),
+            out, f"{out}/checkpoint", ONCE,
+        ).awaitTermination()
+        found = spark.read.parquet(f"{out}/outcomes")
+        return rows_of(found, "request_id", "outcome")
+
+    add_file(spark, folder, "0", [(1, "a", "A"), (2, "a", "B"), (3, "old", "C"), (4, None, "D")], schema)
+    first = [(1, "created"), (2, "username-taken"), (3, "username-taken")]
+    assert run()[:3] == first
+    for name in ("0", ".0.crc"):
+        (tmp_path / "out" / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+    assert run()[:3] == first
+    add_file(spark, folder, "1", [(9, "a", "E"), (8, "b", "F"), (7, "b", "G")], schema)
+    assert run()[-3:] == [(7, "created"), (8, "username-taken"), (9, "username-taken")]
+    assert rows_of(spark.read.parquet(f"{out}/accounts").where("username is not null"), "username", "name") == [("a", "A"), ("b", "G")]
+
+
 def test_post_ingest(spark, tmp_path):
     rows = posts(n=6) + [(90, START, "", "u1"), (91, START, "x" * 141, "u1"), (92, None, "now", "x")]
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
