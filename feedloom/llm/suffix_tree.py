@@ -300,58 +300,6 @@ def head_of(logs: DataFrame, most: int) -> Head:
     return Head(*(c.to_numpy() for c in held.columns))
 
 
-class Tree:
-    """A tree that is small enough for one process, with all its smoothed distributions; what
-    `window_logs` finds by joins, held in arrays."""
-
-    def __init__(
-        self,
-        followers: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray],
-        byte_counts: np.ndarray,
-        alphabet: np.ndarray,
-    ) -> None:
-        """`followers`: depth, context, symbol and n of each follower of a retained context."""
-        depth, context, symbol, n = followers
-        # The root is there without any follower, too.
-        names = np.unique(np.append((depth << (DEPTH * CODE_BITS)) | context, 0))
-        self.depths = names >> (DEPTH * CODE_BITS)
-        self.contexts = names & ((1 << (DEPTH * CODE_BITS)) - 1)
-        states = {name: i for i, name in enumerate(names.tolist())}
-        at = np.searchsorted(names, (depth << (DEPTH * CODE_BITS)) | context)
-        counts = np.zeros((len(names), CODES))
-        np.add.at(counts, (at, symbol), n)
-        totals = counts.sum(axis=1)
-        shares = np.empty_like(counts)
-        shares[0] = (counts[0] + HALF) / (totals[0] + HALF * CODES)
-        for i in range(1, len(names)):
-            up, suffix = int(self.depths[i]) - 1, int(self.contexts[i])
-            while (above := states.get((up << (DEPTH * CODE_BITS)) | (suffix & ((1 << CODE_BITS * up) - 1)))) is None:
-                up -= 1
-            shares[i] = (counts[i] + SMOOTHING * shares[above]) / (totals[i] + SMOOTHING)
-        self.logs = np.log10(shares).astype(np.float32)
-        self.alphabet = alphabet
-        self.byte_logs = byte_logs_of(byte_counts, alphabet)
-        self.names = names
-
-    def states_of(self, keys: np.ndarray) -> np.ndarray:
-        """State before each window's last code."""
-        contexts = keys >> CODE_BITS
-        states = np.zeros(len(keys), np.int64)
-        for depth in range(1, DEPTH + 1):
-            wanted = (depth << (DEPTH * CODE_BITS)) | (contexts & ((1 << CODE_BITS * depth) - 1))
-            at = np.minimum(np.searchsorted(self.names, wanted), len(self.names) - 1)
-            states = np.where(self.names[at] == wanted, at, states)
-        return states
-
-    def score(self, tokens: list[bytes]) -> float:
-        """Log10 probability of the tokens and the end."""
-        codes = _coded(tokens, self.alphabet)
-        keys = windows_of(codes)
-        logs = self.logs[self.states_of(keys), codes]
-        total = float(logs.sum(dtype=np.float64))
-        return total + _rare_bytes(tokens, codes, self.byte_logs)
-
-
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """What the head's tokens and windows add to the scores, and the other tokens and windows."""
     head, end_log, windows, alphabet, byte_logs = model.value

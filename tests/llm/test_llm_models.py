@@ -6,6 +6,8 @@ from collections import Counter
 import pytest
 import sentencepiece as library
 
+import brute_tree
+
 from feedloom.llm import sentencepiece, suffix_tree
 from feedloom.llm.queries import PIECES
 
@@ -106,8 +108,11 @@ def test_scores_equal_those_of_the_tree_in_memory(llm_spark, docs_of):
     alphabet = suffix_tree.alphabet_of(byte_counts)
     counts = Counter(k for t in training for k in suffix_tree.windows_of(suffix_tree._coded(t, alphabet)).tolist())
     windows = llm_spark.createDataFrame(list(counts.items()), "window long, n long")
-    followers = suffix_tree.retained(windows).select("depth", "context", "symbol", "n").toArrow()
-    tree = suffix_tree.Tree(tuple(c.to_numpy().astype(np.int64) for c in followers.columns), byte_counts, alphabet)
+    brute = brute_tree.retained(counts)
+    found = suffix_tree.retained(windows).select("depth", "context", "symbol", "n").collect()
+    assert {tuple(r) for r in found} == brute and len(found) == len(brute)
+    columns = np.array(sorted(brute), np.int64).T
+    tree = brute_tree.Tree(tuple(columns), byte_counts, alphabet)
     assert set(tree.depths) == set(range(6))
     for head_windows in (suffix_tree.HEAD_WINDOWS, 40, 0):
         found = suffix_tree.score_documents(docs_of(rows), head_windows=head_windows).collect()
@@ -126,5 +131,5 @@ def test_distributions_sum_to_one(docs_of):
     counts = np.zeros(256, np.int64)
     counts[97:101] = 5
     depth, context, symbol, n = (np.array(x) for x in ([0, 0, 1, 2], [0, 0, 1, 65], [1, 2, 2, 1], [6, 4, 3, 2]))
-    tree = suffix_tree.Tree((depth, context, symbol, n), counts, suffix_tree.alphabet_of(counts))
+    tree = brute_tree.Tree((depth, context, symbol, n), counts, suffix_tree.alphabet_of(counts))
     assert np.allclose((10.0 ** tree.logs.astype(float)).sum(axis=1), 1, atol=1e-5)
