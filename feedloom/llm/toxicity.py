@@ -22,8 +22,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from feedloom.llm.common import remainder, stage, text_key, without
+from feedloom.llm.common import remainder, stage, text_key
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -173,7 +174,8 @@ def features_of(text: str | None, lexicon: Mapping[str, float], marks: Marks | N
 
 
 # Tokens remembered at most between two texts.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+ROWS_AT_ONCE = 256
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _SIGN = re.compile(r"[^\w\s]")
 _OTHERS = re.compile(r"[^\x00-\x7F]+")
@@ -199,23 +201,24 @@ def _featurise(
     batches: Iterator[pa.RecordBatch], keys: list[str], lexicon: Mapping[str, float]
 ) -> Iterator[pa.RecordBatch]:
     marks = Marks(lexicon)
-    for batch in batches:
-        rows = [features_of(t, lexicon, marks) for t in batch.column("text").to_pylist()]
-        columns = list(zip(*rows)) if rows else [()] * len(FEATURES)
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(k) for k in keys), *(pa.array(c, pa.float64()) for c in columns)],
-            [*keys, *FEATURES],
-        )
+    for whole in batches:
+        # Parts keep what a worker and its executor hold at once small.
+        for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(start, ROWS_AT_ONCE)
+            texts = batch.column("row").field("text") if "row" in keys else batch.column("text")
+            rows = [features_of(t.as_py(), lexicon, marks) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in keys), *(pa.array(c, pa.float64()) for c in zip(*rows))],
+                [*keys, *FEATURES],
+            )
 
 
 def features(docs: DataFrame, lexicon: Mapping[str, float]) -> DataFrame:
-    """The columns of `docs` but text, and one column per feature."""
+    """The columns of `docs` but text, and one column per feature. The text is that of the struct `row` where there
+    is one."""
     keys = [f for f in docs.schema if f.name != "text"]
-    schema = [f"{f.name} {f.dataType.simpleString()}" for f in keys]
-    schema += [f"{name} double" for name in FEATURES]
-    return docs.mapInArrow(
-        partial(_featurise, keys=[f.name for f in keys], lexicon=lexicon), ", ".join(schema)
-    )
+    schema = StructType([*keys, *(StructField(name, DoubleType()) for name in FEATURES)])
+    return docs.mapInArrow(partial(_featurise, keys=[f.name for f in keys], lexicon=lexicon), schema)
 
 
 def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,10 +363,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return model
 
 
-def score(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keyed: bool = False
-) -> DataFrame:
-    """doc_id, held_out, score and predicted (score >= 0.3) of every row; if `keyed`, text_key as well.
+def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, held_out, score and predicted (score >= 0.3) of every row.
 
     held_out: crc32(doc_id as text) mod 4 is 2; such rows are never learned from. Only the text is an
     input of a score. Null and empty texts have all rates zero and are scored by the
@@ -377,17 +378,19 @@ def score(
     rows = docs.select(
         "doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text"
     )
-    if keyed:
-        rows = rows.withColumn("text_key", text_key(F.col("text")))
     return model.score(features(rows, model.lexicon)).select(
         "doc_id",
         "held_out",
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
-        *["text_key"] * keyed,
     )
 
 
-def accepted(docs: DataFrame, scored: DataFrame) -> DataFrame:
-    """The documents that aren't predicted to be toxic; `scored` is keyed."""
-    return without(docs, scored.where("predicted = 1"))
+def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of `docs` that aren't predicted to be toxic, with all their columns, whatever those are called.
+
+    Each row carries its columns through the scoring, so nothing is joined or shuffled but the sample.
+    """
+    model = train(docs, labels, sample_rows)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return model.score(features(rows, model.lexicon)).where(F.col("score") < THRESHOLD).select("row.*")

@@ -236,7 +236,7 @@ def test_decisions_tell_rows_without_or_with_one_id_apart(llm_spark, docs_of):
     for i in (None, 3):
         docs = docs_of([(i, bad), (i, good), (i, None)]).withColumns({c: F.lit(1) for c in CLASHES})
         labels = llm_spark.createDataFrame([], "doc_id bigint, toxic int")
-        kept = toxicity.accepted(docs, toxicity.score(docs, labels, keyed=True)).collect()
+        kept = toxicity.accepted(docs, labels).collect()
         assert {r.text for r in kept} == {good, None}
         bench = llm_spark.createDataFrame([(1, bad)], "item_id int, text string")
         kept = decontaminate.clean(docs, decontaminate.find(docs, bench, keyed=True)).collect()
