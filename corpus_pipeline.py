@@ -21,7 +21,7 @@ from feedloom.llm.queries import PIECES, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic. Null and empty texts are scored as any other."""
     ship_package(spark)
-    return toxicity.accepted(docs, toxicity.score(docs, table(spark, sf_dir, "labels"), keyed=True))
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
