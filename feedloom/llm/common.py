@@ -17,11 +17,24 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+# Spark deletes the shuffle files of a query when it ends, instead of when the driver happens to collect garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes `df` below the shared folder and reads it back, which cuts its lineage."""
-    path = run_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes `df` below the shared folder and reads it back, which cuts its lineage.
+
+    Nothing needs its shuffle files after that, so they go at once.
+    """
+    spark = df.sparkSession
+    path = run_dir(spark, label)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(*staged: DataFrame) -> None:
@@ -78,8 +91,16 @@ def remainder(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(digits.cast("binary")), F.lit(parts))
 
 
+# Texts come to Python workers in batches of so many bytes at most; a task holds several copies of one. A session that
+# sets a limit of its own keeps it.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_LIMIT, USUAL_LIMIT = "8m", "67108864b"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable for Python workers, wherever they run. Once a session."""
+    """Makes this package importable for Python workers, wherever they run, and bounds what they are sent at once."""
+    if spark.conf.get(BATCH_BYTES) == USUAL_LIMIT:
+        spark.conf.set(BATCH_BYTES, BATCH_LIMIT)
     if _SHIPPED in spark.sparkContext.environment:
         return
     package = Path(__file__).resolve().parents[1]
