@@ -182,7 +182,8 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         .where(before & _near_in_size()),
         F.col("shared"),
     )
-    similar = settled.unionByName(_verified(docs, pairs, shingle)).distinct()
+    similar = stage(settled.unionByName(_verified(docs, pairs, shingle)).distinct(), "similar-lines")
+    release(rows, settled, pairs)
 
     firsts = lines.groupBy(*NAME).agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("copies"))
     repeated = (
