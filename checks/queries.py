@@ -609,7 +609,7 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return views.tweet_columns(table_stream(spark, sf, schema, files="events.parquet"))
 
 
-def drained(spark: SparkSession, sf: str) -> str:
+def drained(spark: SparkSession, sf: str, reports: bool = False) -> str:
     """Folder of a trending stream over all events, with all windows closed."""
     root = run_dir(spark, "trending")
     messages = event_stream(spark, sf).select(F.col("created_at").alias("ts"), "text")
@@ -619,7 +619,7 @@ def drained(spark: SparkSession, sf: str) -> str:
         f"{root}/checkpoint",
         f"{root}/marks",
         delay="0 seconds",
-        reports=f"{root}/reports",
+        reports=f"{root}/reports" if reports else None,
     )
     return root
 
@@ -653,7 +653,7 @@ def stream_trending_clock(spark, sf):
 
 @query
 def stream_trending_reports(spark, sf):
-    reports = spark.read.parquet(f"{drained(spark, sf)}/reports")
+    reports = spark.read.parquet(f"{drained(spark, sf, reports=True)}/reports")
     return in_utc(reports).select("window_end", "report")
 
 

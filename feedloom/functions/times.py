@@ -54,11 +54,9 @@ def parse_created_at(raw: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(plain, MONTH, "$1"), r",\s*", " ")
     plain = F.regexp_replace(plain, r"\b(GMT|UTC|UT)(?=[+-]\d{4})", "")
     plain = F.regexp_replace(plain, r"\b(GMT|UTC|UT|Z)$", "+0000")
-    return F.coalesce(
-        iso,
-        F.timestamp_millis(millis),
-        *[F.try_to_timestamp(plain, F.lit(pattern)) for pattern in PATTERNS],
-    )
+    named = F.coalesce(*[F.try_to_timestamp(plain, F.lit(pattern)) for pattern in PATTERNS])
+    # Trying all patterns is slow: only texts with the name of a month can match one.
+    return F.coalesce(iso, F.timestamp_millis(millis), F.when(text.rlike(MONTH), named))
 
 
 def display_time(ts: Column) -> Column:

@@ -70,12 +70,9 @@ def split_users(lines: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def split_tweets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tweets with parsed time, rejects). Ids follow the lines and are negative, so that they
-    never meet those of posts."""
-    parsed = line_problem(lines).withColumn(
-        "at", utc_wall_clock(parse_created_at(F.col("created_at")))
-    )
-    marked = parsed.withColumn(
+    """(tweets, rejects) of lines with their parsed time `at`. Ids follow the lines and are negative, so that
+    they never meet those of posts."""
+    marked = line_problem(lines).withColumn(
         "reason",
         F.coalesce(F.col("reason"), F.when(F.col("at").isNull(), F.lit(BAD_DATE))),
     )
@@ -120,7 +117,8 @@ def bulk_load(
     staging = FeedTables(tables.path("staging"))
     try:
         replace_table(read_user_lines(spark, users_path), staging.path("users"))
-        replace_table(read_tweet_lines(spark, tweets_path), staging.path("tweets"))
+        at = utc_wall_clock(parse_created_at(F.col("created_at")))
+        replace_table(read_tweet_lines(spark, tweets_path).withColumn("at", at), staging.path("tweets"))
         lines = spark.read.parquet(staging.path("users"))
         replace_table(first_rows(lines), staging.path("first"))
 
