@@ -1,126 +1,100 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its runs of five words (of a shorter line, all its words as one). Tokens are
-ordered by rarity over all lines. Two lines of Jaccard similarity 0.8 or more share a token among
-the rarest of each: the prefix filter joins only those. Pairs whose sizes differ too much (length
-filter) or that can't share enough tokens after the shared one (positional filter) go before
-they are compared. What remains is verified on the lines' words.
+A line's tokens are its runs of five words (of a shorter line, all its words as one). Two lines of Jaccard
+similarity 0.8 or more share a token among the first fifth of each, whatever one order all lines sort their
+tokens in: the prefix filter joins only those. Pairs whose sizes differ too much (length filter) or that
+can't share enough tokens beside the shared ones (positional filter) go before they are compared.
+What remains is verified on all tokens of both lines.
+
+The first order takes tokens with long first words as rare. Lines that meet so under a token that many lines have are
+sorted again, by how many of them have each token.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import LOWER, UPPER, free_names, joined_by_row, release, stage, text_key
+from feedloom.llm.common import free_names, joined_by_row, release, stage, text_key
 
 SHINGLE = 5
-# Rarity is counted per class of word hashes, so its table has a fixed size.
-CLASSES = 1 << 14
-RARITY_BITS = 56
-RARITY = 127 << RARITY_BITS
+# A token is a long: its place in the order above this many bits of a hash.
+HASH_BITS = 56
+LAST = 127
+# A token of more lines than this is frequent: its lines are not compared pair by pair.
+FEW = 32
 # At most this many classes of keys are sent to every task, to let go of rows without a match.
 KEY_CLASSES = 1 << 18
+# A line with over 1/HEAVY of all lines is put in the index once; there are at most so many of them.
+HEAVY = 10_000
 BLANKS = "\t\x0b\f\r"
 
 
 def words_of(line: Column) -> Column:
-    """Words between ASCII white space, A-Z lower-cased."""
-    plain = F.translate(line, UPPER + BLANKS, LOWER + " " * len(BLANKS))
+    """Words between ASCII white space, A-Z lower-cased, each byte read as a letter of its own.
+
+    That takes a fraction of the time of translate() on text beyond ASCII. lower() then changes first bytes of
+    UTF-8 letters as well, but different letters stay different: the number of bytes that follow tells what the first was.
+    """
+    plain = F.lower(F.decode(line.cast("binary"), "ISO-8859-1"))
+    for blank in BLANKS:
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
     return F.array_remove(F.split(plain, " "), "")
 
 
 def tokens_of(words: Column, shingle: int = SHINGLE) -> Column:
-    """Runs of `shingle` words, joined by a blank; all words of a shorter line as one."""
-    runs = F.size(words) - shingle + 1
-    out = F.slice(words, 1, runs)
-    for i in range(1, shingle):
-        step = F.slice(words, i + 1, runs)
-        out = F.zip_with(out, step, lambda left, right: F.concat(left, F.lit(" "), right))
-    return F.when(runs < 1, F.array(F.array_join(words, " "))).otherwise(out)
+    """Distinct runs of `shingle` words, in the first order; all words of a shorter line as one."""
 
+    def token(i: Column) -> Column:
+        # Words behind the end of a short line are null, which a hash leaves out.
+        run = F.xxhash64(*[F.get(words, i + k) for k in range(shingle)])
+        length = F.coalesce(F.octet_length(F.get(words, i)), F.lit(0))
+        return _ranked(F.greatest(LAST - length, F.lit(0)), _low_bits(run))
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    runs = F.sequence(F.lit(0), F.greatest(F.size(words) - shingle, F.lit(0)))
+    return F.sort_array(F.array_distinct(F.transform(runs, token)))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line_no, line) of all lines."""
-    return keyed(docs).select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _ranked(rank: Column, low_bits: Column) -> Column:
+    return F.shiftleft(rank.cast("bigint"), HASH_BITS).bitwiseOR(low_bits)
+
 
+def _low_bits(value: Column) -> Column:
+    return F.shiftrightunsigned(value, 64 - HASH_BITS)
 
-def _class(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(CLASSES - 1).cast("int")
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
 
-def _rarity(lines: DataFrame) -> bytes:
-    """How often words of each class occur, as one byte (four times the binary logarithm).
 
-    The driver gets one row per class, whatever the input is.
-    """
-    words = lines.select(F.explode_outer(words_of(F.col("line"))).alias("word"))
-    table = bytearray(CLASSES)
-    for row in words.groupBy(_class(F.col("word")).alias("class")).count().collect():
-        table[row["class"]] = min(127, int(4 * math.log2(1 + row["count"])))
-    return bytes(table)
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, line_no, line) of all lines."""
+    return keyed(docs).select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _tokenised(lines: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, text_key, line_no, h1, h2, n, prefix) of lines with words: two hashes that name equal lines, the
-    number of distinct tokens, and the rarest of them.
-
-    A token is a long: the rarity of its first word above a hash of all its words. So sorting
-    tokens sorts them by rarity, in one order for all lines.
-    """
-    # In a lambda, a literal is the only table that isn't copied with every row.
-    table = F.lit(_rarity(lines))
-
-    def packed(word: Column) -> Column:
-        rarity = F.ascii(F.substring(table, _class(word) + 1, 1).cast("string")).cast("bigint")
-        return F.shiftleft(rarity, RARITY_BITS).bitwiseOR(_low_bits(F.xxhash64(word)))
-
-    def token(run: Column) -> Column:
-        return run["0"].bitwiseAND(F.lit(RARITY)).bitwiseOR(_low_bits(F.xxhash64(run)))
-
-    ranked = lines.withColumn("words", words_of(F.col("line"))).withColumn(
-        "packed", F.transform("words", packed)
-    )
-    # No lambda refers to a whole array: the optimiser may put the expression that makes an array
-    # in place of its name, and inside a lambda it would then be made for every element.
-    count = F.size("packed") - shingle + 1
-    runs = F.arrays_zip(*[F.slice("packed", i + 1, F.greatest(count, F.lit(0))) for i in range(shingle)])
-    whole = F.array(F.col("packed")[0].bitwiseAND(F.lit(RARITY)).bitwiseOR(_low_bits(F.xxhash64("packed"))))
-    tokens = F.when(count < 1, whole).otherwise(F.transform(runs, token))
-    size = F.size("tokens")
+    number of distinct tokens, and the first of them."""
+    words = F.col("words")
     return (
-        ranked.select(
+        lines.select(*PLACE, words_of(F.col("line")).alias("words"))
+        .where(F.size(words) > 0)
+        # With a literal behind it, the second hash would follow from the first.
+        .select(
             *PLACE,
-            F.xxhash64("packed").alias("h1"),
-            # With a literal behind it, the hash would follow from h1; the words themselves tell more
-            # than their packed hashes.
-            F.xxhash64(F.lit(1), F.col("words")).alias("h2"),
-            F.size("packed").alias("words"),
-            F.sort_array(F.array_distinct(tokens)).alias("tokens"),
+            F.xxhash64(words).alias("h1"),
+            F.xxhash64(F.lit(1), words).alias("h2"),
+            tokens_of(words, shingle).alias("tokens"),
         )
         .select(
             *PLACE,
-            "h1",
-            "h2",
-            "words",
-            size.alias("n"),
-            F.slice("tokens", 1, _prefix_length(size)).alias("prefix"),
+            *NAME,
+            F.size("tokens").alias("n"),
+            F.slice("tokens", 1, _prefix_length(F.size("tokens"))).alias("prefix"),
         )
-        .where("words > 0")
-        .drop("words")
     )
 
 
-def _low_bits(value: Column) -> Column:
-    return F.shiftrightunsigned(value, 64 - RARITY_BITS)
-
-
 def _enough(shared: Column, left: Column, right: Column) -> Column:
     """Jaccard of 0.8 or more, in whole numbers: 9 * shared >= 4 * (left + right)."""
     return shared * 9 >= (left + right) * 4
@@ -145,47 +119,39 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     repeat a doc_id, null or not, and differ in their texts are documents of their own; rows that repeat
     both count as one document. Other columns are left out; an empty table gives an empty result.
 
-    Only tokens that different lines share are kept, each line's once however often it is
-    repeated. In a group of lines that share a token, each is first compared with the group's
-    first line; only lines that aren't settled then are compared with the others.
+    Lines are joined by h1 alone; different lines of one h1 are told apart when they are compared. Lines that share
+    a token of FEW lines at most are paired. Those that share a frequent one are sorted by
+    the frequency of all their tokens, which puts a common passage behind what else a line has, and
+    joined by the first tokens of that order. Where a token is frequent even so, each line is first
+    compared with the earliest of the token's lines; only lines that nothing has settled then are joined with the others.
     """
     lines = stage(_tokenised(lines_of(docs), shingle), "lines")
-    index = lines.select(*PLACE, *NAME, "n", F.posexplode("prefix").alias("place", "token"))
-    shared = stage(
-        index.groupBy("token")
-        .agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
-        .where("low != high")
-        .select("token"),
-        "shared-tokens",
+    firsts = stage(
+        lines.groupBy(*NAME).agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("copies")),
+        "first-lines",
     )
-    kept = _matching(index, shared, "token").join(shared, "token", "left_semi")
-    # Equal lines have equal tokens, places and sizes.
-    rows = stage(
-        kept.groupBy("token", *NAME)
-        .agg(F.min(F.struct(*PLACE)).alias("first"), F.min("n").alias("n"), F.min("place").alias("place"))
-        .select("token", "first", *NAME, "n", "place"),
-        "line-index",
+    shared = stage(_shared(lines, firsts), "line-index")
+    rare, frequent = _split(shared)
+    pairs = stage(_pairs(rare), "line-pairs")
+
+    crowded = stage(frequent.select("h1").distinct(), "crowded-lines")
+    again = stage(_by_frequency(_line_tokens(docs, firsts, crowded, shingle)), "line-index")
+    release(shared, crowded)
+    rare, frequent = _split(again)
+    led = stage(frequent.join(firsts.groupBy("h1").agg(F.min("first").alias("first")), "h1"), "frequent-tokens")
+    leaders = led.groupBy("token").agg(F.min(F.struct("first", "h1", "n", "place")).alias("leader")).select(
+        "token", "leader.*"
     )
-    release(shared)
-    others = [F.col(c).alias(f"a_{c}") for c in ("first", *NAME, "n", "place")]
-    before = F.struct("a_first", "a_h1", "a_h2") < F.struct("first", *NAME)
-
-    leader = F.min(F.struct("first", *NAME, "n", "place")).alias("leader")
-    leaders = rows.groupBy("token").agg(leader).select("token", "leader.*").select("token", *others)
-    with_leader = rows.join(leaders, "token").where(before & _near_in_size())
-    # Of the tokens that a line shares with a leader, some may have another leader.
-    at_most = F.least("last", "a_last") + 1
-    settled = stage(_verified(docs, _pairs(with_leader, at_most), shingle), "settled")
-    pairs = _pairs(
-        rows.join(settled, [*NAME], "left_anti")
-        .join(rows.select("token", *others), "token")
-        .where(before & _near_in_size()),
-        F.col("shared"),
-    )
-    similar = stage(settled.unionByName(_verified(docs, pairs, shingle)).distinct(), "similar-lines")
-    release(rows, settled, pairs)
+    pairs = pairs.union(_pairs(rare)).union(_with_earlier(led, leaders))
+    pairs = stage(pairs.distinct(), "line-pairs")
+    similar = stage(_verified(docs, firsts, pairs, shingle), "similar-lines")
+    release(again, pairs)
+
+    open_lines = led.join(similar.select("h1").distinct(), "h1", "left_anti")
+    rest = stage(_with_earlier(open_lines, led), "line-pairs")
+    similar = stage(similar.union(_verified(docs, firsts, rest, shingle)).distinct(), "similar-lines")
+    release(led, rest)
 
-    firsts = lines.groupBy(*NAME).agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("copies"))
     repeated = (
         firsts.join(similar.withColumn("goes", F.lit(True)), [*NAME], "left")
         .where("copies > 1 OR goes")
@@ -199,6 +165,56 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
 
 
+def _shared(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(token, h1, n, place) of the tokens that the prefixes of different lines share.
+
+    The index is moved once. Rows of a token lie in the order of h1, so a row has a neighbour of
+    another line where the token is shared.
+    """
+    total = firsts.agg(F.sum("copies")).first()[0] or 0
+    heavy = firsts.where(F.col("copies") > max(100, total // HEAVY)).drop("copies")
+    index = (
+        lines.join(F.broadcast(heavy), [*NAME], "left")
+        .where(F.col("first").isNull() | (F.struct(*PLACE) == F.col("first")))
+        .select("h1", "n", F.posexplode("prefix").alias("place", "token"))
+    )
+    row = Window.partitionBy("token").orderBy("h1")
+    return (
+        index.withColumns({"before": F.lag("h1").over(row), "after": F.lead("h1").over(row)})
+        .where("before != h1 OR after != h1")
+        .groupBy("token", "h1")
+        .agg(F.min("n").alias("n"), F.min("place").alias("place"))
+    )
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the tokens of two to FEW lines, with the number of frequent tokens that the line has beside them;
+    rows of the frequent tokens."""
+    tokens = stage(rows.groupBy("token").count().where(F.col("count") > FEW).select("token"), "tokens")
+    frequent = rows.join(tokens, "token", "left_semi")
+    beside = frequent.groupBy("h1").agg(F.count(F.lit(1)).alias("frequent"))
+    rare = rows.join(tokens, "token", "left_anti").join(beside, "h1", "left").fillna(0, ["frequent"])
+    return rare, frequent
+
+
+def _by_frequency(held: DataFrame) -> DataFrame:
+    """(token, h1, n, place) of the first tokens of lines, in the order of their frequency among all of `held`."""
+    each = held.select("h1", F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").count().where("count > 1")
+    # Four times the binary logarithm: 0 is a token of one line.
+    rank = F.least(F.floor(F.log2(F.coalesce("count", F.lit(1))) * 4), F.lit(LAST))
+    bits = F.col("token").bitwiseAND((1 << HASH_BITS) - 1)
+    return (
+        each.join(counts, "token", "left")
+        .select("h1", _ranked(rank, bits).alias("token"))
+        .groupBy("h1")
+        .agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+        .withColumn("n", F.size("tokens"))
+        .select("h1", "n", F.posexplode(F.slice("tokens", 1, _prefix_length(F.col("n")))).alias("place", "token"))
+        .where(F.col("token") >= 1 << HASH_BITS)
+    )
+
+
 def _matching(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     """Rows of `big` whose key's class occurs in `small`. Every task gets KEY_CLASSES rows at
     most; where `small` has all classes, no row goes, and the join that follows decides."""
@@ -213,55 +229,81 @@ def _near_in_size() -> Column:
     return (n * 5 >= other * 4) & (other * 5 >= n * 4)
 
 
-def _pairs(joined: DataFrame, shared: Column) -> DataFrame:
-    """Names and places of the pairs that the positional filter leaves, each pair once.
+def _beside(rows: DataFrame) -> DataFrame:
+    """`rows` as the other side of a join by token."""
+    return rows.select("token", *[F.col(c).alias(f"a_{c}") for c in rows.columns if c != "token"])
+
 
-    `shared`: how many tokens a pair has in common up to the last one that joined it.
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(h1, a_h1) of the pairs of lines that share a token of `rows` and that the positional filter leaves.
 
-    Tokens are in one order in all lines, so what two lines share lies, in both, up to their last
-    shared token of the prefixes or behind it.
+    Tokens are in one order in all lines, so what two lines share lies, in both, up to their last shared token here or
+    behind it. And what the shorter reach of the two prefixes holds beside the shared tokens isn't shared: the whole prefix of
+    one line, and of the other at least what comes up to the last shared token.
     """
-    ends = joined.groupBy("first", *NAME, "a_first", "a_h1", "a_h2", "n", "a_n").agg(
-        F.count(F.lit(1)).alias("shared"),
+    joined = rows.join(_beside(rows), "token").where((F.col("a_h1") < F.col("h1")) & _near_in_size())
+    ends = joined.groupBy("h1", "a_h1", "n", "a_n", "frequent", "a_frequent").agg(
+        F.count(F.lit(1)).alias("here"),
         F.max("place").alias("last"),
         F.max("a_place").alias("a_last"),
     )
-    behind = F.least(F.col("n") - F.col("last"), F.col("a_n") - F.col("a_last")) - 1
-    possible = _enough(shared + behind, F.col("n"), F.col("a_n"))
-    return stage(
-        ends.where(possible).select("first", *NAME, "a_first", "a_h1", "a_h2"), "line-pairs"
-    )
+    n, a_n = F.col("n"), F.col("a_n")
+    shared = F.col("here") + F.least("frequent", "a_frequent")
+    behind = F.least(n - F.col("last"), a_n - F.col("a_last")) - 1
+    apart = F.least(_prefix_length(n) + F.col("a_last"), _prefix_length(a_n) + F.col("last")) + 1 - shared * 2
+    return ends.where(_enough(shared + behind, n, a_n) & (apart * 9 <= n + a_n)).select("h1", "a_h1")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """(h1, h2) of the lines in `pairs` whose tokens really are similar to the other line's."""
-    ends = pairs.select(*NAME, "first").unionByName(
-        pairs.select(*[F.col(f"a_{c}").alias(c) for c in (*NAME, "first")])
-    )
-    wanted = ends.dropDuplicates([*NAME]).select(
-        *NAME, F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("key"), F.col("first.line_no").alias("no")
+def _with_earlier(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """(h1, a_h1) of the pairs whose first shared token may be one of `rows`, the second line being the earlier one.
+
+    Nothing that comes before the first shared token counts, which leaves each line a place that it has to be in.
+    """
+    n, a_n = F.col("n"), F.col("a_n")
+    in_reach = _enough(F.least(n - F.col("place"), a_n - F.col("a_place")), n, a_n)
+    earlier = F.col("a_first") < F.col("first")
+    joined = rows.join(_beside(others), "token").where(earlier & _near_in_size() & in_reach)
+    return joined.select("h1", "a_h1").distinct()
+
+
+def _line_tokens(docs: DataFrame, firsts: DataFrame, names: DataFrame, shingle: int) -> DataFrame:
+    """(h1, h2, first, tokens) of the lines with the h1 of `names`."""
+    wanted = firsts.join(names, "h1", "left_semi").select(
+        *NAME,
+        "first",
+        F.col("first.doc_id").alias("id"),
+        F.col("first.text_key").alias("key"),
+        F.col("first.line_no").alias("no"),
     )
-    lines = lines_of(_matching(keyed(docs), wanted.withColumnRenamed("key", "text_key"), "text_key"))
+    lines = lines_of(_matching(keyed(docs), wanted.select(F.col("key").alias("text_key")), "text_key"))
     same = (
         F.col("doc_id").eqNullSafe(F.col("id"))
         & (F.col("text_key") == F.col("key"))
         & (F.col("line_no") == F.col("no"))
     )
-    words = stage(
-        # Rows that repeat id and text would give a name more than once.
-        lines.join(wanted, same).dropDuplicates([*NAME]).select(*NAME, words_of(F.col("line")).alias("words")),
-        "line-words",
+    found = lines.join(wanted, same).select(*NAME, "first", words_of(F.col("line")).alias("words"))
+    # Rows that repeat id and text give a name more than once.
+    tokens = found.select(*NAME, "first", tokens_of(F.col("words"), shingle).alias("tokens"))
+    return stage(tokens.dropDuplicates([*NAME]), "line-tokens")
+
+
+def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(h1, h2) of the lines in `pairs` whose tokens really are similar to the other line's, the later of both."""
+    names = pairs.select("h1").union(pairs.select("a_h1")).distinct()
+    held = _line_tokens(docs, firsts, names, shingle)
+    other = held.withColumnsRenamed({c: f"a_{c}" for c in held.columns})
+    both = F.size(F.array_intersect("tokens", "a_tokens"))
+    later = F.when(F.col("a_first") < F.col("first"), F.struct(*NAME)).otherwise(
+        F.struct(F.col("a_h1").alias("h1"), F.col("a_h2").alias("h2"))
     )
-    other = words.withColumnsRenamed({"h1": "a_h1", "h2": "a_h2", "words": "a_words"})
-    compared = (
-        pairs.select(*NAME, "a_h1", "a_h2")
-        .join(words, [*NAME])
-        .join(other, ["a_h1", "a_h2"])
-        .withColumn("tokens", F.array_distinct(tokens_of(F.col("words"), shingle)))
-        .withColumn("a_tokens", F.array_distinct(tokens_of(F.col("a_words"), shingle)))
+    return (
+        pairs.join(held, "h1")
+        .join(other, "a_h1")
+        .where(_enough(both, F.size("tokens"), F.size("a_tokens")))
+        .select(later.alias("later"))
+        .select("later.*")
+        .distinct()
     )
-    both = F.size(F.array_intersect("tokens", "a_tokens"))
-    return compared.where(_enough(both, F.size("tokens"), F.size("a_tokens"))).select(*NAME).distinct()
 
 
 def report(docs: DataFrame, repeated: DataFrame) -> DataFrame:

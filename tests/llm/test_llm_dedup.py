@@ -191,6 +191,39 @@ def test_one_of_each_component_stays_whatever_its_id(docs_of):
     )
 
 
+def test_lines_of_one_passage_are_not_paired_with_each_other(docs_of, monkeypatch):
+    rng = random.Random(16)
+    passage = "pa pb pc pd pe pf"
+    filler = lambda n: " ".join(f"w{rng.randrange(10)}" for _ in range(n))
+    rows = [(i, f"{filler(10)} {passage} {filler(10)}") for i in range(300)]
+    # Near copies of one line, with one to three other words each.
+    base = [f"b{k}" for k in range(60)]
+    for i in range(300, 400):
+        words = list(base)
+        for k in rng.sample(range(60), rng.randrange(4)):
+            words[k] = rng.choice(("x", "y"))
+        rows.append((i, " ".join(words)))
+    staged, write = [], line_dedup.stage
+
+    def counted(df, label):
+        out = write(df, label)
+        staged.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "stage", counted)
+    found = line_dedup.repeated_lines(docs_of(rows)).collect()
+    assert {(r.doc_id, r.line_no) for r in found} == brute_repeated(rows)
+    assert any(r.doc_id >= 300 for r in found)
+    assert sum(n for label, n in staged if label == "line-pairs") < 10 * len(rows)
+
+
+def test_words_differ_by_letters_beyond_ascii(llm_spark):
+    words = ["\u00c9t", "\u00e9t", "\u0420", "\u0440", "\u00f7", "\u00d7", "\u00df", "\u20ac", "\U0001f600", "\u0130", "\u00b5", "\u0085", "\u00a0"]
+    frame = llm_spark.createDataFrame([(" A\tB\x0bc\x0c\rD" + "".join(f"  {w}" for w in words),)], "line string")
+    found = frame.select(line_dedup.words_of(frame.line)).first()[0]
+    assert found[:4] == ["a", "b", "c", "d"] and len(found) == len(set(found)) == 4 + len(words)
+
+
 def test_the_two_hashes_of_a_line_are_independent(docs_of):
     texts = [f"a{i} b{i} c" for i in range(50)]
     lines = line_dedup._tokenised(line_dedup.lines_of(docs_of([(i, t) for i, t in enumerate(texts)])), 5)
