@@ -6,8 +6,11 @@ tokens in: the prefix filter joins only those. Pairs whose sizes differ too much
 can't share enough tokens beside the shared ones (positional filter) go before they are compared.
 What remains is verified on all tokens of both lines.
 
-The first order takes tokens with long first words as rare. Lines that meet so under a token that many lines have are
-sorted again, by how many of them have each token.
+Prefixes are longer by SHARED - 1 tokens than one shared token needs, so similar lines share SHARED of them.
+
+The first order takes tokens with long first words as rare. Lines that share only tokens of many lines there meet
+by the rarest of these. Those that meet so under a token that many lines have are sorted again, by how many of them have
+each token.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ HASH_BITS = 56
 LAST = 127
 # A token of more lines than this is frequent: its lines are not compared pair by pair.
 FEW = 32
-# At most this many classes of keys are sent to every task, to let go of rows without a match.
-KEY_CLASSES = 1 << 18
+# Similar lines share so many tokens of their prefixes, or as many as they share at all.
+SHARED = 4
+# At most this many rows of 64 bits are sent to every task, to let go of rows without a match.
+SIEVE_ROWS = 1 << 18
 # A line with over 1/HEAVY of all lines is put in the index once; there are at most so many of them.
 HEAVY = 10_000
 BLANKS = "\t\x0b\f\r"
@@ -77,8 +82,9 @@ def _tokenised(lines: DataFrame, shingle: int) -> DataFrame:
     number of distinct tokens, and the first of them."""
     words = F.col("words")
     return (
-        lines.select(*PLACE, words_of(F.col("line")).alias("words"))
-        .where(F.size(words) > 0)
+        # Not by the number of words: Spark would make them once more for that.
+        lines.where(F.btrim("line", F.lit(" " + BLANKS)) != "")
+        .select(*PLACE, words_of(F.col("line")).alias("words"))
         # With a literal behind it, the second hash would follow from the first.
         .select(
             *PLACE,
@@ -100,9 +106,19 @@ def _enough(shared: Column, left: Column, right: Column) -> Column:
     return shared * 9 >= (left + right) * 4
 
 
+def _least_shared(n: Column) -> Column:
+    """ceil(0.8 n): so many tokens a line of n shares with any similar one."""
+    return F.floor((n * 4 + 4) / 5).cast("int")
+
+
 def _prefix_length(n: Column) -> Column:
-    """n - ceil(0.8 n) + 1."""
-    return n - F.floor((n * 4 + 4) / 5).cast("int") + 1
+    """Of the tokens that a line shares with a similar one, the first SHARED lie among so many of its first."""
+    return F.least(n, n - _least_shared(n) + SHARED)
+
+
+def _needed(n: Column) -> Column:
+    """So many tokens the prefixes of a line of n tokens and of any similar one share."""
+    return F.least(F.lit(SHARED), _least_shared(n))
 
 
 PLACE = ("doc_id", "text_key", "line_no")
@@ -120,8 +136,9 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     both count as one document. Other columns are left out; an empty table gives an empty result.
 
     Lines are joined by h1 alone; different lines of one h1 are told apart when they are compared. Lines that share
-    a token of FEW lines at most are paired. Those that share a frequent one are sorted by
-    the frequency of all their tokens, which puts a common passage behind what else a line has, and
+    a token of FEW lines at most are paired, if the tokens of their prefixes allow it. Those that share frequent ones only must
+    share SHARED of them, and meet under the rarest of these, again if it has FEW lines at most. The others
+    are sorted by the frequency of all their tokens, which puts a common passage behind what else a line has, and
     joined by the first tokens of that order. Where a token is frequent even so, each line is first
     compared with the earliest of the token's lines; only lines that nothing has settled then are joined with the others.
     """
@@ -132,11 +149,13 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
     shared = stage(_shared(lines, firsts), "line-index")
     rare, frequent = _split(shared)
-    pairs = stage(_pairs(rare), "line-pairs")
+    gathered = stage(_gathered(frequent), "line-index")
+    few, many = _by_number(gathered)
+    pairs = stage(_pairs(rare).union(_pairs_of_frequent(few)), "line-pairs")
 
-    crowded = stage(frequent.select("h1").distinct(), "crowded-lines")
+    crowded = stage(many.select("h1").distinct(), "crowded-lines")
     again = stage(_by_frequency(_line_tokens(docs, firsts, crowded, shingle)), "line-index")
-    release(shared, crowded)
+    release(shared, gathered, crowded)
     rare, frequent = _split(again)
     led = stage(frequent.join(firsts.groupBy("h1").agg(F.min("first").alias("first")), "h1"), "frequent-tokens")
     leaders = led.groupBy("token").agg(F.min(F.struct("first", "h1", "n", "place")).alias("leader")).select(
@@ -157,8 +176,9 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         .where("copies > 1 OR goes")
         .drop("copies")
     )
+    repeated = stage(repeated, "repeated-lines")
     return (
-        lines.select(*PLACE, *NAME)
+        _matching(lines.select(*PLACE, *NAME), repeated, "h1")
         .join(repeated, [*NAME])
         .where(F.col("goes").isNotNull() | (F.struct(*PLACE) != F.col("first")))
         .select(*PLACE)
@@ -190,11 +210,37 @@ def _shared(lines: DataFrame, firsts: DataFrame) -> DataFrame:
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of the tokens of two to FEW lines, with the number of frequent tokens that the line has beside them;
     rows of the frequent tokens."""
-    tokens = stage(rows.groupBy("token").count().where(F.col("count") > FEW).select("token"), "tokens")
-    frequent = rows.join(tokens, "token", "left_semi")
+    few, frequent = _by_number(rows)
     beside = frequent.groupBy("h1").agg(F.count(F.lit(1)).alias("frequent"))
-    rare = rows.join(tokens, "token", "left_anti").join(beside, "h1", "left").fillna(0, ["frequent"])
-    return rare, frequent
+    return few.join(beside, "h1", "left").fillna(0, ["frequent"]), frequent
+
+
+def _by_number(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the tokens of at most FEW lines, and of the others."""
+    tokens = stage(rows.groupBy("token").count().where(F.col("count") > FEW).select("token"), "tokens")
+    return rows.join(tokens, "token", "left_anti"), rows.join(tokens, "token", "left_semi")
+
+
+def _gathered(frequent: DataFrame) -> DataFrame:
+    """(token, h1, n, held): of lines that hold enough frequent tokens to be similar by these alone, the rarest of them, as
+    many as a prefix needs. held: all of them."""
+    counts = frequent.groupBy("token").agg(F.count(F.lit(1)).alias("lines"))
+    held = F.sort_array(F.collect_list(F.struct("lines", "token")))
+    return (
+        frequent.join(counts, "token")
+        .groupBy("h1")
+        .agg(F.min("n").alias("n"), held.alias("held"))
+        .select("h1", "n", F.col("held.token").alias("held"))
+        .where(F.size("held") >= _needed(F.col("n")))
+        .select("h1", "n", "held", F.explode(F.slice("held", 1, F.size("held") - _needed(F.col("n")) + 1)).alias("token"))
+    )
+
+
+def _pairs_of_frequent(rows: DataFrame) -> DataFrame:
+    """(h1, a_h1) of the pairs of lines of `_gathered` that share enough frequent tokens, one of them in `rows`."""
+    enough = F.size(F.array_intersect("held", "a_held")) >= F.greatest(_needed(F.col("n")), _needed(F.col("a_n")))
+    joined = rows.join(_beside(rows), "token").where((F.col("a_h1") < F.col("h1")) & _near_in_size() & enough)
+    return joined.select("h1", "a_h1").distinct()
 
 
 def _by_frequency(held: DataFrame) -> DataFrame:
@@ -215,12 +261,15 @@ def _by_frequency(held: DataFrame) -> DataFrame:
     )
 
 
-def _matching(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
-    """Rows of `big` whose key's class occurs in `small`. Every task gets KEY_CLASSES rows at
+def _matching(big: DataFrame, small: DataFrame, *key: str) -> DataFrame:
+    """Rows of `big` whose key's class, one of 64 * SIEVE_ROWS, occurs in `small`. Every task gets SIEVE_ROWS rows at
     most; where `small` has all classes, no row goes, and the join that follows decides."""
-    key_class = F.xxhash64(key).bitwiseAND(KEY_CLASSES - 1)
-    classes = small.select(key_class.alias("key_class")).distinct()
-    return big.join(F.broadcast(classes), key_class == F.col("key_class"), "left_semi")
+    hashed = F.xxhash64(*key)
+    row, bit = hashed.bitwiseAND(SIEVE_ROWS - 1), F.shiftrightunsigned(hashed, 58).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    sieve = small.select(row.alias("sieve_row"), one.alias("one")).groupBy("sieve_row").agg(F.bit_or("one").alias("sieve_bits"))
+    found = (row == F.col("sieve_row")) & (F.getbit("sieve_bits", bit) == 1)
+    return big.join(F.broadcast(sieve), found, "left_semi")
 
 
 def _near_in_size() -> Column:
@@ -251,7 +300,9 @@ def _pairs(rows: DataFrame) -> DataFrame:
     shared = F.col("here") + F.least("frequent", "a_frequent")
     behind = F.least(n - F.col("last"), a_n - F.col("a_last")) - 1
     apart = F.least(_prefix_length(n) + F.col("a_last"), _prefix_length(a_n) + F.col("last")) + 1 - shared * 2
-    return ends.where(_enough(shared + behind, n, a_n) & (apart * 9 <= n + a_n)).select("h1", "a_h1")
+    needed = F.greatest(_needed(n), _needed(a_n))
+    possible = (shared >= needed) & _enough(shared + behind, n, a_n) & (apart * 9 <= n + a_n)
+    return ends.where(possible).select("h1", "a_h1")
 
 
 def _with_earlier(rows: DataFrame, others: DataFrame) -> DataFrame:
@@ -268,14 +319,16 @@ def _with_earlier(rows: DataFrame, others: DataFrame) -> DataFrame:
 
 def _line_tokens(docs: DataFrame, firsts: DataFrame, names: DataFrame, shingle: int) -> DataFrame:
     """(h1, h2, first, tokens) of the lines with the h1 of `names`."""
-    wanted = firsts.join(names, "h1", "left_semi").select(
+    wanted = _matching(firsts, names, "h1").join(names, "h1", "left_semi").select(
         *NAME,
         "first",
         F.col("first.doc_id").alias("id"),
         F.col("first.text_key").alias("key"),
         F.col("first.line_no").alias("no"),
     )
-    lines = lines_of(_matching(keyed(docs), wanted.select(F.col("key").alias("text_key")), "text_key"))
+    places = stage(wanted, "wanted-lines").withColumnsRenamed({"key": "text_key", "no": "line_no"})
+    lines = _matching(lines_of(_matching(keyed(docs), places, "text_key")), places, "text_key", "line_no")
+    wanted = places.withColumnsRenamed({"text_key": "key", "line_no": "no"})
     same = (
         F.col("doc_id").eqNullSafe(F.col("id"))
         & (F.col("text_key") == F.col("key"))

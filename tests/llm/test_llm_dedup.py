@@ -217,6 +217,33 @@ def test_lines_of_one_passage_are_not_paired_with_each_other(docs_of, monkeypatc
     assert sum(n for label, n in staged if label == "line-pairs") < 10 * len(rows)
 
 
+def test_lines_of_frequent_tokens_are_rarely_sorted_again(docs_of, monkeypatch):
+    rng = random.Random(17)
+    filler = lambda: [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    # Long words come first in the order of tokens: the passage stands in all prefixes.
+    passage = [f"passage{k}ofmanylines" for k in range(6)]
+    rows = [(i, " ".join(passage + filler())) for i in range(100)]
+    # Near copies of one line; lines of the passage with near copies of their own; short lines of nothing but frequent tokens.
+    base = filler() + filler()
+    rows += [(i, " ".join(base[:20] + [f"n{i}"] + base[21:])) for i in range(100, 150)]
+    rows += [(i + 150, text + " end") for i, text in rows[:20]]
+    rows += [(i, " ".join([*passage, "same", "words", "here", *["again"] * (i - 170)])) for i in range(170, 176)]
+    rows += [(i, " ".join(["again"] * (i - 170))) for i in range(176, 180)]
+    crowded, write = [], line_dedup.stage
+
+    def counted(df, label):
+        out = write(df, label)
+        crowded.append(out.count() if label == "crowded-lines" else 0)
+        return out
+
+    monkeypatch.setattr(line_dedup, "stage", counted)
+    found = line_dedup.repeated_lines(docs_of(rows)).collect()
+    expected = brute_repeated(rows)
+    assert {(r.doc_id, r.line_no) for r in found} == expected
+    assert {i for i, _ in expected} >= {*range(101, 170)}
+    assert sum(crowded) <= 60
+
+
 def test_words_differ_by_letters_beyond_ascii(llm_spark):
     words = ["\u00c9t", "\u00e9t", "\u0420", "\u0440", "\u00f7", "\u00d7", "\u00df", "\u20ac", "\U0001f600", "\u0130", "\u00b5", "\u0085", "\u00a0"]
     frame = llm_spark.createDataFrame([(" A\tB\x0bc\x0c\rD" + "".join(f"  {w}" for w in words),)], "line string")
