@@ -11,8 +11,13 @@ size of the set, in levels of a quarter more each; sets that can be similar shar
 
 Under a key of few sets, each pair of them is counted: how many keys it shares. Of the set whose prefix ends first, every
 token of the prefix that the other lacks is one it misses, and a pair that can't afford these goes. Under a key of
-many sets, each is tied to one of them. The pairs that are left and the ties form clusters. Within
-these every pair of sets that isn't yet connected is compared by all its tokens, block by block, and only links are written.
+many sets, each is tied to one of them, and within what the ties connect all pairs are looked at, block by block.
+
+Both kinds of pairs must also have near sketches. A sketch has a bit for every class of tokens, which tells whether the set
+has an odd number of them; two sets differ in at least as many tokens as their sketches do in bits. So no similar
+pair is lost, and pairs that merely share a key hardly ever stay; otherwise these would join most sets of a large table
+in one cluster. The pairs that are left form clusters. Within these every pair of sets that isn't yet connected is
+compared by all its tokens, block by block, and only links are written.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import release, stage
@@ -32,16 +37,17 @@ from feedloom.llm.components import components
 from feedloom.llm.decontaminate import SIEVE_BITS, build_sieve
 
 SHINGLE = 5
-# A token is frequent if more different sets than this have it in a plain prefix, or more than one in
-# 2^20 of all such places; so there are never more than 2^20 of them.
+# A token is frequent if more different sets than this have it in a plain prefix; twice as many, four times and so on
+# where more than 2^20 tokens would be.
 FREQUENT = 32
-FREQUENT_SHARE = 20
+MOST_FREQUENT = 1 << 20
 # Levels begin at powers of 5/4; five tokens of a set of a level's size go to one bucket.
 LEVELS = [-(-(5**k) // 4**k) for k in range(130)]
 PER_BUCKET = 5
-# Sets and tokens of a cluster that are compared with each other in one task.
+# Sets and tokens of a cluster that are compared with each other in one task, and so many times as many sketches.
 BLOCK_SETS = 2_048
 BLOCK_TOKENS = 2_000_000
+SKETCHES = 4
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 # Turns the order of unsigned numbers into that of signed ones.
 _SIGN = np.uint64(1 << 63)
@@ -106,6 +112,30 @@ def index_keys(tokens: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.nd
     return rare, np.unique(np.concatenate(pairs))
 
 
+def sketch_bits(n: int) -> int:
+    """Size of the sketch of a set of n: a power of two, more than n and at most 2 n, 64 at least."""
+    return max(64, 1 << n.bit_length())
+
+
+def sketch_of(tokens: np.ndarray) -> bytes:
+    bits = sketch_bits(len(tokens))
+    at = (tokens & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(n: int, sketch: bytes, other_n: int, other: bytes) -> bool:
+    """Sets of Jaccard similarity 0.8 or more differ in a ninth of the sum of their sizes at most."""
+    if 5 * min(n, other_n) < 4 * max(n, other_n):
+        return False
+    if len(sketch) < len(other):
+        sketch, other = other, sketch
+    long, short, bits = int.from_bytes(sketch, "little"), int.from_bytes(other, "little"), 8 * len(sketch)
+    while bits > 8 * len(other):
+        bits //= 2
+        long = (long >> bits) ^ (long & ((1 << bits) - 1))
+    return 9 * (long ^ short).bit_count() <= n + other_n
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)]).astype(np.int32)
     values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
@@ -117,16 +147,17 @@ def _digest(tokens: np.ndarray) -> bytes:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Size, digest and plain prefix of every row's set."""
+    """Size, digest, plain prefix and sketch of every row's set."""
     for whole in batches:
         for start in range(0, whole.num_rows, 512):
             batch = whole.slice(start, 512)
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, prefixes, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = tokens_of(text, shingle)
                 sizes.append(len(tokens))
                 digests.append(_digest(tokens))
                 prefixes.append(tokens[: prefix_length(len(tokens))])
+                sketches.append(sketch_of(tokens))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -134,8 +165,9 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.binary()),
                     _lists(prefixes),
+                    pa.array(sketches, pa.binary()),
                 ],
-                ["doc_id", "row_key", "n", "digest", "prefix"],
+                ["doc_id", "row_key", "n", "digest", "prefix", "sketch"],
             )
 
 
@@ -226,29 +258,6 @@ def _with_frequent(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column("row_key").filter(pa.array(found))], ["row_key"])
 
 
-def _matching_keys(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Keys that the sieve may hold, with what the pair filter needs of their sets."""
-    for batch in batches:
-        for name in ("rare", "pairs"):
-            lists = batch.column(name)
-            keys = lists.flatten().to_numpy()
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            found = is_frequent(keys.view(np.uint64), sieve)
-            at = pa.array(rows[found])
-            length = np.diff(batch.column("rare").offsets.to_numpy()).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys[found]),
-                    pa.array(np.full(len(at), name == "rare")),
-                    batch.column("digest").take(at),
-                    batch.column("n").take(at),
-                    batch.column("last").take(at),
-                    pa.array(length).take(at),
-                ],
-                ["key", "is_rare", "digest", "n", "last", "length"],
-            )
-
-
 class Overlaps:
     """How many tokens a set shares with each of `arrays`, by way of each token's holders."""
 
@@ -302,92 +311,198 @@ def link_block(arrays: list[np.ndarray], first_part: int | None = None) -> list[
     return links
 
 
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int | None, list[tuple]]]:
+    """The rows (part, *columns) of every group (cluster, low, high) of several rows, which come group by group. Of two
+    blocks, the rows of the lower one come first, and their number is given."""
+    group, rows = None, []
+
+    def whole() -> tuple[int | None, list[tuple]]:
+        rows.sort(key=lambda row: row[0])
+        return (None if group[1] == group[2] else sum(row[0] == group[1] for row in rows)), rows
+
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "low", "high")), strict=True)
+        values = []
+        for name in ["part", *columns]:
+            column = batch.column(name)
+            if pa.types.is_list(column.type):
+                flat, at = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
+                values.append([flat[at[i] : at[i + 1]].copy() for i in range(len(column))])
+            else:
+                values.append(column.to_pylist())
+        for key, row in zip(keys, zip(*values, strict=True), strict=True):
+            if key != group:
+                if len(rows) > 1:
+                    yield whole()
+                group, rows = key, []
+            rows.append(row)
+    if len(rows) > 1:
+        yield whole()
+
+
 def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of every group (cluster, low, high) of rows, which come group by group."""
-    group, digests, parts, arrays = None, [], [], []
-
-    def links() -> pa.RecordBatch:
-        # Of two blocks, the sets of the lower one come first.
-        order = sorted(range(len(parts)), key=parts.__getitem__)
-        low = parts.count(group[1])
-        found = link_block([arrays[i] for i in order], None if group[1] == group[2] else low)
-        names = [digests[i] for i in order]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([names[x] for x, _ in found], pa.binary()), pa.array([names[y] for _, y in found], pa.binary())],
+    """Links of every group of sets."""
+    for low, rows in _groups(batches, ["digest", "tokens"]):
+        found = link_block([tokens for _, _, tokens in rows], low)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([rows[x][1] for x, _ in found], pa.binary()), pa.array([rows[y][1] for _, y in found], pa.binary())],
             ["a", "b"],
         )
 
+
+def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "low", "high")), strict=True))
-        of_batch, names = batch.column("part").to_pylist(), batch.column("digest").to_pylist()
-        lists = batch.column("tokens")
-        values, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        for i, key in enumerate(keys):
-            if key != group:
-                if len(arrays) > 1:
-                    yield links()
-                group, digests, parts, arrays = key, [], [], []
-            digests.append(names[i])
-            parts.append(of_batch[i])
-            arrays.append(values[at[i] : at[i + 1]].copy())
-    if len(arrays) > 1:
-        yield links()
+        columns = (batch.column(c).to_pylist() for c in ("n_a", "sketch_a", "n_b", "sketch_b"))
+        found = pa.array([may_be_similar(*row) for row in zip(*columns, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(found) for c in ("a", "b")], ["a", "b"])
+
+
+def near_block(sizes: np.ndarray, sketches: list[bytes], first_part: int | None = None) -> list[tuple[int, int]]:
+    """Pairs, one fewer than sets at most, that connect what all pairs connect that may be similar. With `first_part`,
+    pairs of a set before that place and one from there on only."""
+    label, links = np.arange(len(sizes)), []
+    width = np.array([len(s) for s in sketches])
+    for w in np.unique(width):
+        # Sets of a sketch of twice the width are looked at too, with the halves folded.
+        own = np.flatnonzero((width == w) | (width == 2 * w))
+        own = own[np.argsort(sizes[own], kind="stable")]
+        bits = np.zeros((len(own), int(w)), np.uint8)
+        for i, x in enumerate(own):
+            halves = np.frombuffer(sketches[x], np.uint8).reshape(-1, int(w))
+            bits[i] = np.bitwise_xor.reduce(halves, axis=0)
+        bits, n = bits.view(np.uint64), sizes[own]
+        ends = np.searchsorted(n * 4, n * 5, "right")
+        for i in np.flatnonzero(width[own] == w):
+            x, others = own[i], slice(i + 1, int(ends[i]))
+            differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            found = own[others][9 * differ <= n[others] + n[i]]
+            if first_part is not None:
+                found = found[(found < first_part) != (x < first_part)]
+            for y in found[label[found] != label[x]]:
+                if label[y] != label[x]:
+                    label[label == label[y]] = label[x]
+                    links.append((int(x), int(y)))
+    return links
+
+
+def _near_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of every group of sketches."""
+    for low, rows in _groups(batches, ["entry", "n", "sketch"]):
+        found = near_block(np.array([n for _, _, n, _ in rows], np.int64), [sketch for *_, sketch in rows], low)
+        names = np.array([entry for _, entry, _, _ in rows], np.int64)
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(names[pairs[:, 0]]), pa.array(names[pairs[:, 1]])], ["a", "b"])
 
 
 def _sieve_of(df: DataFrame, column: str) -> np.ndarray:
     return build_sieve(df.select(F.col(column).alias("h")))
 
 
-def index_of(keyed: DataFrame, sets: DataFrame, shingle: int, frequent: int) -> DataFrame:
-    """(key, is_rare, digest, n, last, length, sets) of the keys that several sets have."""
+def frequent_tokens(sets: DataFrame, frequent: int, most: int = MOST_FREQUENT) -> DataFrame:
+    """(token, sets) of the tokens in the plain prefixes of more than `frequent` sets, or of more than so many times
+    a power of two that `most` tokens are left."""
     places = sets.select(F.explode("prefix").alias("token"))
-    total = sets.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 0
-    often = places.groupBy("token").count().where(F.col("count") > max(frequent, total >> FREQUENT_SHARE))
-    sieve = _sieve_of(often, "token")
+    often = stage(
+        places.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > frequent), "ngram-frequent"
+    )
+    above = F.floor(F.log2((F.col("sets") - 1) / frequent)).cast("int")
+    counts = {r["above"]: r["tokens"] for r in often.groupBy(above.alias("above")).agg(F.count(F.lit(1)).alias("tokens")).collect()}
+    doublings = 0
+    while sum(n for k, n in counts.items() if k >= doublings) > most:
+        doublings += 1
+    return often.where(F.col("sets") > frequent << doublings)
+
+
+def index_of(keyed: DataFrame, sets: DataFrame, shingle: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, is_rare, entry, n, last, length, sets) of the keys that several sets have; entry numbers the sets.
+    (entry, digest) of all sets."""
+    sieve = _sieve_of(frequent_tokens(sets, frequent), "token")
     touched = sets.select("row_key", "n", "prefix").mapInArrow(partial(_with_frequent, sieve=sieve), "row_key long")
     rows = _sieve_of(touched, "row_key")
     longer = keyed.mapInArrow(partial(_longer_prefixes, shingle=shingle, rows=rows, sieve=sieve), ENTRY)
     plain = sets.select("digest", "n", "prefix").mapInArrow(partial(_plain_prefixes, sieve=sieve), ENTRY)
-    entries = stage(plain.unionByName(longer), "ngram-entries")
-    keys = entries.select(F.explode(F.concat("rare", "pairs")).alias("key"))
-    shared = stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "ngram-keys")
-    possible = entries.mapInArrow(
-        partial(_matching_keys, sieve=_sieve_of(shared, "key")),
-        "key long, is_rare boolean, digest binary, n long, last long, length long",
+    # A row that repeats a document repeats its entry.
+    entries = plain.unionByName(longer.dropDuplicates(["digest"]))
+    entries = stage(entries.withColumn("entry", F.monotonically_increasing_id()), "ngram-entries")
+    # Only key and number of the entry, its lowest bit for the kind of key, are sorted; most keys are those of one set.
+    number = F.col("entry") * 2
+    places = entries.select(F.explode("rare").alias("key"), (number + 1).alias("at")).unionByName(
+        entries.select(F.explode("pairs").alias("key"), number.alias("at"))
     )
-    # A row that repeats a document repeats its entries.
-    index = stage(possible.join(shared, "key").distinct(), "ngram-index")
+    counted = places.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("sets > 1")
+    shared = stage(counted, "ngram-keys")
+    about = entries.select("entry", "n", "last", F.size("rare").cast("long").alias("length"))
+    with_kind = shared.select(
+        "key", (F.col("at") % 2 == 1).alias("is_rare"), F.floor(F.col("at") / 2).alias("entry"), "sets"
+    )
+    index = stage(with_kind.join(about, "entry"), "ngram-index")
+    numbers = stage(entries.select("entry", "digest"), "ngram-numbers")
     release(entries, shared)
-    return index
+    return index, numbers
 
 
-def candidates_of(index: DataFrame, frequent: int) -> DataFrame:
-    """(a, b): pairs that may be similar, and ties that connect what such pairs connect.
+def in_blocks(rows: DataFrame, name: str, held: str, block_sets: int, block_held: int | None = None) -> DataFrame:
+    """Rows (cluster, low, high, part, name, held) group by group (cluster, low, high): of every two blocks of a
+    cluster, and of each alone. `held` is an array or binary, of which a block has about `block_held` in all."""
+    group = ["cluster", "low", "high"]
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.size(held) if block_held else F.lit(0)).alias("all"))
+    parts = F.ceil(F.greatest(F.col("sets") / block_sets, F.col("all") / (block_held or 1))).cast("int")
+    dealt = rows.join(sizes.select("cluster", parts.alias("parts")), "cluster").withColumn(
+        "part", F.pmod(F.xxhash64(name), F.col("parts")).cast("int")
+    )
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "cluster",
+        F.least("part", "other").alias("low"),
+        F.greatest("part", "other").alias("high"),
+        "part",
+        *[c for c in rows.columns if c != "cluster"],
+    )
+    return pairs.repartition(*group).sortWithinPartitions(*group)
+
 
-    A pair's own keys are counted under keys of at most `frequent` sets; of the others, it may share all.
+def pairs_of_few(index: DataFrame, frequent: int) -> DataFrame:
+    """(a, b), entries: pairs under keys of at most `frequent` sets that may be similar.
+
+    Their own keys are counted; of keys of more sets, a pair may share all.
     """
     of_many = (
-        index.where((F.col("sets") > frequent) & F.col("is_rare")).groupBy("digest").agg(F.count(F.lit(1)).alias("more"))
+        index.where((F.col("sets") > frequent) & F.col("is_rare")).groupBy("entry").agg(F.count(F.lit(1)).alias("more"))
     )
     few = index.where(F.col("sets") <= frequent).drop("sets")
-    other = few.select("key", *[F.col(c).alias(f"b_{c}") for c in ("digest", "n", "last", "length")])
+    other = few.select("key", *[F.col(c).alias(f"b_{c}") for c in ("entry", "n", "last", "length")])
     near = (F.col("n") * 5 >= F.col("b_n") * 4) & (F.col("b_n") * 5 >= F.col("n") * 4)
-    counted = (
-        few.join(other, "key")
-        .where((F.col("digest") < F.col("b_digest")) & near)
-        .groupBy("digest", "b_digest", "n", "b_n", "last", "b_last", "length", "b_length")
-        .agg(F.sum(F.col("is_rare").cast("int")).alias("shared"))
-        .join(of_many, "digest", "left")
-    )
     common = F.ceil((F.col("n") + F.col("b_n")) * 4 / 9)
     first = F.col("last") <= F.col("b_last")
     length = F.when(first, F.col("length")).otherwise(F.col("b_length"))
     may_miss = F.when(first, F.col("n")).otherwise(F.col("b_n")) - common
-    possible = counted.where(length - F.col("shared") - F.coalesce("more", F.lit(0)) <= may_miss)
+    counted = (
+        few.join(other, "key")
+        .where((F.col("entry") < F.col("b_entry")) & near)
+        .groupBy("entry", F.col("b_entry").alias("b"), (length - may_miss).alias("wanted"))
+        .agg(F.sum(F.col("is_rare").cast("int")).alias("shared"))
+        .join(of_many, "entry", "left")
+    )
+    return counted.where(F.col("shared") + F.coalesce("more", F.lit(0)) >= F.col("wanted")).select(
+        F.col("entry").alias("a"), "b"
+    )
+
+
+def candidates_of(index: DataFrame, sketches: DataFrame, frequent: int, block_sets: int) -> DataFrame:
+    """(a, b), entries: pairs that may be similar by their sketches (entry, n, sketch), or some that connect what
+    such pairs connect."""
+    few = pairs_of_few(index, frequent)
+    for side in ("a", "b"):
+        of_side = sketches.select(
+            F.col("entry").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")
+        )
+        few = few.join(of_side, side)
+    few = stage(few.mapInArrow(_near_pairs, "a long, b long"), "ngram-few")
     many = index.where(F.col("sets") > frequent)
-    ties = many.join(many.groupBy("key").agg(F.min("digest").alias("b")), "key").where("digest != b")
-    pairs = possible.select(F.col("digest").alias("a"), F.col("b_digest").alias("b"))
-    return pairs.unionByName(ties.select(F.col("digest").alias("a"), "b"))
+    ties = many.join(many.groupBy("key").agg(F.min("entry").alias("b")), "key").where("entry != b")
+    tied = components(ties.select(F.col("entry").alias("a"), "b"))
+    tied = tied.select(F.col("node").alias("entry"), F.col("label").alias("cluster")).join(sketches, "entry")
+    blocks = in_blocks(tied, "entry", "sketch", SKETCHES * block_sets)
+    return few.unionByName(blocks.mapInArrow(_near_groups, "a long, b long"))
 
 
 def links_of(keyed: DataFrame, clusters: DataFrame, shingle: int, block_sets: int, block_tokens: int) -> DataFrame:
@@ -401,21 +516,8 @@ def links_of(keyed: DataFrame, clusters: DataFrame, shingle: int, block_sets: in
         .agg(F.first("tokens").alias("tokens")),
         "ngram-tokens",
     )
-    sizes = tokens.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.size("tokens")).alias("held"))
-    parts = F.ceil(F.greatest(F.col("sets") / block_sets, F.col("held") / block_tokens)).cast("int")
-    dealt = tokens.join(sizes.select("cluster", parts.alias("parts")), "cluster").withColumn(
-        "part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
-    )
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "cluster",
-        F.least("part", "other").alias("low"),
-        F.greatest("part", "other").alias("high"),
-        "part",
-        "digest",
-        "tokens",
-    )
-    group = ["cluster", "low", "high"]
-    return pairs.repartition(*group).sortWithinPartitions(*group).mapInArrow(_link_groups, "a binary, b binary")
+    blocks = in_blocks(tokens, "digest", "tokens", block_sets, block_tokens)
+    return blocks.mapInArrow(_link_groups, "a binary, b binary")
 
 
 def join(
@@ -442,7 +544,7 @@ def join(
     read = stage(
         keyed.mapInArrow(
             partial(_sets, shingle=shingle),
-            f"doc_id {id_type}, row_key long, n long, digest binary, prefix array<long>",
+            f"doc_id {id_type}, row_key long, n long, digest binary, prefix array<long>, sketch binary",
         ),
         "ngram-read",
     )
@@ -450,17 +552,17 @@ def join(
     sets = stage(
         read.where("n > 0")
         .groupBy("digest", "n")
-        .agg(F.min("row_key").alias("row_key"), F.first("prefix").alias("prefix")),
+        .agg(F.min("row_key").alias("row_key"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")),
         "ngram-sets",
     )
     release(read)
-    index = index_of(keyed, sets, shingle, frequent)
-    names = stage(sets.select("digest", "row_key"), "ngram-names")
-    release(sets)
-    reached = components(candidates_of(index, frequent))
-    candidates = reached.select(F.col("node").alias("digest"), F.col("label").alias("cluster"))
-    clusters = stage(candidates.join(names, "digest"), "ngram-clusters")
-    release(index)
+    index, numbers = index_of(keyed, sets, shingle, frequent)
+    names = stage(sets.drop("prefix").join(numbers, "digest"), "ngram-names")
+    release(sets, numbers)
+    reached = components(candidates_of(index, names.select("entry", "n", "sketch"), frequent, block_sets))
+    candidates = reached.select(F.col("node").alias("entry"), F.col("label").alias("cluster"))
+    clusters = stage(candidates.join(names, "entry").select("digest", "row_key", "cluster"), "ngram-clusters")
+    release(index, names)
     reached = components(links_of(keyed, clusters, shingle, block_sets, block_tokens))
     ids = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     labelled = ids.join(reached.withColumnRenamed("node", "digest"), "digest", "left").select(

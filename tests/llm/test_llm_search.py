@@ -170,3 +170,83 @@ def test_two_blocks_give_the_links_between_them():
         (x, y) for x in range(25) for y in range(25, 40) if 100 * len(np.intersect1d(sets[x], sets[y])) >= 80 * len(np.union1d(sets[x], sets[y]))
     ]
     assert labels(links) == labels(similar)
+
+
+def similar_sets(rng, n):
+    """Two sets of a Jaccard similarity of 0.8 or little less, at any difference of size."""
+    common = rng.integers(0, 2**64, n, np.uint64)
+    more = int(rng.integers(0, n // 4 + 2))
+    left = int(rng.integers(0, more + 1))
+    return [np.unique(np.concatenate([common, rng.integers(0, 2**64, k, np.uint64)])) for k in (left, more - left)]
+
+
+def are_similar(a, b):
+    both = len(np.intersect1d(a, b))
+    return 100 * both >= 80 * (len(a) + len(b) - both)
+
+
+def test_sketches_lose_no_similar_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(2_000):
+        a, b = similar_sets(rng, int(rng.choice([1, 2, 3, 5, 16, 31, 33, 63, 64, 65, 127, 130, 513, 2050])))
+        near = nj.may_be_similar(len(a), nj.sketch_of(a), len(b), nj.sketch_of(b))
+        assert near or not are_similar(a, b)
+        other = rng.integers(0, 2**64, len(a), np.uint64)
+        assert len(a) < 33 or not nj.may_be_similar(len(a), nj.sketch_of(a), len(a), nj.sketch_of(other))
+
+
+@pytest.mark.parametrize("first_part", [None, 45])
+def test_near_block_connects_what_all_near_pairs_connect(first_part):
+    rng = np.random.default_rng(5)
+    sets = [x for n in (3, 30, 31, 62, 64, 70, 250, 260, 520) for _ in range(5) for x in similar_sets(rng, n)]
+    base = rng.integers(0, 2**64, 130, np.uint64)
+    sets += [np.concatenate([base[:k], rng.integers(0, 2**64, 130 - k, np.uint64)]) for k in rng.integers(90, 131, 30)]
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    sizes, sketches = np.array([len(s) for s in sets]), [nj.sketch_of(s) for s in sets]
+
+    def labels(pairs):
+        out = list(range(len(sets)))
+        for x, y in pairs:
+            out = [min(out[x], out[y]) if v in (out[x], out[y]) else v for v in out]
+        return out
+
+    pairs = [(x, y) for x in range(len(sets)) for y in range(x) if first_part is None or (x < first_part) != (y < first_part)]
+    near = [(x, y) for x, y in pairs if nj.may_be_similar(sizes[x], sketches[x], sizes[y], sketches[y])]
+    found = nj.near_block(sizes, sketches, first_part)
+    assert len(found) < len(sets) and all(tuple(sorted(p, reverse=True)) in near for p in found)
+    assert labels(found) == labels(near)
+
+
+def test_sets_that_only_share_keys_are_in_no_cluster(docs_of, monkeypatch):
+    """Else most sets of a large table are in one cluster, whose blocks are all compared with each other."""
+    rng = random.Random(6)
+    passages = [[f"p{k}x{i}" for i in range(24)] for k in range(14)]
+    rows = []
+    for i in range(150):
+        words = sum(rng.sample(passages, rng.randrange(2, 5)), []) + [f"o{i}x{k}" for k in range(rng.randrange(8, 30))]
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i][1] + " new") for i in range(5)]
+    clustered, links_of = [], nj.links_of
+
+    def seen(keyed, clusters, *rest):
+        clustered.append(clusters.count())
+        return links_of(keyed, clusters, *rest)
+
+    monkeypatch.setattr(nj, "links_of", seen)
+    found = nj.join(docs_of(rows), frequent=2).collect()
+    expected = brute_join(rows)
+    assert sorted(map(tuple, found), key=str) == expected
+    linked = len(rows) - len({c for *_, c in expected})
+    assert linked >= 5
+    assert clustered[0] <= 2 * linked + 10
+
+
+def test_as_few_tokens_are_rare_as_the_sieve_has_room_for(llm_spark):
+    rows = [(list(range(k, 40)),) for k in range(40)]
+    sets = llm_spark.createDataFrame(rows, "prefix array<long>")
+    frequent = lambda most: sorted(r["token"] for r in nj.frequent_tokens(sets, 4, most).collect())
+    # Token t is in t + 1 of the sets.
+    assert frequent(1 << 20) == list(range(4, 40))
+    assert frequent(35) == frequent(32) == list(range(8, 40))
+    assert frequent(31) == list(range(16, 40))
+    assert frequent(0) == []
