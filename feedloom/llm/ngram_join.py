@@ -224,7 +224,8 @@ def _longer_prefixes(
     """Entries of the sets whose plain prefix holds frequent tokens."""
     found = []
     for digest, tokens in _chosen_tokens(batches, shingle, rows):
-        if is_frequent(tokens[: prefix_length(len(tokens))], sieve).any():
+        # The sieve of rows may also let rows of one token through.
+        if len(tokens) > 1 and is_frequent(tokens[: prefix_length(len(tokens))], sieve).any():
             found.append((digest, len(tokens), *index_keys(tokens, sieve)))
         if len(found) == 256:
             yield _entries(found)
@@ -500,7 +501,11 @@ def candidates_of(index: DataFrame, sketches: DataFrame, frequent: int, block_se
     many = index.where(F.col("sets") > frequent)
     ties = many.join(many.groupBy("key").agg(F.min("entry").alias("b")), "key").where("entry != b")
     tied = components(ties.select(F.col("entry").alias("a"), "b"))
-    tied = tied.select(F.col("node").alias("entry"), F.col("label").alias("cluster")).join(sketches, "entry")
+    # Sets that can be similar share a level; so the blocks of a large group needn't all meet.
+    level = F.size(F.filter(F.array(*map(F.lit, LEVELS)), lambda least: least <= F.col("n")))
+    tied = tied.select(F.col("node").alias("entry"), "label").join(sketches, "entry")
+    tied = tied.withColumn("level", F.explode(F.array(level, level + 1)))
+    tied = tied.select(F.struct("label", "level").alias("cluster"), "entry", "n", "sketch")
     blocks = in_blocks(tied, "entry", "sketch", SKETCHES * block_sets)
     return few.unionByName(blocks.mapInArrow(_near_groups, "a long, b long"))
 

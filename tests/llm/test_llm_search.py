@@ -250,3 +250,10 @@ def test_as_few_tokens_are_rare_as_the_sieve_has_room_for(llm_spark):
     assert frequent(35) == frequent(32) == list(range(8, 40))
     assert frequent(31) == list(range(16, 40))
     assert frequent(0) == []
+
+
+def test_a_set_of_one_token_has_one_entry():
+    batch = nj.pa.RecordBatch.from_pydict({"row_key": [1, 2], "text": ["one", "one two three four five six"]})
+    full = np.full(1 << 20, 255, np.uint8)
+    found = [b.column("n").to_pylist() for b in nj._longer_prefixes(iter([batch]), nj.SHINGLE, full, full)]
+    assert found == [[2]]
